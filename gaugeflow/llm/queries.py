@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, pii, sharding, substrings, toxicity
+from . import ann, decontamination, near_dedup, packing, pii, sharding, substrings, toxicity
 from .shared import table
 
 
@@ -52,6 +52,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs).select("doc_id", "text", "n_values", F.array_join("kinds", ",").alias("kinds"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_substrings": op2_substrings,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op7_packing": op7_packing,
     "op9_pii": op9_pii,
+    "op10_ann": op10_ann,
 }
 
 ORACLES: dict[str, str] = {}
