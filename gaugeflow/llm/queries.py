@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, near_dedup, packing, pii, sharding, substrings, toxicity
+from . import ann, decontamination, html_text, near_dedup, packing, pii, sharding, substrings, toxicity
 from .shared import table
 
 
@@ -47,6 +47,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs).select("doc_id", "text", "n_values", F.array_join("kinds", ",").alias("kinds"))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op7_packing": op7_packing,
+    "op8_html_text": op8_html_text,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
 }
