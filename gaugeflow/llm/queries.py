@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_text, near_dedup, packing, pii, sharding, substrings, toxicity
+from . import ann, decontamination, html_text, language, near_dedup, packing, pii, sharding, substrings, toxicity
 from .shared import table
 
 
@@ -43,6 +43,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = language.label(docs.select("doc_id", "text"), language.fit(docs))
+    return labelled.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_html_text": op8_html_text,
     "op9_pii": op9_pii,
