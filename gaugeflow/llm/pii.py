@@ -23,8 +23,8 @@ ROUNDS = 6
 
 #: The shapes searched for, one alternative each, in this order.
 SHAPES = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "secret": r"(?i:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_\-]{8,}[\"']",
+    "email": r"(?<![A-Za-z0-9._%+\-\x80-\uFFFF])[A-Za-z0-9._%+\-\x80-\uFFFF]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
+    "secret": r"(?=[TSPAtspa])(?i:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_\-]{8,}[\"']",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d\-/.])\d{4}-\d{2}-\d{2}(?![\d\-/])",
@@ -32,10 +32,19 @@ SHAPES = {
     "social": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in SHAPES.values())
+_NUMERIC = ("address", "date", "phone", "social", "card")
+# At most places of a text no alternative can start; one look ahead settles the five of digits.
+PATTERN = "|".join(f"(?:{p})" for k, p in SHAPES.items() if k not in _NUMERIC) + "|(?=[0-9+(])(?:" + "|".join(f"(?:{SHAPES[k]})" for k in _NUMERIC) + ")"
+#: No shape matches a text without one of these.
+HINT = "[0-9@\"']"
 ADDED = ("n_values", "kinds")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _digest(key: str, tweak: Column, round_no: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), tweak, round_no.cast("string"), other), 256)
 
@@ -43,13 +52,13 @@ def _digest(key: str, tweak: Column, round_no: Column, other: Column) -> Column:
 def _shift(half: Column, digest: Column, letters: Column) -> Column:
     """Add the digest to ``half`` within each character's class of 10 digits or ``letters`` letters."""
 
-    def one(ch: Column, i: Column) -> Column:
+    def one(ch: Column, i: Column, digest: Column) -> Column:
         add = F.conv(F.substring(digest, (F.lit(2) * (i % 32) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
         code = F.ascii(ch)
         turn = lambda low, size: F.char((F.lit(low) + F.pmod(code - low + add, size)).cast("long"))
         return F.when(ch.rlike("[0-9]"), turn(48, F.lit(10))).when(ch.rlike("[a-z]"), turn(97, letters)).when(ch.rlike("[A-Z]"), turn(65, letters)).otherwise(ch)
 
-    return F.array_join(F.transform(F.split(half, ""), one), "")
+    return let(digest, lambda known: F.array_join(F.transform(F.split(half, ""), lambda ch, i: one(ch, i, known)), ""))
 
 
 def feistel(value: Column, key: str, tweak: str, letters: Column | None = None, rounds: int = ROUNDS) -> Column:
@@ -57,29 +66,36 @@ def feistel(value: Column, key: str, tweak: str, letters: Column | None = None,
 
     The two halves keep their lengths; an empty half is left as it is.
     """
-    letters = F.lit(26) if letters is None else letters
+    if letters is not None:
+        return let(F.struct(value.alias("v"), letters.alias("n")), lambda x: _feistel(x["v"], key, tweak, x["n"], rounds))
+    return let(value, lambda x: _feistel(x, key, tweak, F.lit(26), rounds))
+
+
+def _feistel(value: Column, key: str, tweak: str, letters: Column, rounds: int) -> Column:
     half = F.floor(F.length(value) / 2).cast("int")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
-    tag = F.concat_ws("|", F.lit(tweak), shape)
     start = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"))
 
-    def step(acc: Column, i: Column) -> Column:
-        left = F.when(i % 2 == 0, _shift(acc["l"], _digest(key, tag, i, acc["r"]), letters)).otherwise(acc["l"])
-        right = F.when(i % 2 == 1, _shift(acc["r"], _digest(key, tag, i, acc["l"]), letters)).otherwise(acc["r"])
-        return F.struct(left.alias("l"), right.alias("r"))
+    def run(tag: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            left = F.when(i % 2 == 0, _shift(acc["l"], _digest(key, tag, i, acc["r"]), letters)).otherwise(acc["l"])
+            right = F.when(i % 2 == 1, _shift(acc["r"], _digest(key, tag, i, acc["l"]), letters)).otherwise(acc["r"])
+            return F.struct(left.alias("l"), right.alias("r"))
+
+        return F.aggregate(F.array(*(F.lit(i) for i in range(rounds))), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
-    return F.aggregate(F.array(*(F.lit(i) for i in range(rounds))), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
+    return let(F.concat_ws("|", F.lit(tweak), shape), run)
 
 
 def refill(value: Column, symbols: Column) -> Column:
     """Put ``symbols`` (a string) into the places of the ASCII letters and digits of ``value``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def step(acc: Column, ch: Column) -> Column:
+    def step(acc: Column, ch: Column, symbols: Column) -> Column:
         own = ch.rlike("[A-Za-z0-9]")
         return F.struct(F.concat(acc["out"], F.when(own, F.substring(symbols, acc["at"], F.lit(1))).otherwise(ch)).alias("out"), (acc["at"] + own.cast("int")).alias("at"))
 
-    return F.aggregate(F.split(value, ""), start, step, lambda acc: acc["out"])
+    return let(symbols, lambda known: F.aggregate(F.split(value, ""), start, lambda acc, ch: step(acc, ch, known), lambda acc: acc["out"]))
 
 
 def symbols_of(value: Column) -> Column:
@@ -88,14 +104,13 @@ def symbols_of(value: Column) -> Column:
 
 def luhn_sum(digits: Column, doubled_last: bool) -> Column:
     """The Luhn sum; ``doubled_last`` for digits that still lack their check digit."""
-    n = F.length(digits)
 
     def one(ch: Column, i: Column) -> Column:
         d = ch.cast("int")
-        twice = (n - 1 - i) % 2 == (0 if doubled_last else 1)
+        twice = i % 2 == (0 if doubled_last else 1)
         return F.when(twice, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
 
-    return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda a, x: a + x)
 
 
 def mod97(symbols: Column) -> Column:
@@ -108,19 +123,27 @@ def mod97(symbols: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = symbols_of(value)
-    body = feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = ((10 - luhn_sum(body, True) % 10) % 10).cast("string")
-    return F.when(luhn_sum(digits, False) % 10 == 0, refill(value, F.concat(body, check)))
+    def filled(body: Column) -> Column:
+        return F.concat(body, ((10 - luhn_sum(body, True) % 10) % 10).cast("string"))
+
+    def checked(digits: Column) -> Column:
+        new = let(feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card"), filled)
+        return F.when(luhn_sum(digits, False) % 10 == 0, refill(value, new))
+
+    return let(symbols_of(value), checked)
 
 
 def _iban(value: Column, key: str) -> Column:
-    s = symbols_of(value)
-    country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-    new = feistel(body, key, "iban")
-    check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = mod97(F.concat(body, country, F.substring(s, 3, 2))) == 1
-    return F.when(valid, refill(value, F.concat(country, check, new)))
+    def checked(s: Column) -> Column:
+        country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
+
+        def filled(new: Column) -> Column:
+            return F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
+
+        valid = mod97(F.concat(body, country, F.substring(s, 3, 2))) == 1
+        return F.when(valid, refill(value, let(feistel(body, key, "iban"), filled)))
+
+    return let(symbols_of(value), checked)
 
 
 def _address(value: Column, key: str) -> Column:
@@ -183,24 +206,29 @@ _RULES = {"email": _email, "secret": _secret, "iban": _iban, "address": _address
 
 
 def _judge(value: Column, key: str) -> Column:
-    """Kind and pseudonym of one match, by the first shape it fits that validates; else null."""
-    out = F.lit(None).cast("struct<kind:string,new:string>")
-    for kind, rule in reversed(_RULES.items()):
-        new = rule(value, key)
-        fits = value.rlike(f"^(?:{SHAPES[kind]})$")
-        out = F.when(fits & new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("new"))).otherwise(out)
-    return out
+    """Kind of one match, by the first shape it fits, and its pseudonym; null if it doesn't validate."""
+    kind = F.lit(None).cast("string")
+    for name in reversed(_RULES):
+        kind = F.when(value.rlike(f"^(?:{SHAPES[name]})$"), name).otherwise(kind)
+
+    def renamed(kind: Column) -> Column:
+        new = F.lit(None).cast("string")
+        for name, rule in reversed(_RULES.items()):
+            new = F.when(kind == name, rule(value, key)).otherwise(new)
+        return F.struct(kind.alias("kind"), new.alias("new"))
+
+    return let(kind, renamed)
 
 
 def pseudonymise(docs: DataFrame, key: str = "gaugeflow", column: str = "text") -> DataFrame:
     """Replace the validated values of ``column``; add ``n_values`` and sorted distinct ``kinds``."""
     docs = docs.drop(*(c for c in docs.columns if c in ADDED))
     # Parts and matches are bound once per row, and texts without matches skip the rebuilding.
-    whole = docs.withColumn("_matches", F.transform(F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("old"), _judge(m, key).alias("got"))))
+    whole = docs.withColumn("_matches", F.transform(F.when(F.col(column).rlike(HINT), F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")), lambda m: F.struct(m.alias("old"), _judge(m, key).alias("got"))))
     parts = F.split(F.col(column), PATTERN, -1)
     tail = F.array(F.lit(""))
     new = F.concat(F.transform("_matches", lambda m: F.coalesce(m["got"]["new"], m["old"])), tail)
     text = F.when(F.size("_matches") > 0, F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, b))), "")).otherwise(F.col(column))
-    kept = F.filter("_matches", lambda m: m["got"].isNotNull())
+    kept = F.filter("_matches", lambda m: m["got"]["new"].isNotNull())
     out = {column: text, "n_values": F.coalesce(F.when(F.col(column).isNotNull(), F.size(kept)), F.lit(0)).cast("long"), "kinds": F.coalesce(F.array_sort(F.array_distinct(F.transform(kept, lambda m: m["got"]["kind"]))), F.array().cast("array<string>"))}
     return whole.withColumns(out).drop("_matches")
