@@ -90,3 +90,15 @@ def alert_timeline(threshold: float, hold: int, interval: int) -> str:
         f"select f.sig as labels_sig, 'firing' as status, f.fired as fired_at, cast(null as bigint) as resolved_at, round(i.v, 6) as value from f join i on i.sig = f.sig and i.tick = f.fired "
         f"union all select sig, 'resolved', fired, after, round(after_v, 6) from f where after is not null"
     )
+
+
+def latency(q: float, start: int, end: int, step: int, window: int) -> str:
+    """Quantile of the rates of the quantity buckets; every bucket of a flag is met at every month."""
+    rate = "case when max(ts) > min(ts) then sum(case when pc is null then 0 when c >= pc then c - pc else c end) / ((max(ts) - min(ts)) / 1000.0) else 0 end"
+    return (
+        f"with {BUCKETS}, {grid(start, end, step)}, j as (select flag, le, t, ts, c, lag(c) over (partition by flag, le, t order by ts) as pc from b join grid on ts between t - {window} and t), "
+        f"r as (select flag, le, t, {rate} as c from j group by all having count(*) >= 2), "
+        "o as (select *, max(case when le = 'inf'::double then c end) over (partition by flag, t) as total, lag(le) over w as lo, lag(c) over w as pc, max(case when le < 'inf'::double then le end) over (partition by flag, t) as top from r window w as (partition by flag, t order by le)), "
+        f"h as (select *, row_number() over (partition by flag, t order by le) as rn from o where total > 0 and c >= {q} * total), z as (select * from h where rn = 1) "
+        f"select 'flag=' || flag as labels_sig, t as ts, round(case when le = 'inf'::double then top when c - coalesce(pc, 0) <= 0 then le else coalesce(lo, least(0, le)) + ({q} * total - coalesce(pc, 0)) / (c - coalesce(pc, 0)) * (le - coalesce(lo, least(0, le))) end, 6) as value from z"
+    )

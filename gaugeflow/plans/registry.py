@@ -419,8 +419,9 @@ query("p8_events_table", f"with {O.EV} select cast(event_id as varchar) as id, t
 query("p9_error_share", f"with {_BODY}, x as (select t, type, sum(v) as v from r group by t, type) select 'status=' || type as labels_sig, t as ts, round(case when sum(v) over (partition by t) = 0 then 0 else v / sum(v) over (partition by t) end, 6) as value from x")(lambda s, d: flat(_panel(s, d).error_share("http_requests_total", "status")))
 
 
-@query("p10_latency", None)
+_Y0, _Y1 = 725_846_400_000, 1_041_379_200_000  # 1993 to 2002
+
+
+@query("p10_latency", O.latency(0.95, _Y0, _Y1, 30 * DAY, 90 * DAY))
 def _p10(s, d):
-    buckets = D.quantity_buckets(s, d)
-    ends = (1_356_998_400_000, 1_356_998_400_000)
-    return flat(panels.Panels(buckets, 0, ends[1], 30 * DAY, 90 * DAY).latency("order_qty_bucket", 0.95, 90 * DAY))
+    return flat(panels.Panels(D.quantity_buckets(s, d), _Y0, _Y1, 30 * DAY, 90 * DAY).latency("order_qty_bucket", 0.95, 90 * DAY))
