@@ -34,16 +34,21 @@ class WordTokenizer:
     """The ids of whole texts from a tokenizer file whose tokens never cross white space.
 
     Ids are remembered per blank-separated chunk and per letter run in two bounded
-    tables. A chunk outside Latin-1 goes to the tokenizer itself; within Latin-1
-    its pre-tokens are those of the file's own split pattern.
+    tables, and what is missing goes to the tokenizer in one call per slice: each
+    run ends in exactly one token with the end-of-word mark. A chunk outside
+    Latin-1 goes to the tokenizer by itself; within Latin-1 its runs are those of
+    the file's own split pattern.
     """
 
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, most_chunks: int = 200_000, most_runs: int = 500_000):
+    def __init__(self, path: str, most_chunks: int = 600_000, most_runs: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.chunks: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.most_chunks, self.most_runs = most_chunks, most_runs
@@ -51,35 +56,50 @@ class WordTokenizer:
     def _exact(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if not text or max(text) > "\xff" or "<|" in text:
-            return self._exact(text)
-        out = []
-        for run in self.SPLIT.findall(text.lower()):
-            if (ids := self.runs.get(run)) is None:
-                if len(self.runs) >= self.most_runs:
-                    self.runs.clear()
-                ids = self.runs[run] = self._exact(run)
-            out.append(ids)
-        return b"".join(out)
-
-    def __call__(self, text: bytes) -> bytes:
-        chunks, out = self.chunks, []
-        for chunk in text.split():
-            ids = chunks.get(chunk)
-            if ids is None:
-                if len(chunks) >= self.most_chunks:
-                    chunks.clear()
-                ids = chunks[chunk] = self._chunk(chunk)
-            out.append(ids)
-        return b"".join(out)
+    def _learn_runs(self, missing: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) == len(missing) and (not len(stops) or stops[-1] == len(ids)):
+            flat, at = ids.tobytes(), 0
+            for run, stop in zip(missing, (4 * stops).tolist(), strict=True):
+                self.runs[run] = flat[at:stop]
+                at = stop
+        else:
+            self.runs.update((run, self._exact(run)) for run in missing)
+
+    def _learn(self, needed: set[bytes]) -> None:
+        missing = needed.difference(self.chunks)
+        if len(self.chunks) + len(missing) > self.most_chunks:
+            self.chunks.clear()
+            missing = needed
+        if len(self.runs) > self.most_runs:
+            self.runs.clear()
+        split: dict[bytes, list[str]] = {}
+        for chunk in missing:
+            text = chunk.decode("utf-8", "replace")
+            if chunk.isascii() and text[:-1].isalpha():
+                low = text.lower()
+                split[chunk] = [low] if low.isalpha() else [low[:-1], low[-1]]
+            elif max(text) > "\xff" or "<|" in text:
+                self.chunks[chunk] = self._exact(text)
+            else:
+                split[chunk] = self.SPLIT.findall(text.lower())
+        if unknown := {run for runs in split.values() for run in runs if run not in self.runs}:
+            self._learn_runs(sorted(unknown))
+        runs = self.runs
+        self.chunks.update((chunk, b"".join([runs[r] for r in own])) for chunk, own in split.items())
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words = [text.split() for text in texts]
+        self._learn(set().union(*words))
+        ids = self.chunks.__getitem__
+        return [b"".join(map(ids, own)) for own in words]
 
 
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> Callable[[bytes], bytes]:
+def word_tokenizer(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """One tokenizer per worker process and file; its tables outlive a task."""
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
@@ -170,8 +190,9 @@ def _pack(path: str, window: int, end_token: int, load: Callable):
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"))
-                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    packer.add(doc_id, tokenize(texts.bytes_of(i)) + end)
+                encoded = tokenize([texts.bytes_of(i) for i in range(part.num_rows)])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                    packer.add(doc_id, ids + end)
                 yield emit(packer.take())
         yield emit(packer.close())
 
@@ -181,8 +202,8 @@ def _pack(path: str, window: int, end_token: int, load: Callable):
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_token: int = END_TOKEN, load: Callable = word_tokenizer) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into windows of ``window`` tokens; one row per piece.
 
-    ``load`` makes a function from UTF-8 bytes to little-endian 32-bit ids of the
-    file at ``tokenizer_path``, which must exist on every executor. ``sequence_id``
+    ``load`` makes a function from lists of UTF-8 texts to their little-endian 32-bit
+    ids by the file at ``tokenizer_path``, which must exist on every executor. ``sequence_id``
     carries the partition in its high bits.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer_path, window, end_token, load), SCHEMA)
