@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html_text, language, near_dedup, packing, pii, sharding, substrings, toxicity
+from . import ann, decontamination, html_text, language, near_dedup, oracles, packing, pii, sharding, substrings, toxicity
 from .shared import table
 
 
@@ -79,4 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substrings": oracles.SUBSTRINGS,
+    "op4_decontamination": oracles.DECONTAMINATION,
+    "op5_sharding": oracles.SHARDING,
+}
