@@ -138,8 +138,8 @@ class ItemAutomaton:
         return maybe[self.gram_keys[where] == keys[maybe]] if len(self.gram_keys) else maybe[:0]
 
 
-def _mark(automaton, column: str):
-    """Append one automaton's hits to ``_spans`` (word ranges, flat) and ``_items``."""
+def _mark(automaton, column: str, finish=None):
+    """Append one automaton's hits to ``_spans`` (word ranges, flat) and ``_items``; ``finish`` each part if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton.value
@@ -174,7 +174,8 @@ def _mark(automaton, column: str):
                     items[row] = sorted({*(items[row] or ()), *found[row]})
                 rest = [part.column(c) for c in part.schema.names[:-3]]
                 counts = pa.array(np.diff(first), pa.int64())
-                yield pa.RecordBatch.from_arrays([*rest, counts, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=part.schema.names)
+                marked = pa.RecordBatch.from_arrays([*rest, counts, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=part.schema.names)
+                yield finish(marked) if finish else marked
 
     return run
 
@@ -190,27 +191,25 @@ def merged(flat: list[int] | None) -> list[tuple[int, int]]:
 
 
 def _finish(column: str, least_span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, column):
-                texts = Texts(part.column(column))
-                starts, ends, first = word_spans(texts, LETTERS, LOWER[texts.data])
-                given = part.column(column)
-                n_hit, spans, clean = [], [], []
-                for row, flat in enumerate(part.column("_spans").to_pylist()):
-                    ranges = merged(flat)
-                    n_hit.append(sum(b - a for a, b in ranges))
-                    spans.append([{"start": a, "stop": b} for a, b in ranges])
-                    gone = [(int(starts[first[row] + a]), int(ends[first[row] + b - 1])) for a, b in ranges if b - a >= least_span]
-                    if not gone:
-                        clean.append(given[row].as_py())
-                        continue
-                    edges = [int(texts.off[row]), *(x for pair in gone for x in pair), int(texts.off[row + 1])]
-                    clean.append(b" ".join(x for a, b in list(pairwise(edges))[::2] if (x := texts.data[a:b].tobytes().strip())).decode("utf-8", "replace"))
-                rest = [part.column(c) for c in part.schema.names[:-3]]
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-                items = pa.array([x or [] for x in part.column("_items").to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rest, part.column("_words"), pa.array(n_hit, pa.int64()), items, pa.array(spans, kind), pa.array(clean, pa.string())], names=[*part.schema.names[:-3], *ADDED])
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts(part.column(column))
+        starts, ends, first = word_spans(texts, LETTERS, LOWER[texts.data])
+        given = part.column(column)
+        n_hit, spans, clean = [], [], []
+        for row, flat in enumerate(part.column("_spans").to_pylist()):
+            ranges = merged(flat)
+            n_hit.append(sum(b - a for a, b in ranges))
+            spans.append([{"start": a, "stop": b} for a, b in ranges])
+            gone = [(int(starts[first[row] + a]), int(ends[first[row] + b - 1])) for a, b in ranges if b - a >= least_span]
+            if not gone:
+                clean.append(given[row].as_py())
+                continue
+            edges = [int(texts.off[row]), *(x for pair in gone for x in pair), int(texts.off[row + 1])]
+            clean.append(b" ".join(x for a, b in list(pairwise(edges))[::2] if (x := texts.data[a:b].tobytes().strip())).decode("utf-8", "replace"))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        items = pa.array([x or [] for x in part.column("_items").to_pylist()], pa.list_(pa.int64()))
+        added = [part.column("_words"), pa.array(n_hit, pa.int64()), items, pa.array(spans, kind), pa.array(clean, pa.string())]
+        return pa.RecordBatch.from_arrays([*part.columns[:-3], *added], names=[*part.schema.names[:-3], *ADDED])
 
     return run
 
@@ -239,12 +238,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, column: s
     docs = docs.drop(*(c for c in docs.columns if c in {*ADDED, "_words", "_spans", "_items"}))
     marked = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<long>")})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema])
-    for auto in automata(items, window, id_column, item_column, most_bytes):
-        marked = marked.mapInArrow(_mark(spark.sparkContext.broadcast(auto), column), schema)
+    shared = [spark.sparkContext.broadcast(auto) for auto in automata(items, window, id_column, item_column, most_bytes)]
+    for auto in shared[:-1]:
+        marked = marked.mapInArrow(_mark(auto, column), schema)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     kinds = (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), spans, T.StringType())
     out = T.StructType([*schema.fields[:-3], *(T.StructField(n, k) for n, k in zip(ADDED, kinds, strict=True))])
-    return marked.mapInArrow(_finish(column, least_span), out)
+    return marked.mapInArrow(_mark(shared[-1], column, _finish(column, least_span)), out)
 
 
 def within_limits(marked: DataFrame, coverage: float = 0.5) -> DataFrame:
