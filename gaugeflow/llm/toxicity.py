@@ -31,6 +31,7 @@ from .shared import cut, slices
 
 SAMPLE, LEAST_DOCS, LEAST_G2, THRESHOLD = 12_000, 5, 40.0, 0.3
 BEGINNINGS = range(4, 9)
+ADDED = ("weight", "n_hits", "n_words", "score")
 
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = dict(zip("авсеԁһіјкӏмнорԛѕтухузбг" + "αβεηικμνορτυχγ", "abcedhijklmhopqstyxyzbr" + "abenikmvoptuxy", strict=False)) | {"х": "x", "у": "y", "п": "n", "и": "u", "ѵ": "v", "ѡ": "w", "ɡ": "g", "ı": "i", "ł": "l", "ø": "o"}
@@ -164,11 +165,12 @@ def _weigh_rows(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto, curve = lexicon.value.automaton(), np.array(lexicon.value.curve)
         for batch in batches:
-            found = [weigh(auto, fold(text)) for text in batch.column("text").to_pylist()]
-            x = np.array([(1.0, *features(*f)) for f in found]).reshape(-1, 4)
-            score = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-            rest = [c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array(score)], names=[*batch.schema.names, "weight", "n_hits", "n_words", "score"])
+            for part in slices(batch, "text"):
+                found = [weigh(auto, fold(text)) for text in part.column("text").to_pylist()]
+                x = np.array([(1.0, *features(*f)) for f in found]).reshape(-1, 4)
+                score = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
+                figures = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *figures, pa.array(score)], names=[*part.schema.names, *ADDED])
 
     return run
 
@@ -225,9 +227,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_docs: in
     return lexicon
 
 
-ADDED = ("weight", "n_hits", "n_words", "score")
-
-
 def score(docs: DataFrame, lexicon: Lexicon, column: str = "text") -> DataFrame:
     """``docs`` with ``weight``, ``n_hits``, ``n_words`` and ``score`` (replacing columns so named)."""
     docs = docs.drop(*(c for c in docs.columns if c in ADDED))
