@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text is handled in slices of about this many bytes, so a task's arrays stay small.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,16 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The written files survive lost executors. The shuffle files of the write are
-    released when it ends instead of when the driver happens to collect garbage.
+    released when it ends instead of when the driver happens to collect garbage,
+    and rows go to Python in batches small enough for long texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
+    rows = int(spark.conf.get(_BATCH))
+    held = {k: spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in held.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
