@@ -256,7 +256,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every row."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"))
     places = docs.select("doc_id", "text").mapInArrow(_anchors(window, gram), "anchor long, doc_id long, pos int")
-    firsts = places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "first")
+    # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
+    firsts = cut(places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "first"))
     later = places.join(firsts, "anchor").where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos")))
     # A document's own probes: at most one per word of it.
     probes = cut(later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.col("first.doc_id").alias("owner"), F.expr(f"cast(first.pos div {block} as int)").alias("block"))).alias("probes")))
@@ -266,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     met = runs.join(shards, (runs.owner == shards.owner_id) & (runs.block == shards.owner_block)).drop("owner_id", "owner_block")
     judged = cut(met.mapInArrow(_stream(window), "doc_id long, text_key long, start int, stop int, one long, two long"))
     rest = judged.where(F.col("one").isNotNull())
-    known = rest.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = cut(rest.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = rest.join(known, ["one", "two"]).where((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") > F.col("first.start"))))
     spans = judged.where(F.col("one").isNull()).select("doc_id", "text_key", "start", "stop").unionByName(again.select("doc_id", "text_key", "start", "stop"))
     spans = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
