@@ -15,6 +15,7 @@ All but the last return the columns of their input; ``n_chars`` follows the text
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,8 @@ def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path())
+    # Workers also hold what the stages before have left, so the tables are smaller here.
+    return packing.pack(docs, tokenizer_path(), load=partial(packing.word_tokenizer, most_chunks=200_000, most_runs=400_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -42,7 +42,7 @@ class WordTokenizer:
 
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, most_chunks: int = 600_000, most_runs: int = 900_000):
+    def __init__(self, path: str, most_chunks: int, most_runs: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,16 +56,18 @@ class WordTokenizer:
     def _exact(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_runs(self, missing: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(missing), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(stops) == len(missing) and (not len(stops) or stops[-1] == len(ids)):
-            flat, at = ids.tobytes(), 0
-            for run, stop in zip(missing, (4 * stops).tolist(), strict=True):
-                self.runs[run] = flat[at:stop]
-                at = stop
-        else:
-            self.runs.update((run, self._exact(run)) for run in missing)
+    def _learn_runs(self, missing: list[str], block: int = 4096) -> None:
+        for at in range(0, len(missing), block):
+            part = missing[at : at + block]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                self.runs.update((run, self._exact(run)) for run in part)
+                continue
+            flat, begin = ids.tobytes(), 0
+            for run, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.runs[run] = flat[begin:stop]
+                begin = stop
 
     def _learn(self, needed: set[bytes]) -> None:
         missing = needed.difference(self.chunks)
@@ -77,13 +79,14 @@ class WordTokenizer:
         split: dict[bytes, list[str]] = {}
         for chunk in missing:
             text = chunk.decode("utf-8", "replace")
-            if chunk.isascii() and text[:-1].isalpha():
-                low = text.lower()
-                split[chunk] = [low] if low.isalpha() else [low[:-1], low[-1]]
-            elif max(text) > "\xff" or "<|" in text:
+            if max(text) > "\xff" or "<|" in text:
                 self.chunks[chunk] = self._exact(text)
+                continue
+            low = text.lower()
+            if low[:-1].isalpha():  # a word, or a word and one more character
+                split[chunk] = [low] if low[-1].isalpha() else [low[:-1], low[-1]]
             else:
-                split[chunk] = self.SPLIT.findall(text.lower())
+                split[chunk] = self.SPLIT.findall(low)
         if unknown := {run for runs in split.values() for run in runs if run not in self.runs}:
             self._learn_runs(sorted(unknown))
         runs = self.runs
@@ -96,14 +99,18 @@ class WordTokenizer:
         return [b"".join(map(ids, own)) for own in words]
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """One tokenizer per worker process and file; its tables outlive a task."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def word_tokenizer(path: str, most_chunks: int = 600_000, most_runs: int = 900_000) -> Callable[[list[bytes]], list[bytes]]:
+    """One tokenizer per worker process and file; its tables outlive a task.
+
+    The table sizes trade memory (about 0.2 KB an entry) for speed, never results.
+    """
+    key = (path, most_chunks, most_runs)
+    if key not in _loaded:
+        _loaded[key] = WordTokenizer(*key)
+    return _loaded[key]
 
 
 class SumOfSquares:
@@ -112,19 +119,28 @@ class SumOfSquares:
     def __init__(self, window: int = WINDOW):
         self.window = window
         self.count = np.zeros(window + 1, np.int64)  # open windows at each fill level
+        # What the sum of squares gains when a window enters a level, and when one leaves it.
+        self.enter = np.ones(window + 1, np.int64)
+        self.enter[window] = 0  # a full window is none of the partly filled
+        self.leave = np.full(window + 1, self.NONE)
+        self.leave[0] = 0  # a new window leaves no level
         self.open: list[list] = [[] for _ in range(window + 1)]
         self.done: list[list] = []
 
+    NONE = np.int64(1 << 60)
+
     def _level(self, size: int) -> int:
-        """The level, 0 for a new window, whose choice leaves the least sum of squares."""
-        n, w = self.count, self.window
-        room = np.arange(0, w - size + 1)
-        cost = np.where(room + size < w, 2 * n[room + size] + 1, 0)
-        cost[1:] += 1 - 2 * n[1 : w - size + 1]
-        cost[1:][n[1 : w - size + 1] == 0] = np.iinfo(np.int64).max
-        best = int(cost.min())
-        # the fullest of equally good levels leaves the least room behind
-        return int(np.flatnonzero(cost == best)[-1])
+        """The level, 0 for a new window, whose choice leaves the least sum of squares.
+
+        The fullest of equally good levels leaves the least room behind.
+        """
+        gain = self.enter[size:] + self.leave[: self.window - size + 1]
+        return len(gain) - 1 - int(gain[::-1].argmin())
+
+    def _change(self, level: int, by: int) -> None:
+        n = self.count[level] = self.count[level] + by
+        self.enter[level] = 2 * n + 1
+        self.leave[level] = 1 - 2 * n if n else self.NONE
 
     def add(self, doc_id, ids: bytes) -> None:
         total, start = len(ids) // 4, 0
@@ -135,13 +151,13 @@ class SumOfSquares:
             level = self._level(size)
             held = self.open[level].pop() if level else []
             if level:
-                self.count[level] -= 1
+                self._change(level, -1)
             held.append((doc_id, start, ids[4 * start :], total))
             if level + size == self.window:
                 self.done.append(held)
             else:
                 self.open[level + size].append(held)
-                self.count[level + size] += 1
+                self._change(level + size, 1)
 
     def take(self) -> list[list]:
         out, self.done = self.done, []
@@ -151,7 +167,7 @@ class SumOfSquares:
         """Cut the emptiest open windows into the gaps of the fullest."""
         left = [held for level in self.open for held in level]  # emptiest first
         self.open = [[] for _ in range(self.window + 1)]
-        self.count[:] = 0
+        self.count[:], self.enter[:-1], self.leave[1:] = 0, 1, self.NONE
         low = 0
         for high in range(len(left) - 1, -1, -1):
             room = self.window - sum(len(p[2]) // 4 for p in left[high])

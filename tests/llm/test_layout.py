@@ -62,7 +62,7 @@ def check_packing(got, texts, encode, window):
 def test_packing(spark, docs, tokenizer):
     rng = random.Random(1)
     texts = [(i, " ".join(rng.choice(["tree", "stone's", "x1", "Wort"]) for _ in range(rng.randrange(0, 90)))) for i in range(150)] + [(900, None), (901, ""), (902, "tree " * 3000), *((1000 + i, t) for i, t in enumerate(ODD))]
-    whole = packing.WordTokenizer(tokenizer).tokenizer
+    whole = packing.WordTokenizer(tokenizer, 10, 10).tokenizer
     encode = lambda t: whole.encode(t, add_special_tokens=False).ids
     got = packing.pack(docs(texts, start="mine").coalesce(1), tokenizer, window=64).toPandas()
     check_packing(got, texts, encode, 64)
