@@ -3,11 +3,14 @@
 1. Texts are collapsed to distinct ones; each is sketched ``sketches`` times: the
    ``kept`` least hashes among its k-mers of ``k`` words, every k-mer labelled with
    its occurrence number, taken in text order. Equal sketches mean equal k-mers in
-   equal order, so the sketches follow edit similarity, not just overlap.
+   equal order, so the sketches follow edit similarity, not just overlap. Pairs
+   whose longer text has fewer than ``SHORT`` words meet by single words instead.
+   Scattered edits of a share e leave J = (1-e)^2 / (2 - (1-e)^2) of the pairs of
+   words, so a pair shares none of 64 sketches with probability (1 - J^3)^64: 0.001
+   at similarity 0.8, 0.00001 at 0.85, nothing to speak of above.
 2. Texts with an equal sketch form a bucket; each member is paired with the
-   bucket's least document alone, never with all others. Similar texts share
-   about half of their sketches, so a pair goes unseen only if other, unlike
-   documents lead all the buckets it shares.
+   bucket's least document alone, so a pair goes unseen if other, unlike documents
+   lead all the buckets it shares.
 3. A pair is a link if the word edit distance is at most (1 - ``similarity``) times
    the longer text, by an alignment limited to that band of diagonals. Members are
    aligned with their most frequent leader first; other pairs only if that left
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import BLANK, Texts, cut, gram_hashes, mix, slices, word_hashes, word_spans
 
-K, KEPT, SKETCHES, SIMILARITY = 5, 3, 32, 0.8
+K, KEPT, SKETCHES, SIMILARITY = 2, 3, 64, 0.8
+#: Below this many words an edit takes too large a share of the k-mers.
+SHORT = 32
 
 
 def sketch_text(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int = SKETCHES) -> np.ndarray:
@@ -46,7 +51,7 @@ def sketch_text(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int =
     occurrence[order] = np.arange(len(grams)) - np.repeat(runs, np.diff(np.append(runs, len(grams))))
     with np.errstate(over="ignore"):
         labelled = mix(grams + occurrence * np.uint64(0x632BE59BD9B4E019))
-        seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        seeds = mix(np.arange(1 + (k << 32), 1 + (k << 32) + sketches, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         hashes = mix(labelled[None, :] ^ seeds[:, None])
         take = min(kept, len(grams))
         least = np.argpartition(hashes, take - 1, axis=1)[:, :take] if take < len(grams) else np.tile(np.arange(take), (sketches, 1))
@@ -57,16 +62,25 @@ def sketch_text(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int =
     return out.view(np.int64)
 
 
-def _sketch(k: int, kept: int, sketches: int):
+def sketches_of(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> np.ndarray:
+    """All sketches of one text: of single words if a longer one of a link may be short, of k-mers if it may not."""
+    n = len(words)
+    parts = [sketch_text(words, 1, kept, sketches)] if n < SHORT else []
+    if n >= SHORT * similarity - 1e-9:
+        parts.append(sketch_text(words, k, kept, sketches))
+    return np.concatenate(parts)
+
+
+def _sketch(k: int, kept: int, sketches: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"))
                 starts, ends, first = word_spans(texts, BLANK)
                 words = word_hashes(texts.data, starts, ends)
-                rows = [sketch_text(words[a:b], k, kept, sketches) if b > a else None for a, b in pairwise(first)]
+                rows = [sketches_of(words[a:b], k, kept, sketches, similarity) if b > a else None for a, b in pairwise(first)]
                 flat = pa.array(np.concatenate([r for r in rows if r is not None]) if any(r is not None for r in rows) else np.zeros(0, np.int64))
-                sizes = np.array([0 if r is None else sketches for r in rows])
+                sizes = np.array([0 if r is None else len(r) for r in rows])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key_a"), part.column("key_b"), lists], names=["doc_id", "key_a", "key_b", "sketch"])
 
@@ -159,15 +173,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) ->
 def classes(docs: DataFrame, k: int = K, kept: int = KEPT, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key_a, key_b, class_id) of every row of ``docs`` (doc_id, text); the keys hash the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(7), F.col("text")).alias("key_b"))
-    sketched = cut(rows.mapInArrow(_sketch(k, kept, sketches), "doc_id long, key_a long, key_b long, sketch array<long>"))
+    sketched = cut(rows.mapInArrow(_sketch(k, kept, sketches, similarity), "doc_id long, key_a long, key_b long, sketch array<long>"))
     wordy = sketched.where((F.size("sketch") > 0) & F.col("doc_id").isNotNull())
     # Equal texts have equal sketches, so any of them stands for all.
     distinct = wordy.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     distinct = cut(distinct)
-    spread = distinct.select("rep", F.posexplode("sketch").alias("band", "value"))
+    spread = distinct.select("rep", F.explode("sketch").alias("value"))  # each is seeded by its number
     # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    leaders = cut(spread.groupBy("band", "value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    pairs = cut(spread.join(leaders, ["band", "value"]).where("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared")))
+    leaders = cut(spread.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    pairs = cut(spread.join(leaders, "value").where("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared")))
     involved = pairs.select(F.col("leader").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
     texts = cut(rows.join(distinct.select(F.col("rep").alias("doc_id"), "key_a", "key_b").join(involved, "doc_id"), ["doc_id", "key_a", "key_b"]).select("doc_id", "key_a", "text").dropDuplicates(["doc_id", "key_a"]).select("doc_id", "text"))
     best = pairs.groupBy("member").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("small"))).alias("leader"))

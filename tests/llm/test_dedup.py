@@ -82,6 +82,26 @@ def test_planted_pairs_are_found(spark, docs):
     assert dict(class_map(near_dedup.classes(docs(rows)))) == want
 
 
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1, 0.15, 0.2])
+def test_pairs_are_found_up_to_the_stated_similarity(spark, docs, share):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(60):
+        base = text(rng, rng.randrange(5, 35) if i % 2 else rng.randrange(35, 300))
+        rows += [(2 * i, base), (2 * i + 1, edited(rng, base, share))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    assert dict(class_map(near_dedup.classes(docs(rows)))) == want
+
+
+def test_short_and_bordering_texts_meet(spark, docs):
+    rng = random.Random(9)
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f x"), (3, "k l m n o"), (4, "k l z n o"), (5, "p q r s"), (6, "p q r t")]
+    long = text(rng, near_dedup.SHORT).split()
+    rows += [(7, " ".join(long)), (8, " ".join(w for i, w in enumerate(long) if i % 5 != 2 or i > 28))]
+    got = dict(class_map(near_dedup.classes(docs(rows))))
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 7}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
