@@ -8,13 +8,14 @@
    Scattered edits of a share e leave J = (1-e)^2 / (2 - (1-e)^2) of the pairs of
    words, so a pair shares none of 64 sketches with probability (1 - J^3)^64: 0.001
    at similarity 0.8, 0.00001 at 0.85, nothing to speak of above.
-2. Texts with an equal sketch form a bucket; each member is paired with the
-   bucket's least document alone, so a pair goes unseen if other, unlike documents
-   lead all the buckets it shares.
+2. Texts with an equal sketch form a bucket; each member is first paired with the
+   bucket's least document alone. All other pairs of a bucket follow, but only those
+   still in different classes and of lengths that allow a link; a bucket of unlike
+   texts thus costs the square of its size, in blocks of ``BLOCK`` by ``BLOCK``.
 3. A pair is a link if the word edit distance is at most (1 - ``similarity``) times
    the longer text, by an alignment limited to that band of diagonals. Members are
-   aligned with their most frequent leader first; other pairs only if that left
-   them in different classes.
+   aligned with their most frequent leader first; other leaders, and then other
+   members, only if that left them in different classes.
 4. Classes are the connected components, named by their least doc_id.
 
 Defined results: texts without words (null, empty, blank) and rows with a null
@@ -38,6 +39,8 @@ from .shared import BLANK, Texts, cut, gram_hashes, mix, slices, word_hashes, wo
 K, KEPT, SKETCHES, SIMILARITY = 2, 3, 64, 0.8
 #: Below this many words an edit takes too large a share of the k-mers.
 SHORT = 32
+#: Members of a bucket are paired in blocks of about this many, so that no task holds a whole large bucket.
+BLOCK = 256
 
 
 def sketch_text(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int = SKETCHES) -> np.ndarray:
@@ -82,7 +85,8 @@ def _sketch(k: int, kept: int, sketches: int, similarity: float):
                 flat = pa.array(np.concatenate([r for r in rows if r is not None]) if any(r is not None for r in rows) else np.zeros(0, np.int64))
                 sizes = np.array([0 if r is None else len(r) for r in rows])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key_a"), part.column("key_b"), lists], names=["doc_id", "key_a", "key_b", "sketch"])
+                n_words = pa.array(np.diff(first).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key_a"), part.column("key_b"), lists, n_words], names=["doc_id", "key_a", "key_b", "sketch", "n_words"])
 
     return run
 
@@ -170,18 +174,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) ->
     return pairs.join(mine, "member").join(other, "leader").mapInArrow(_align(similarity, k), "a long, b long")
 
 
+def _other_pairs(members: DataFrame, pairs: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(leader, member) of all pairs of a bucket that no leader compared, whose classes differ and whose lengths allow a link."""
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = named.join(mixed, "value").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    cells = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = cut(cells.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "n_words", "label"))
+    side = lambda tag: cells.select("value", "i", "j", *(F.col(c).alias(f"{tag}_{c}") for c in ("block", "rep", "n_words", "label")))
+    longer, shorter = F.greatest("a_n_words", "b_n_words"), F.least("a_n_words", "b_n_words")
+    found = (
+        side("a")
+        .join(side("b"), ["value", "i", "j"])
+        .where("a_rep < b_rep and a_label <> b_label and (i = j or a_block <> b_block)")
+        .where(longer - shorter <= F.floor(F.lit(1 - similarity) * longer + 1e-9))
+        .select(F.col("a_rep").alias("leader"), F.col("b_rep").alias("member"))
+        .distinct()
+    )
+    return found.join(pairs, ["leader", "member"], "left_anti")
+
+
 def classes(docs: DataFrame, k: int = K, kept: int = KEPT, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key_a, key_b, class_id) of every row of ``docs`` (doc_id, text); the keys hash the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(7), F.col("text")).alias("key_b"))
-    sketched = cut(rows.mapInArrow(_sketch(k, kept, sketches, similarity), "doc_id long, key_a long, key_b long, sketch array<long>"))
+    sketched = cut(rows.mapInArrow(_sketch(k, kept, sketches, similarity), "doc_id long, key_a long, key_b long, sketch array<long>, n_words int"))
     wordy = sketched.where((F.size("sketch") > 0) & F.col("doc_id").isNotNull())
     # Equal texts have equal sketches, so any of them stands for all.
-    distinct = wordy.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    distinct = wordy.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_words").alias("n_words"))
     distinct = cut(distinct)
-    spread = distinct.select("rep", F.explode("sketch").alias("value"))  # each is seeded by its number
+    spread = distinct.select("rep", "n_words", F.explode("sketch").alias("value"))  # each is seeded by its number
     # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    leaders = cut(spread.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    pairs = cut(spread.join(leaders, "value").where("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared")))
+    leaders = cut(spread.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    members = cut(spread.join(leaders, "value"))
+    pairs = cut(members.where("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared")))
     involved = pairs.select(F.col("leader").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
     texts = cut(rows.join(distinct.select(F.col("rep").alias("doc_id"), "key_a", "key_b").join(involved, "doc_id"), ["doc_id", "key_a", "key_b"]).select("doc_id", "key_a", "text").dropDuplicates(["doc_id", "key_a"]).select("doc_id", "text"))
     best = pairs.groupBy("member").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("small"))).alias("leader"))
@@ -196,6 +222,10 @@ def classes(docs: DataFrame, k: int = K, kept: int = KEPT, sketches: int = SKETC
         .select("leader", "member")
     )
     more = cut(_verified(apart, texts, similarity, k))
+    links = links.unionByName(more)
+    labels = components(links) if more.limit(1).count() else labels
+    rest = cut(_other_pairs(members, pairs, labels, similarity))
+    more = cut(_verified(rest, texts, similarity, k))
     # Rows of one text and rows of one doc_id hang together too.
     copies = wordy.join(distinct.select("key_a", "key_b", "rep"), ["key_a", "key_b"])
     shared_id = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugeflow.llm import near_dedup, substrings
 from gaugeflow.llm.graph import components
+from gaugeflow.llm.shared import BLANK, Texts, word_hashes, word_spans
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -102,6 +104,29 @@ def test_short_and_bordering_texts_meet(spark, docs):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 7}
 
 
+@pytest.mark.parametrize("block", [256, 1])
+def test_members_meet_behind_an_unlike_leader(spark, docs, monkeypatch, block):
+    """Two similar texts whose only bucket is led by a text that has just a passage in common with them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(10)
+    one = {"kept": 1, "sketches": 1}
+
+    def sketch(t):
+        texts = Texts(pa.array([t]))
+        starts, ends, _ = word_spans(texts, BLANK)
+        return near_dedup.sketches_of(word_hashes(texts.data, starts, ends), **one).tolist()
+
+    rows, want = [], {}
+    while len(rows) < 30:
+        passage, base = text(rng, 60), text(rng, 60)
+        three = (passage + " " + text(rng, 60), passage + " " + base, passage + " " + edited(rng, base, 0.2))
+        if sketch(three[0]) == sketch(three[1]) == sketch(three[2]):
+            i = len(rows)
+            rows += [(i + j, t) for j, t in enumerate(three)]
+            want |= {i: i, i + 1: i + 1, i + 2: i + 1}
+    assert dict(class_map(near_dedup.classes(docs(rows), **one))) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
