@@ -9,6 +9,11 @@ check digits stay, equal values get equal pseudonyms in all documents, and the
 holder of the key can invert them. Dates go through a Feistel network over the
 146,097 = 189 * 773 days of four centuries, which maps dates onto dates.
 
+Three passes: the other shapes, accounts, cards. A text that fails validation in one
+is open to the next, and validation chooses the extent: an account has its country's
+length, and in a stretch of digit groups the longest runs of 13 to 19 digits with a
+right check digit are cards, wherever they start.
+
 Values that fail validation are left alone. Defined results: null text stays
 null with no values; other columns and repeated rows pass through; an input
 column named like an added one is replaced.
@@ -25,20 +30,33 @@ ROUNDS = 6
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+\-\x80-\uFFFF])[A-Za-z0-9._%+\-\x80-\uFFFF]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "secret": r"(?=[TSPAtspa])(?i:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_\-]{8,}[\"']",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d\-/.])\d{4}-\d{2}-\d{2}(?![\d\-/])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
     "social": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
 }
-_NUMERIC = ("address", "date", "phone", "social", "card")
-# At most places of a text no alternative can start; one look ahead settles the five of digits.
+_NUMERIC = ("address", "date", "phone", "social")
+# At most places of a text no alternative can start; one look ahead settles the four of digits.
 PATTERN = "|".join(f"(?:{p})" for k, p in SHAPES.items() if k not in _NUMERIC) + "|(?=[0-9+(])(?:" + "|".join(f"(?:{SHAPES[k]})" for k in _NUMERIC) + ")"
 #: No shape matches a text without one of these.
 HINT = "[0-9@\"']"
 ADDED = ("n_values", "kinds")
 
+#: Characters of an account by country, from the public registry; other countries by the general shape.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GENERAL = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + f"|(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')}){_GENERAL})(?![A-Za-z0-9])"
+#: Digit groups that may hold cards.
+STRETCH = r"(?<!\d)\d[\d \-]{12,}+"
+_CARD_DIGITS = range(19, 12, -1)
+# Values a pass has found are set in marks; marks of the text itself are escaped by characters no shape begins with.
+_OPEN, _CLOSE, _ESCAPE = "\x01", "\x02", "\x03"
+_ESCAPED = {_ESCAPE: _ESCAPE + "!", _OPEN: _ESCAPE + "#", _CLOSE: _ESCAPE + "$"}
+_DONE = f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}"
+
 
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
@@ -202,11 +220,11 @@ def _social(value: Column, key: str) -> Column:
     return F.when(value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), refill(value, feistel(symbols_of(value), key, "social")))
 
 
-_RULES = {"email": _email, "secret": _secret, "iban": _iban, "address": _address, "date": _date, "phone": _phone, "social": _social, "card": _card}
+_RULES = {"email": _email, "secret": _secret, "address": _address, "date": _date, "phone": _phone, "social": _social}
 
 
 def _judge(value: Column, key: str) -> Column:
-    """Kind of one match, by the first shape it fits, and its pseudonym; null if it doesn't validate."""
+    """Kinds and new text of one match, by the first shape it fits; no kinds and the old text if it doesn't validate."""
     kind = F.lit(None).cast("string")
     for name in reversed(_RULES):
         kind = F.when(value.rlike(f"^(?:{SHAPES[name]})$"), name).otherwise(kind)
@@ -215,20 +233,76 @@ def _judge(value: Column, key: str) -> Column:
         new = F.lit(None).cast("string")
         for name, rule in reversed(_RULES.items()):
             new = F.when(kind == name, rule(value, key)).otherwise(new)
-        return F.struct(kind.alias("kind"), new.alias("new"))
+        return let(new, lambda new: _found(value, kind, new))
 
     return let(kind, renamed)
 
 
+def _marked(new: Column) -> Column:
+    return F.concat(F.lit(_OPEN), new, F.lit(_CLOSE))
+
+
+def _found(value: Column, kind: Column, new: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(new.isNotNull(), F.array(kind)).otherwise(none).alias("kinds"), F.coalesce(_marked(new), value).alias("new"))
+
+
+def _judge_iban(value: Column, key: str) -> Column:
+    return let(F.when(~value.startswith(_OPEN), _iban(value, key)), lambda new: _found(value, F.lit("iban"), new))
+
+
+def _judge_stretch(value: Column, key: str) -> Column:
+    """The longest valid runs of the digit groups, none overlapping another."""
+
+    def runs(groups: Column, at: Column) -> Column:
+        near = F.array_join(F.slice(groups, at, 20), "")
+        sized = lambda near: F.array(*(F.regexp_extract(near, rf"^[ \-]?(\d(?:[ \-]?\d){{{n - 1}}})(?!\d)", 1) for n in _CARD_DIGITS))
+        fit = F.filter(let(near, sized), lambda run: (run != "") & (luhn_sum(symbols_of(run), False) % 10 == 0))
+        return F.transform(fit, lambda run: F.struct((-F.length(symbols_of(run))).alias("less"), at.alias("at"), F.size(F.split(run, "[ \\-]")).alias("n"), run.alias("run")))
+
+    def chosen(groups: Column) -> Column:
+        every = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda at: runs(groups, at))))
+        none = F.filter(every, lambda x: F.lit(False))
+        meets = lambda x: lambda y: (x["at"] < y["at"] + y["n"]) & (y["at"] < x["at"] + x["n"])
+        return F.aggregate(every, none, lambda acc, x: F.when(F.exists(acc, meets(x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+    def renamed(groups: Column, taken: Column) -> Column:
+        def one(group: Column, i: Column) -> Column:
+            mine = F.filter(taken, lambda x: (x["at"] <= i + 1) & (i + 1 < x["at"] + x["n"]))
+            first = F.concat(F.regexp_extract(group, "^[ \\-]?", 0), _marked(_card(mine[0]["run"], key)))
+            return F.when(F.size(mine) == 0, group).when(mine[0]["at"] == i + 1, first).otherwise("")
+
+        return F.struct(F.transform(taken, lambda x: F.lit("card")).alias("kinds"), F.array_join(F.transform(groups, one), "").alias("new"))
+
+    plain = F.struct(F.array().cast("array<string>").alias("kinds"), value.alias("new"))
+    split = let(F.split(value, "(?=[ \\-])"), lambda groups: let(chosen(groups), lambda taken: renamed(groups, taken)))
+    return F.when(value.startswith(_OPEN), plain).otherwise(split)
+
+
+def _pass(docs: DataFrame, column: str, pattern: str, hint: str, judge) -> DataFrame:
+    """Put what ``judge`` makes of each match in its place and add its kinds to ``_kinds``."""
+    # Parts and matches are bound once per row, and texts without matches skip the rebuilding.
+    none = F.array().cast("array<string>")
+    whole = docs.withColumn("_matches", F.transform(F.when(F.col(column).rlike(hint), F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))).otherwise(none), judge))
+    parts = F.split(F.col(column), pattern, -1)
+    new = F.concat(F.transform("_matches", lambda m: m["new"]), F.array(F.lit("")))
+    text = F.when(F.size("_matches") > 0, F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, b))), "")).otherwise(F.col(column))
+    return whole.withColumns({column: text, "_kinds": F.concat("_kinds", F.flatten(F.transform("_matches", lambda m: m["kinds"])))}).drop("_matches")
+
+
 def pseudonymise(docs: DataFrame, key: str = "gaugeflow", column: str = "text") -> DataFrame:
     """Replace the validated values of ``column``; add ``n_values`` and sorted distinct ``kinds``."""
     docs = docs.drop(*(c for c in docs.columns if c in ADDED))
-    # Parts and matches are bound once per row, and texts without matches skip the rebuilding.
-    whole = docs.withColumn("_matches", F.transform(F.when(F.col(column).rlike(HINT), F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")), lambda m: F.struct(m.alias("old"), _judge(m, key).alias("got"))))
-    parts = F.split(F.col(column), PATTERN, -1)
-    tail = F.array(F.lit(""))
-    new = F.concat(F.transform("_matches", lambda m: F.coalesce(m["got"]["new"], m["old"])), tail)
-    text = F.when(F.size("_matches") > 0, F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, b))), "")).otherwise(F.col(column))
-    kept = F.filter("_matches", lambda m: m["got"]["new"].isNotNull())
-    out = {column: text, "n_values": F.coalesce(F.when(F.col(column).isNotNull(), F.size(kept)), F.lit(0)).cast("long"), "kinds": F.coalesce(F.array_sort(F.array_distinct(F.transform(kept, lambda m: m["got"]["kind"]))), F.array().cast("array<string>"))}
-    return whole.withColumns(out).drop("_matches")
+    text = F.col(column)
+    own = text.rlike(f"[{_OPEN}{_CLOSE}{_ESCAPE}]")
+    escaped, plain = text, F.translate(text, _OPEN + _CLOSE, "")
+    for raw, safe in _ESCAPED.items():
+        escaped = F.replace(escaped, F.lit(raw), F.lit(safe))
+    for raw, safe in reversed(_ESCAPED.items()):
+        plain = F.replace(plain, F.lit(safe), F.lit(raw))
+    out = docs.withColumns({column: F.when(own, escaped).otherwise(text), "_kinds": F.array().cast("array<string>")})
+    out = _pass(out, column, PATTERN, HINT, lambda m: _judge(m, key))
+    out = _pass(out, column, f"{_DONE}|{IBAN}", "[A-Z]{2}[0-9]{2}", lambda m: _judge_iban(m, key))
+    out = _pass(out, column, f"{_DONE}|{STRETCH}", "[0-9][0-9 \\-]{12}", lambda m: _judge_stretch(m, key))
+    added = {"n_values": F.size("_kinds").cast("long"), "kinds": F.array_sort(F.array_distinct("_kinds"))}
+    return out.withColumns({column: F.when(text.rlike(f"[{_OPEN}{_ESCAPE}]"), plain).otherwise(text), **added}).drop("_kinds")

@@ -192,6 +192,15 @@ def test_pseudonyms(spark, docs):
     assert pii.pseudonymise(docs([])).count() == 0
 
 
+def test_validation_chooses_the_extent(spark, docs):
+    card, at, es = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"
+    values = [f"{card} 12/26", f"{card} 123", f"7 {card}", f"{at} BIC", f"{es} 2024", f"{at} {card} 2020-13-45 5", f"+49 {card}", "\x01\x03# a\x02@ 4111"]
+    got = [r for r in pii.pseudonymise(docs(list(enumerate(values)))).orderBy("doc_id").collect()]
+    assert [r["kinds"] for r in got] == [["card"]] * 3 + [["iban"]] * 2 + [["card", "iban"], ["card"], []]
+    assert all(len(r["text"]) == len(v) and card not in r["text"] and at not in r["text"] and es not in r["text"] for r, v in zip(got, values, strict=True))
+    assert got[0]["text"].endswith(" 12/26") and got[1]["text"].endswith(" 123") and got[3]["text"].endswith(" BIC") and got[7]["text"] == values[7]
+
+
 def test_dates_are_permuted(spark):
     days = spark.sql("select date_format(date_add(date'1800-01-01', cast(id as int)), 'yyyy-MM-dd') as v from range(0, 146097, 7)")
     got = days.select("v", pii._date(F.col("v"), "k").alias("n")).agg(F.count("*").alias("a"), F.count_distinct("n").alias("b"), F.count_if(F.col("n") == F.col("v")).alias("same")).first()
