@@ -4,8 +4,9 @@ The standard library's parser feeds blocks (the lines of the page). Elements tha
 are never part of an article (navigation, footers, forms, scripts, adverts,
 notices, comments, hidden parts) are skipped by name, role or class while parsing.
 The others get a text-to-tag ratio, smoothed by a Gaussian along the page; lines
-above the threshold that splits the smoothed ratios into two clusters seed content
-regions, and a region keeps all of its lines, short ones too.
+above the threshold that splits the smoothed ratios into two clusters seed content.
+Articles keep all of their lines, short ones too; on pages without them, the seeds'
+lowest common region does, less the regions in it that are mostly links.
 
 Defined results: null and empty pages give an empty text; repeated rows and extra
 columns pass through (a column named like a returned one is replaced); an
@@ -55,11 +56,11 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], int]] = []
 
     def flush(self) -> None:
         if text := _SPACE.sub(" ", "".join(self.parts)).strip():
-            self.lines.append((text, self.tags, self.linked, self.regions[-1] if self.regions else 0, self.articles[0] if self.articles else 0))
+            self.lines.append((text, self.tags, self.linked, tuple(self.regions), self.articles[0] if self.articles else 0))
             self.tags, self.linked = 0, 0
         self.parts = []
 
@@ -135,7 +136,7 @@ class _Lines(HTMLParser):
                 self.linked += len(data)
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, int, int]]:
+def lines_of(html: str) -> list[tuple[str, int, int, tuple[int, ...], int]]:
     parser = _Lines()
     parser.feed(_CUT_TAG.sub("", html))
     parser.close()
@@ -172,12 +173,25 @@ def main_text(html: str | None) -> str:
     linked = np.array([x[2] for x in lines], float)
     ratio = smooth(chars / tags * np.clip(1 - linked / chars, 0, 1))
     seeds = ratio >= threshold(ratio)
-    regions = {x[3] for x, s in zip(lines, seeds, strict=True) if s}
     articles = {x[4] for x, s in zip(lines, seeds, strict=True) if s and x[4]}
     if articles:  # the page says where its articles are
         return "\n".join(x[0] for x in lines if x[4] in articles)
-    rich = {r for r in regions if sum(c for x, c in zip(lines, linked, strict=True) if x[3] == r) <= 0.5 * sum(c for x, c in zip(lines, chars, strict=True) if x[3] == r)}
-    return "\n".join(x[0] for x in lines if x[3] in rich)
+    # Text and links of every region, its inner ones included.
+    size: dict[int, list[float]] = {}
+    for x, c, n in zip(lines, chars, linked, strict=True):
+        for region in x[3]:
+            have = size.setdefault(region, [0.0, 0.0])
+            have[0] += c
+            have[1] += n
+    poor = {region for region, (c, n) in size.items() if n > 0.5 * c}
+    paths = [x[3] for x, s in zip(lines, seeds, strict=True) if s and not poor.intersection(x[3][-1:])]
+    if not paths:
+        return ""
+    depth = 0
+    while all(len(p) > depth and p[depth] == paths[0][depth] for p in paths):
+        depth += 1
+    root = paths[0][:depth]
+    return "\n".join(x[0] for x in lines if x[3][:depth] == root and not poor.intersection(x[3][depth:]))
 
 
 def _extract(column: str):

@@ -142,6 +142,15 @@ def test_pages_without_article():
     assert html_text.main_text(page).split("\n")[-1] == "End." and "more" not in html_text.main_text(page) and "two" not in html_text.main_text(page)
 
 
+@pytest.mark.parametrize("sizes", [[500, 480, 470, 460], [400, 380, 60, 70, 50, 390, 410]])
+@pytest.mark.parametrize("tag", ["div", "section", "td"])
+def test_pages_with_a_region_for_each_paragraph(sizes, tag):
+    paragraphs = [("word " * n)[:n].strip() for n in sizes]
+    inner = "".join(f"<{tag}><p>{p}</p></{tag}>" for p in paragraphs)
+    page = f"<body><div><a href=1>one</a> <a href=2>two</a></div><div>{inner}</div><div><a href=1>more</a> <a href=2>links</a></div></body>"
+    assert html_text.main_text(page) == "\n".join(paragraphs)
+
+
 def feistel(value: str, key: str, kind: str, letters: int = 26) -> str:
     """The network in plain Python."""
     shape = "".join("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in value)
