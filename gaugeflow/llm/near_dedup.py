@@ -4,19 +4,28 @@
    ``kept`` least hashes among its k-mers of ``k`` words, every k-mer labelled with
    its occurrence number, taken in text order. Equal sketches mean equal k-mers in
    equal order, so the sketches follow edit similarity, not just overlap. Pairs
-   whose longer text has fewer than ``SHORT`` words meet by single words instead.
-   Scattered edits of a share e leave J = (1-e)^2 / (2 - (1-e)^2) of the pairs of
-   words, so a pair shares none of 64 sketches with probability (1 - J^3)^64: 0.001
-   at similarity 0.8, 0.00001 at 0.85, nothing to speak of above.
-2. Texts with an equal sketch form a bucket; each member is first paired with the
-   bucket's least document alone. All other pairs of a bucket follow, but only those
-   still in different classes and of lengths that allow a link; a bucket of unlike
-   texts thus costs the square of its size, in blocks of ``BLOCK`` by ``BLOCK``.
-3. A pair is a link if the word edit distance is at most (1 - ``similarity``) times
-   the longer text, by an alignment limited to that band of diagonals. Members are
-   aligned with their most frequent leader first; other leaders, and then other
-   members, only if that left them in different classes.
-4. Classes are the connected components, named by their least doc_id.
+   whose longer text has fewer than ``SHORT`` words meet by single words instead, as
+   one edit may touch all of their k-mers.
+2. Texts with an equal sketch form a bucket. Each member is first compared with the
+   leaders (least documents) of its buckets, the most frequent one before the others.
+3. Buckets whose members then lie in different classes give the texts still open.
+   An exact similarity join goes over these: a pair within the edit limit has all
+   but ``limit`` of the longer text's words in common, so both texts hold a common
+   word among the ``limit + 1`` words of each that come first in one global order,
+   rarest first (prefix filter). It finds every link between open texts, and texts
+   that merely have passages in common hardly meet, so that no bucket is spread out
+   into pairs.
+4. Candidates of both steps must pass a bound on the symmetric difference of their
+   words, from the parities of hashed words, before their texts are fetched.
+5. A pair is a link if the word edit distance is at most (1 - ``similarity``) times
+   the longer text: bounds by common word grams first, then an alignment limited to
+   that band of diagonals.
+6. Classes are the connected components, named by their least doc_id.
+
+Every pair of texts that shares a sketch is thus compared, or in one class already.
+Scattered edits of a share e leave J = (1-e)^5 / (2 - (1-e)^5) of the k-mers, so a pair
+shares none of 96 sketches with probability (1 - J^2)^96: 0.023 at similarity 0.8,
+0.0003 at 0.85, nothing to speak of above; edits in few places cost less.
 
 Defined results: texts without words (null, empty, blank) and rows with a null
 doc_id are each alone; equal texts are one class; rows that share a doc_id are one
@@ -30,38 +39,48 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import BLANK, Texts, cut, gram_hashes, mix, slices, word_hashes, word_spans
+from .shared import BLANK, Texts, cut, drop, gram_hashes, mix, slices, word_hashes, word_spans
 
-K, KEPT, SKETCHES, SIMILARITY = 2, 3, 64, 0.8
+K, KEPT, SKETCHES, SIMILARITY = 5, 2, 96, 0.8
 #: Below this many words an edit takes too large a share of the k-mers.
-SHORT = 32
-#: Members of a bucket are paired in blocks of about this many, so that no task holds a whole large bucket.
-BLOCK = 256
+SHORT = 48
+#: Longs of parity bits of a text's words.
+PARITY = 8
+#: Frequent words whose order is learned; all others count as rare.
+RANKED = 100_000
+#: Texts of up to this many words are aligned with the band's columns as bits.
+BITWISE = 4_096
+#: Words are compared with the next ones in chunks of this many when an alignment runs along a diagonal.
+_CHUNK = 32
+
+
+def labelled(hashes: np.ndarray) -> np.ndarray:
+    """Hashes with the occurrence number of each mixed in, so that no two are equal."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    runs = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    occurrence = np.empty(len(hashes), np.uint64)
+    occurrence[order] = np.arange(len(hashes)) - np.repeat(runs, np.diff(np.append(runs, len(hashes))))
+    with np.errstate(over="ignore"):
+        return mix(hashes + occurrence * np.uint64(0x632BE59BD9B4E019))
 
 
 def sketch_text(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int = SKETCHES) -> np.ndarray:
     """Order min-hash sketches of one text from its word hashes."""
-    grams = gram_hashes(words, min(k, len(words)))
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    runs = np.flatnonzero(fresh)
-    occurrence = np.empty(len(grams), np.uint64)
-    occurrence[order] = np.arange(len(grams)) - np.repeat(runs, np.diff(np.append(runs, len(grams))))
+    grams = labelled(gram_hashes(words, min(k, len(words))))
     with np.errstate(over="ignore"):
-        labelled = mix(grams + occurrence * np.uint64(0x632BE59BD9B4E019))
         seeds = mix(np.arange(1 + (k << 32), 1 + (k << 32) + sketches, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        hashes = mix(labelled[None, :] ^ seeds[:, None])
+        hashes = mix(grams[None, :] ^ seeds[:, None])
         take = min(kept, len(grams))
         least = np.argpartition(hashes, take - 1, axis=1)[:, :take] if take < len(grams) else np.tile(np.arange(take), (sketches, 1))
         least.sort(axis=1)  # text order
         out = seeds.copy()
         for j in range(take):
-            out = mix(out * np.uint64(0x5851F42D4C957F2D) + labelled[least[:, j]])
+            out = mix(out * np.uint64(0x5851F42D4C957F2D) + grams[least[:, j]])
     return out.view(np.int64)
 
 
@@ -74,6 +93,21 @@ def sketches_of(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int =
     return np.concatenate(parts)
 
 
+def parity_of(words: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of the text's labelled words falls on each of ``64 * PARITY`` bits.
+
+    Two texts differ in at most as many bits as their bags of words differ in words.
+    """
+    count = np.bincount((labelled(words) >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits(count & 1).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    sizes = [0 if r is None else len(r) for r in rows]
+    held = [r for r in rows if r is not None]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64)))
+
+
 def _sketch(k: int, kept: int, sketches: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,160 +115,286 @@ def _sketch(k: int, kept: int, sketches: int, similarity: float):
                 texts = Texts(part.column("text"))
                 starts, ends, first = word_spans(texts, BLANK)
                 words = word_hashes(texts.data, starts, ends)
-                rows = [sketches_of(words[a:b], k, kept, sketches, similarity) if b > a else None for a, b in pairwise(first)]
-                flat = pa.array(np.concatenate([r for r in rows if r is not None]) if any(r is not None for r in rows) else np.zeros(0, np.int64))
-                sizes = np.array([0 if r is None else len(r) for r in rows])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                n_words = pa.array(np.diff(first).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key_a"), part.column("key_b"), lists, n_words], names=["doc_id", "key_a", "key_b", "sketch", "n_words"])
+                own = [words[a:b] if b > a else None for a, b in pairwise(first)]
+                sketched = _lists([None if w is None else sketches_of(w, k, kept, sketches, similarity) for w in own])
+                parity = _lists([None if w is None else parity_of(w) for w in own])
+                keys = [part.column(c) for c in ("doc_id", "key_a", "key_b")]
+                yield pa.RecordBatch.from_arrays([*keys, sketched, parity, pa.array(np.diff(first).astype(np.int32))], names=["doc_id", "key_a", "key_b", "sketch", "parity", "n_words"])
 
     return run
 
 
-def edit_distance_within(a: list[bytes], b: list[bytes], most: int) -> int | None:
-    """Word edit distance if at most ``most``: furthest-reaching alignment in the band of 2 * most + 1 diagonals."""
+def limit_of(longer: int, similarity: float) -> int:
+    """Edits that a link may have."""
+    return int((1 - similarity) * longer + 1e-9)
+
+
+def numbered(*texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's words as numbers, equal for equal words."""
+    known: dict[bytes, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in words], np.int64) for words in texts]
+
+
+def _slide(a: np.ndarray, b: np.ndarray, i: np.ndarray, diagonal: np.ndarray) -> None:
+    """Move each ``i`` along its diagonal while the words are equal; both texts end in words of their own."""
+    live = np.flatnonzero(i >= 0)
+    live = live[a[i[live]] == b[i[live] + diagonal[live]]]
+    i[live] += 1
+    ahead = np.arange(_CHUNK)
+    while len(live):
+        x, y = i[live, None] + ahead, (i[live] + diagonal[live])[:, None] + ahead
+        same = a[np.minimum(x, len(a) - 1)] == b[np.minimum(y, len(b) - 1)]
+        whole = same.all(axis=1)
+        i[live] += np.where(whole, _CHUNK, same.argmin(axis=1))
+        live = live[whole]
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both texts without their common beginning and end."""
+    top = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:top] != b[:top])
+    low = int(unlike[0]) if len(unlike) else top
+    unlike = np.flatnonzero(a[low:][::-1][: top - low] != b[low:][::-1][: top - low])
+    tail = int(unlike[0]) if len(unlike) else top - low
+    return a[low : len(a) - tail], b[low : len(b) - tail]
+
+
+def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Word edit distance of numbered texts if at most ``most``, in the band of 2 * most + 1 diagonals."""
     if abs(len(a) - len(b)) > most:
         return None
-    low = 0
-    top = min(len(a), len(b))
-    while low < top and a[low] == b[low]:
-        low += 1
-    tail = 0
-    while tail < top - low and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[low : len(a) - tail], b[low : len(b) - tail]
+    a, b = _apart(a, b)
+    if not len(a) or not len(b):
+        return max(len(a), len(b)) if max(len(a), len(b)) <= most else None
+    return _by_columns(a.tolist(), b.tolist(), most) if max(len(a), len(b)) <= BITWISE else _by_reach(a, b, most)
+
+
+def _by_columns(a: list[int], b: list[int], most: int) -> int | None:
+    """The band's columns one by one, each the bits of its vertical steps up and down; bit r is row j - most + r."""
+    where: dict[int, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    mask = (1 << 2 * most + 1) - 1
+    up, down = mask >> most << most, 0  # above the text there are no steps
+    goal = len(a) - len(b)
+    watched, distance = 1 << most + goal, max(goal, 0)  # the goal's diagonal, on which the distance never falls
+    for j, w in enumerate(b):
+        same = where.get(w, 0)
+        same = (same >> j - most if j > most else same << most - j) & mask
+        flat = ((same & up) + up ^ up | same | down) & mask  # no step along the diagonal
+        if not flat & watched:
+            distance += 1
+            if distance > most:
+                return None
+        right = (down | ~(flat | up)) & mask
+        left = flat & up
+        up, down = (left | ~(flat >> 1 | right)) & mask, flat >> 1 & right
+    return distance
+
+
+def _by_reach(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The furthest row reached on each diagonal of the band, for one edit more at a time."""
     n, m = len(a), len(b)
-    if not n or not m:
-        return max(n, m) if max(n, m) <= most else None
-    goal, none = m - n, -2
-    reach = {0: -1}  # diagonal -> furthest row of ``a`` reached, before the slide
+    a, b, goal, none = np.append(a, -1), np.append(b, -2), m - n, -2
+    first, reach = 0, np.array([-1])  # least diagonal, and the furthest row of ``a`` on it and the next ones
     for d in range(most + 1):
-        now = {}
-        for diagonal in range(-min(d, n), min(d, m) + 1):
-            if abs(goal - diagonal) > most - d:
-                continue  # can't come back to the goal within the band
-            if d == 0:
-                i = 0
-            else:
-                i = max(reach.get(diagonal - 1, none), reach.get(diagonal, none) + 1, reach.get(diagonal + 1, none) + 1)
-            if i < 0:
-                continue
-            i = min(i, n, m - diagonal)
-            while i < n and i + diagonal < m and a[i] == b[i + diagonal]:
-                i += 1
-            now[diagonal] = i
-        if now.get(goal, none) >= n:
+        low, high = max(-d, -n, goal - most + d), min(d, m, goal + most - d)  # others can't come back to the goal within the band
+        if low > high:
+            return None
+        diagonal = np.arange(low, high + 1)
+        if d == 0:
+            now = np.zeros(len(diagonal), np.int64)
+        else:
+            pad = np.full(max(2, 2 + first - low), none), np.full(max(2, 2 + high - first - len(reach) + 1), none)
+            wide, at = np.concatenate([pad[0], reach, pad[1]]), low - first + len(pad[0])
+            size = len(diagonal)
+            now = np.maximum(np.maximum(wide[at - 1 : at - 1 + size], wide[at : at + size] + 1), wide[at + 1 : at + 1 + size] + 1)
+            now = np.where(now < 0, none, np.minimum(np.minimum(now, n), m - diagonal))
+        _slide(a, b, now, diagonal)
+        if low <= goal <= high and now[goal - low] >= n:
             return d
-        reach = now
+        first, reach = low, now
     return None
 
 
-def similar(a: list[bytes], b: list[bytes], similarity: float = SIMILARITY, k: int = K) -> bool:
-    """Whether 1 - edit distance / longer length reaches ``similarity``."""
-    longer = max(len(a), len(b))
-    most = int((1 - similarity) * longer + 1e-9)
+def _lacking(a: np.ndarray, b: np.ndarray) -> int:
+    """The larger of the two bag differences of numbered items."""
+    size = 1 + max(a.max(initial=-1), b.max(initial=-1))
+    more = np.bincount(a, minlength=size) - np.bincount(b, minlength=size)
+    return max(int(more[more > 0].sum()), -int(more[more < 0].sum()))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether 1 - edit distance / longer length of two numbered texts reaches ``similarity``."""
+    most = limit_of(max(len(a), len(b)), similarity)
     if abs(len(a) - len(b)) > most:
         return False
-    # One edit changes at most k of the k-mers of the longer text.
-    need = longer - k + 1 - k * most
-    if need > 0:
-        grams = {}
-        for i in range(len(a) - k + 1):
-            g = tuple(a[i : i + k])
-            grams[g] = grams.get(g, 0) + 1
-        for i in range(len(b) - k + 1):
-            g = tuple(b[i : i + k])
-            if grams.get(g, 0):
-                grams[g] -= 1
-                need -= 1
-        if need > 0:
+    # One edit touches at most g of the grams of g words on either side.
+    one, two = a, b
+    for g in range(1, 5 if min(len(a), len(b)) > BITWISE else 2):
+        if g > 1:
+            size = 1 + max(one.max(), two.max(), a.max(), b.max())
+            pairs = np.concatenate([one[:-1] * size + a[g - 1 :], two[:-1] * size + b[g - 1 :]])
+            names = np.unique(pairs, return_inverse=True)[1]
+            one, two = names[: len(a) - g + 1], names[len(a) - g + 1 :]
+        if _lacking(one, two) > g * most:
             return False
     return edit_distance_within(a, b, most) is not None
 
 
-def _align(similarity: float, k: int):
+def _align(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = None, []
         for batch in batches:
             a, b = [], []
-            for leader, member, one, two in zip(*(batch.column(c).to_pylist() for c in ("leader", "member", "leader_text", "member_text")), strict=True):
-                if held != one:
-                    held, words = one, one.encode().split()
-                if similar(words, two.encode().split(), similarity, k):
-                    a.append(leader)
-                    b.append(member)
+            for leader, member, one, two in zip(*(batch.column(c) for c in ("leader", "member", "leader_text", "member_text")), strict=True):
+                if similar(*numbered(one.as_py().encode().split(), two.as_py().encode().split()), similarity):
+                    a.append(leader.as_py())
+                    b.append(member.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+def _likely(a: str, b: str, similarity: float) -> Column:
+    """Whether the lengths and word parities of the rows named by the prefixes ``a`` and ``b`` allow a link."""
+    longer, shorter = F.greatest(f"{a}_n_words", f"{b}_n_words"), F.least(f"{a}_n_words", f"{b}_n_words")
+    most = F.floor(F.lit(1 - similarity) * longer + 1e-9)
+    unlike = sum((F.bit_count(F.col(f"{a}_parity")[i].bitwiseXOR(F.col(f"{b}_parity")[i])) for i in range(PARITY)), F.lit(0))
+    # A replaced word is one lost and one gained; an edit of length one is lost or gained.
+    return (longer - shorter <= most) & (unlike <= 2 * most - (longer - shorter))
+
+
+def _described(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(leader, member, more columns) whose word bounds allow a link."""
+    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("n_words").alias(f"{name}_n_words"), F.col("parity").alias(f"{name}_parity"))
+    met = pairs.join(side("member"), "member").join(side("leader"), "leader")
+    return met.where(_likely("leader", "member", similarity)).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     mine = texts.select(F.col("doc_id").alias("member"), F.col("text").alias("member_text"))
     other = texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text"))
-    return pairs.join(mine, "member").join(other, "leader").mapInArrow(_align(similarity, k), "a long, b long")
+    return pairs.select("leader", "member").join(mine, "member").join(other, "leader").mapInArrow(_align(similarity), "a long, b long")
 
 
-def _other_pairs(members: DataFrame, pairs: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """(leader, member) of all pairs of a bucket that no leader compared, whose classes differ and whose lengths allow a link."""
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` with the classes of both, where these differ."""
+    side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    named = pairs.join(side("leader"), "leader", "left").join(side("member"), "member", "left")
+    named = named.withColumns({f"{x}_label": F.coalesce(f"{x}_label", x) for x in ("leader", "member")})
+    return named.where("leader_label <> member_label")
+
+
+def _words(ranks=None, similarity: float = SIMILARITY):
+    """The labelled words of each text, or with ``ranks`` only those of its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rank = ranks.value if ranks else (None, None)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = Texts(part.column("text"))
+                starts, ends, first = word_spans(texts, BLANK)
+                hashes, out = word_hashes(texts.data, starts, ends), []
+                for a, b in pairwise(first):
+                    words = labelled(hashes[a:b])
+                    if ranks and len(words):
+                        place = np.minimum(np.searchsorted(names, words), max(0, len(names) - 1))
+                        score = np.where(names[place] == words, rank[place], -1) if len(names) else np.full(len(words), -1)
+                        words = words[np.lexsort((words, score))][: limit_of(len(words), similarity) + 1]
+                    out.append(words.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), _lists(out)], names=[*(c for c in part.schema.names if c != "text"), "words"])
+
+    return run
+
+
+def open_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(leader, member, shared) of all pairs of ``texts`` (doc_id, text, n_words, parity, label) that may be links between classes.
+
+    Prefix filter: one global order of labelled words, by how many texts hold them;
+    a link's texts meet in the first words of both. Any order is exact; the learned
+    ranks of frequent words, at most ``RANKED``, only make the meetings few.
+    """
+    spark = texts.sparkSession
+    flat = texts.select("doc_id", "text").mapInArrow(_words(), "doc_id long, words array<long>").select(F.explode("words").alias("word"))
+    common = flat.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(RANKED).toPandas()
+    names, order = common["word"].to_numpy(np.int64).view(np.uint64), np.argsort(common["word"].to_numpy(np.int64).view(np.uint64))
+    ranks = spark.sparkContext.broadcast((names[order], common["n"].to_numpy(np.int64)[order]))
+    held = texts.select("doc_id", "label", "text").mapInArrow(_words(ranks, similarity), "doc_id long, label long, words array<long>")
+    held = cut(held.select("doc_id", "label", F.explode("words").alias("word")))
+    mixed = held.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("word")
+    met = cut(held.join(mixed, "word").join(texts.select("doc_id", "n_words", "parity"), "doc_id"), held)
+    side = lambda tag: met.select("word", *(F.col(c).alias(f"{tag}_{c}") for c in ("doc_id", "n_words", "parity", "label")))
+    pairs = side("a").join(side("b"), "word").where("a_doc_id < b_doc_id and a_label <> b_label").where(_likely("a", "b", similarity))
+    return cut(pairs.groupBy(F.col("a_doc_id").alias("leader"), F.col("b_doc_id").alias("member")).agg(F.count("*").alias("shared")), met)
+
+
+def _strongest(pairs: DataFrame) -> DataFrame:
+    """One pair of each two classes, the one that shares most."""
+    low, high = F.least("leader_label", "member_label"), F.greatest("leader_label", "member_label")
+    return pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.max_by(F.struct("leader", "member"), F.struct("shared", (-F.col("leader")).alias("l"), (-F.col("member")).alias("m"))).alias("p")).select("p.*")
+
+
+def links_of(sketched: DataFrame, texts_of, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of links, and (node, label) of their components, among distinct texts (rep, sketch).
+
+    ``texts_of`` gives doc_id, text, n_words, parity of the given ids.
+    """
+    spread = sketched.select("rep", F.explode("sketch").alias("value"))  # each is seeded by its number
+    # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
+    leaders = cut(spread.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = cut(spread.join(leaders, "value"), leaders)
+    texts = cut(texts_of(members.select(F.col("rep").alias("doc_id")).distinct()))
+    met = members.where("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared"))
+    pairs = cut(_described(met, texts, similarity))
+    best = pairs.groupBy("member").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("small"))).alias("leader"))
+    links = cut(_verified(best, texts, similarity))
+    labels = components(links)
+    rest = _labelled(pairs.join(best, ["leader", "member"], "left_anti"), labels)
+    links, labels = _joined(links, labels, cut(_verified(rest, texts, similarity), pairs))
+    # Buckets that still hold several classes: all links between the texts in them.
+    named = members.select("value", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = named.join(mixed, "value").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
-    cells = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    cells = cut(cells.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "n_words", "label"))
-    side = lambda tag: cells.select("value", "i", "j", *(F.col(c).alias(f"{tag}_{c}") for c in ("block", "rep", "n_words", "label")))
-    longer, shorter = F.greatest("a_n_words", "b_n_words"), F.least("a_n_words", "b_n_words")
-    found = (
-        side("a")
-        .join(side("b"), ["value", "i", "j"])
-        .where("a_rep < b_rep and a_label <> b_label and (i = j or a_block <> b_block)")
-        .where(longer - shorter <= F.floor(F.lit(1 - similarity) * longer + 1e-9))
-        .select(F.col("a_rep").alias("leader"), F.col("b_rep").alias("member"))
-        .distinct()
-    )
-    return found.join(pairs, ["leader", "member"], "left_anti")
+    still = cut(named.join(mixed, "value").select(F.col("rep").alias("doc_id"), "label").distinct(), members)
+    if still.limit(1).count():
+        pairs = open_pairs(texts.join(still, "doc_id"), similarity)
+        first = cut(_strongest(_labelled(pairs, labels)))
+        links, labels = _joined(links, labels, cut(_verified(first, texts, similarity)))
+        rest = _labelled(pairs, labels).join(first, ["leader", "member"], "left_anti")
+        links, labels = _joined(links, labels, cut(_verified(rest, texts, similarity), pairs, first))
+    drop(texts, still)
+    return links, labels
+
+
+def _joined(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if not more.limit(1).count():
+        return links, labels
+    links = cut(links.unionByName(more), links, more)
+    return links, components(links, labels)
 
 
 def classes(docs: DataFrame, k: int = K, kept: int = KEPT, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key_a, key_b, class_id) of every row of ``docs`` (doc_id, text); the keys hash the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(7), F.col("text")).alias("key_b"))
-    sketched = cut(rows.mapInArrow(_sketch(k, kept, sketches, similarity), "doc_id long, key_a long, key_b long, sketch array<long>, n_words int"))
-    wordy = sketched.where((F.size("sketch") > 0) & F.col("doc_id").isNotNull())
+    made = cut(rows.mapInArrow(_sketch(k, kept, sketches, similarity), "doc_id long, key_a long, key_b long, sketch array<long>, parity array<long>, n_words int"))
     # Equal texts have equal sketches, so any of them stands for all.
-    distinct = wordy.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_words").alias("n_words"))
-    distinct = cut(distinct)
-    spread = distinct.select("rep", "n_words", F.explode("sketch").alias("value"))  # each is seeded by its number
-    # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    leaders = cut(spread.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(spread.join(leaders, "value"))
-    pairs = cut(members.where("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared")))
-    involved = pairs.select(F.col("leader").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
-    texts = cut(rows.join(distinct.select(F.col("rep").alias("doc_id"), "key_a", "key_b").join(involved, "doc_id"), ["doc_id", "key_a", "key_b"]).select("doc_id", "key_a", "text").dropDuplicates(["doc_id", "key_a"]).select("doc_id", "text"))
-    best = pairs.groupBy("member").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("small"))).alias("leader"))
-    links = cut(_verified(best, texts, similarity, k))
-    labels = components(links)
-    side = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    apart = (
-        pairs.join(best, ["leader", "member"], "left_anti")
-        .join(side("leader"), "leader", "left")
-        .join(side("member"), "member", "left")
-        .where(F.coalesce("leader_label", "leader") != F.coalesce("member_label", "member"))
-        .select("leader", "member")
-    )
-    more = cut(_verified(apart, texts, similarity, k))
-    links = links.unionByName(more)
-    labels = components(links) if more.limit(1).count() else labels
-    rest = cut(_other_pairs(members, pairs, labels, similarity))
-    more = cut(_verified(rest, texts, similarity, k))
+    wordy = made.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
+    distinct = cut(wordy.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "parity", "n_words"))))
+    sketched = cut(made.select("doc_id", "key_a", "key_b", "n_words"), made)
+    wordy = sketched.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        known = distinct.select(F.col("rep").alias("doc_id"), "key_a", "key_b", "n_words", "parity").join(ids, "doc_id")
+        return rows.join(known, ["doc_id", "key_a", "key_b"]).dropDuplicates(["doc_id", "key_a"]).select("doc_id", "text", "n_words", "parity")
+
+    links, labels = links_of(distinct, texts_of, similarity)
     # Rows of one text and rows of one doc_id hang together too.
-    copies = wordy.join(distinct.select("key_a", "key_b", "rep"), ["key_a", "key_b"])
-    shared_id = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    distinct = cut(distinct.select("key_a", "key_b", "rep"), distinct)
+    copies = wordy.join(distinct, ["key_a", "key_b"])
     twice = wordy.groupBy("doc_id").agg(F.count_distinct("key_a").alias("n")).where("n > 1")
-    labels = components(links.unionByName(more)) if more.limit(1).count() else labels
     if twice.limit(1).count():
-        labels = components(links.unionByName(more).unionByName(shared_id))
+        labels = components(links.unionByName(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     named = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "key_a", "key_b", F.coalesce("label", "rep").alias("class_id"))
-    alone = sketched.where((F.size("sketch") == 0) | F.col("doc_id").isNull()).select("doc_id", "key_a", "key_b", F.col("doc_id").alias("class_id"))
+    alone = sketched.where((F.col("n_words") == 0) | F.col("doc_id").isNull()).select("doc_id", "key_a", "key_b", F.col("doc_id").alias("class_id"))
     return named.unionByName(alone)
 
 

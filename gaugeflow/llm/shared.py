@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +26,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none."""
-    spark_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if spark_dir.isDefined():
-        return spark_dir.get()
+    """The folder all executors see: ``spark.checkpoint.dir``, or on one machine a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
+    if named:
+        return named
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _own_dirs[context.applicationId]
+
+
+_lock = threading.Lock()
+_writers: WeakKeyDictionary = WeakKeyDictionary()
+
+
+@contextmanager
+def _settings(spark: SparkSession):
+    """Settings of written steps, held while any step of the session is being written."""
+    with _lock:
+        count, held = _writers.get(spark, (0, None))
+        if not count:
+            held = {k: spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
+            rows = int(held[_BATCH])
+            spark.conf.set(_CLEANUP, "true")
+            spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+        _writers[spark] = count + 1, held
+    try:
+        yield
+    finally:
+        with _lock:
+            count, held = _writers[spark]
+            _writers[spark] = count - 1, held
+            if count == 1:
+                for k, v in held.items():
+                    spark.conf.set(k, v)
 
-        named = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
+_paths: WeakKeyDictionary = WeakKeyDictionary()
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; empty the written tables ``done``.
 
     The written files survive lost executors. The shuffle files of the write are
     released when it ends instead of when the driver happens to collect garbage,
@@ -43,16 +80,19 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    rows = int(spark.conf.get(_BATCH))
-    held = {k: spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
-    spark.conf.set(_CLEANUP, "true")
-    spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
-    try:
+    with _settings(spark):
         df.write.parquet(path)
-    finally:
-        for k, v in held.items():
-            spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    drop(*done)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Empty tables that ``cut`` has written and nothing will read again."""
+    for one in tables:
+        if path := _paths.pop(one, None):
+            one.sparkSession.createDataFrame([], one.schema).write.mode("overwrite").parquet(path)
 
 
 def byte_lut(is_word) -> np.ndarray:
@@ -111,19 +151,6 @@ def word_spans(texts: Texts, lut: np.ndarray, data: np.ndarray | None = None) ->
     return starts, ends, np.searchsorted(starts, texts.off, "left")
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: int, size: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < size:
-        row = np.full(max(size, 1 << 16), base, np.uint64)
-        row[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[name] = np.cumprod(row, dtype=np.uint64)
-    return _powers[name][:size]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -133,18 +160,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LONG = 64  # bytes of a word beyond which it is hashed on its own
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by prefix sums of a polynomial modulo 2**64."""
+    """A 64-bit hash of each word's bytes, eight of them at a time."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table("up", _BASE, len(data)), out=total[1:], dtype=np.uint64)
-        value = (total[ends] - total[starts]) * _table("down", _INVERSE, len(data) + 1)[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * _MULT)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * np.uint64(_BASE))
+    short = length <= _LONG
+    rows = np.flatnonzero(short)
+    for at in range(0, _LONG, 8):
+        rows = rows[length[rows] > at]
+        if not len(rows):
+            break
+        value = eight[starts[rows] + at] & _FIRST_BYTES[np.minimum(length[rows] - at, 8)]
+        out[rows] = mix((out[rows] ^ value) + np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(~short):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
