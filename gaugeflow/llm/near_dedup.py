@@ -8,13 +8,13 @@
    one edit may touch all of their k-mers.
 2. Texts with an equal sketch form a bucket. Each member is first compared with the
    leaders (least documents) of its buckets, the most frequent one before the others.
-3. Buckets whose members then lie in different classes give the texts still open.
-   An exact similarity join goes over these: a pair within the edit limit has all
-   but ``limit`` of the longer text's words in common, so both texts hold a common
-   word among the ``limit + 1`` words of each that come first in one global order,
-   rarest first (prefix filter). It finds every link between open texts, and texts
-   that merely have passages in common hardly meet, so that no bucket is spread out
-   into pairs.
+3. Buckets whose members then lie in different classes are still open. Up to ``FEW``
+   members, all pairs of a bucket are judged. For the texts of larger buckets there is
+   an exact similarity join: a pair within the edit limit has all but ``limit`` of the
+   longer text's words in common, so both texts hold a common word among the
+   ``limit + 1`` words of each that come first in one global order, rarest first
+   (prefix filter). It finds every link between these texts, and texts that merely
+   have passages in common hardly meet, so that no large bucket is spread into pairs.
 4. Candidates of both steps must pass a bound on the symmetric difference of their
    words, from the parities of hashed words, before their texts are fetched.
 5. A pair is a link if the word edit distance is at most (1 - ``similarity``) times
@@ -50,6 +50,8 @@ K, KEPT, SKETCHES, SIMILARITY = 5, 2, 96, 0.8
 SHORT = 48
 #: Longs of parity bits of a text's words.
 PARITY = 8
+#: Members of a bucket up to which their pairs are judged one by one.
+FEW = 256
 #: Frequent words whose order is learned; all others count as rare.
 RANKED = 100_000
 #: Texts of up to this many words are aligned with the band's columns as bits.
@@ -74,12 +76,16 @@ def sketch_text(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int =
     grams = labelled(gram_hashes(words, min(k, len(words))))
     with np.errstate(over="ignore"):
         seeds = mix(np.arange(1 + (k << 32), 1 + (k << 32) + sketches, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        hashes = mix(grams[None, :] ^ seeds[:, None])
-        take = min(kept, len(grams))
-        least = np.argpartition(hashes, take - 1, axis=1)[:, :take] if take < len(grams) else np.tile(np.arange(take), (sketches, 1))
+        hashes = grams[None, :] ^ seeds[:, None]
+        hashes *= mix(seeds)[:, None] | np.uint64(1)
+        least = np.empty((sketches, min(kept, len(grams))), np.int64)
+        rows = np.arange(sketches)
+        for j in range(least.shape[1]):
+            least[:, j] = hashes.argmin(axis=1)
+            hashes[rows, least[:, j]] = np.iinfo(np.uint64).max
         least.sort(axis=1)  # text order
         out = seeds.copy()
-        for j in range(take):
+        for j in range(least.shape[1]):
             out = mix(out * np.uint64(0x5851F42D4C957F2D) + grams[least[:, j]])
     return out.view(np.int64)
 
@@ -271,6 +277,13 @@ def _described(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return met.where(_likely("leader", "member", similarity)).select(*pairs.columns)
 
 
+def _met(held: DataFrame, key: str, similarity: float) -> DataFrame:
+    """(leader, member, shared) of the rows of ``held`` (key, doc_id, n_words, parity, label) with an equal key that may be links between classes."""
+    side = lambda tag: held.select(key, *(F.col(c).alias(f"{tag}_{c}") for c in ("doc_id", "n_words", "parity", "label")))
+    pairs = side("a").join(side("b"), key).where("a_doc_id < b_doc_id and a_label <> b_label").where(_likely("a", "b", similarity))
+    return pairs.groupBy(F.col("a_doc_id").alias("leader"), F.col("b_doc_id").alias("member")).agg(F.count("*").alias("shared"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     mine = texts.select(F.col("doc_id").alias("member"), F.col("text").alias("member_text"))
     other = texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text"))
@@ -307,7 +320,7 @@ def _words(ranks=None, similarity: float = SIMILARITY):
     return run
 
 
-def open_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(leader, member, shared) of all pairs of ``texts`` (doc_id, text, n_words, parity, label) that may be links between classes.
 
     Prefix filter: one global order of labelled words, by how many texts hold them;
@@ -317,15 +330,29 @@ def open_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = texts.sparkSession
     flat = texts.select("doc_id", "text").mapInArrow(_words(), "doc_id long, words array<long>").select(F.explode("words").alias("word"))
     common = flat.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(RANKED).toPandas()
-    names, order = common["word"].to_numpy(np.int64).view(np.uint64), np.argsort(common["word"].to_numpy(np.int64).view(np.uint64))
+    names = common["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
     ranks = spark.sparkContext.broadcast((names[order], common["n"].to_numpy(np.int64)[order]))
     held = texts.select("doc_id", "label", "text").mapInArrow(_words(ranks, similarity), "doc_id long, label long, words array<long>")
     held = cut(held.select("doc_id", "label", F.explode("words").alias("word")))
     mixed = held.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("word")
+    # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
     met = cut(held.join(mixed, "word").join(texts.select("doc_id", "n_words", "parity"), "doc_id"), held)
-    side = lambda tag: met.select("word", *(F.col(c).alias(f"{tag}_{c}") for c in ("doc_id", "n_words", "parity", "label")))
-    pairs = side("a").join(side("b"), "word").where("a_doc_id < b_doc_id and a_label <> b_label").where(_likely("a", "b", similarity))
-    return cut(pairs.groupBy(F.col("a_doc_id").alias("leader"), F.col("b_doc_id").alias("member")).agg(F.count("*").alias("shared")), met)
+    return cut(_met(met, "word", similarity), met)
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(leader, member, shared) of all pairs in a bucket of ``members`` (value, rep) that may be links between classes."""
+    named = members.select("value", F.col("rep").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("value", "n")
+    still = cut(named.join(mixed, "value").select("value", "n", "doc_id", "label"))
+    few = cut(still.where(F.col("n") <= FEW).join(texts.select("doc_id", "n_words", "parity"), "doc_id"))
+    pairs = cut(_met(few, "value", similarity), few)
+    many = cut(still.where(F.col("n") > FEW).select("doc_id", "label").distinct(), still)
+    if many.limit(1).count():
+        pairs = cut(pairs.unionByName(prefix_pairs(texts.join(many, "doc_id"), similarity)).groupBy("leader", "member").agg(F.sum("shared").alias("shared")), pairs)
+    drop(many)
+    return pairs
 
 
 def _strongest(pairs: DataFrame) -> DataFrame:
@@ -351,17 +378,12 @@ def links_of(sketched: DataFrame, texts_of, similarity: float = SIMILARITY) -> t
     labels = components(links)
     rest = _labelled(pairs.join(best, ["leader", "member"], "left_anti"), labels)
     links, labels = _joined(links, labels, cut(_verified(rest, texts, similarity), pairs))
-    # Buckets that still hold several classes: all links between the texts in them.
-    named = members.select("value", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-    still = cut(named.join(mixed, "value").select(F.col("rep").alias("doc_id"), "label").distinct(), members)
-    if still.limit(1).count():
-        pairs = open_pairs(texts.join(still, "doc_id"), similarity)
-        first = cut(_strongest(_labelled(pairs, labels)))
-        links, labels = _joined(links, labels, cut(_verified(first, texts, similarity)))
-        rest = _labelled(pairs, labels).join(first, ["leader", "member"], "left_anti")
-        links, labels = _joined(links, labels, cut(_verified(rest, texts, similarity), pairs, first))
-    drop(texts, still)
+    pairs = open_pairs(members, labels, texts, similarity)
+    first = cut(_strongest(_labelled(pairs, labels)), members)
+    links, labels = _joined(links, labels, cut(_verified(first, texts, similarity)))
+    rest = _labelled(pairs, labels).join(first, ["leader", "member"], "left_anti")
+    links, labels = _joined(links, labels, cut(_verified(rest, texts, similarity), pairs, first))
+    drop(texts)
     return links, labels
 
 

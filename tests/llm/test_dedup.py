@@ -180,8 +180,10 @@ def forms(rng, n, words, fresh, first):
     return template, at, [(first + i, " ".join([*template[:at], *(f"f{first + i}x{j}" for j in range(fresh)), *template[at:]])) for i in range(n)]
 
 
-def test_classes_equal_all_pairs(spark, docs):
+@pytest.mark.parametrize("few", [256, 1])
+def test_classes_equal_all_pairs(spark, docs, monkeypatch, few):
     """Random, templated and short texts, with edits around the limit of a link."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
     rng = random.Random(11)
     rows = []
     for i in range(25):
