@@ -6,8 +6,9 @@
    equal order, so the sketches follow edit similarity, not just overlap. Pairs
    whose longer text has fewer than ``SHORT`` words meet by single words instead, as
    one edit may touch all of their k-mers.
-2. Texts with an equal sketch form a bucket. Each member is first compared with the
-   leaders (least documents) of its buckets, the most frequent one before the others.
+2. Texts with an equal sketch form a bucket. In each of ``TURNS`` turns a member of the
+   bucket's largest class leads it, and every text outside that class is compared with
+   the likely leader (4) that it meets in most buckets.
 3. Buckets whose members then lie in different classes are still open. Up to ``FEW``
    members, all pairs of a bucket are judged. For the texts of larger buckets there is
    an exact similarity join: a pair within the edit limit has all but ``limit`` of the
@@ -39,7 +40,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -48,12 +49,14 @@ from .shared import BLANK, Texts, cut, drop, gram_hashes, mix, slices, word_hash
 K, KEPT, SKETCHES, SIMILARITY = 5, 2, 96, 0.8
 #: Below this many words an edit takes too large a share of the k-mers.
 SHORT = 48
-#: Longs of parity bits of a text's words.
-PARITY = 8
+#: Least and most parity bits of a text's words; in between four for each word.
+PARITY_BITS = 1 << 9, 1 << 14
+#: Elections of leaders before all pairs that are still apart are judged.
+TURNS, LEADERS = 2, 8
 #: Members of a bucket up to which their pairs are judged one by one.
-FEW = 256
-#: Frequent words whose order is learned; all others count as rare.
-RANKED = 100_000
+FEW = 2_048
+#: Frequent words whose order is learned, from so many texts; all others count as rare.
+RANKED, SAMPLE = 100_000, 2_000
 #: Texts of up to this many words are aligned with the band's columns as bits.
 BITWISE = 4_096
 #: Words are compared with the next ones in chunks of this many when an alignment runs along a diagonal.
@@ -100,14 +103,22 @@ def sketches_of(words: np.ndarray, k: int = K, kept: int = KEPT, sketches: int =
 
 
 def parity_of(words: np.ndarray) -> np.ndarray:
-    """Whether an even or odd number of the text's labelled words falls on each of ``64 * PARITY`` bits.
+    """Whether an even or odd number of the text's labelled words falls on each of a power of two of bits.
 
     Two texts differ in at most as many bits as their bags of words differ in words.
     """
-    count = np.bincount((labelled(words) >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    bits = min(PARITY_BITS[1], max(PARITY_BITS[0], 1 << (4 * len(words) - 1).bit_length()))
+    count = np.bincount((labelled(words) >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits(count & 1).view(np.int64)
 
 
+def folded(parity: np.ndarray, longs: int) -> np.ndarray:
+    """The parity of the same text over fewer bits."""
+    while parity.shape[-1] > longs:
+        parity = parity[..., : parity.shape[-1] // 2] ^ parity[..., parity.shape[-1] // 2 :]
+    return parity
+
+
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     sizes = [0 if r is None else len(r) for r in rows]
     held = [r for r in rows if r is not None]
@@ -123,13 +134,24 @@ def _sketch(k: int, kept: int, sketches: int, similarity: float):
                 words = word_hashes(texts.data, starts, ends)
                 own = [words[a:b] if b > a else None for a, b in pairwise(first)]
                 sketched = _lists([None if w is None else sketches_of(w, k, kept, sketches, similarity) for w in own])
-                parity = _lists([None if w is None else parity_of(w) for w in own])
                 keys = [part.column(c) for c in ("doc_id", "key_a", "key_b")]
-                yield pa.RecordBatch.from_arrays([*keys, sketched, parity, pa.array(np.diff(first).astype(np.int32))], names=["doc_id", "key_a", "key_b", "sketch", "parity", "n_words"])
+                yield pa.RecordBatch.from_arrays([*keys, sketched, pa.array(np.diff(first).astype(np.int32))], names=["doc_id", "key_a", "key_b", "sketch", "n_words"])
 
     return run
 
 
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words and parities of each text."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = Texts(part.column("text"))
+            starts, ends, first = word_spans(texts, BLANK)
+            words = word_hashes(texts.data, starts, ends)
+            parity = [parity_of(words[a:b]) for a, b in pairwise(first)]
+            short = [folded(p, PARITY_BITS[0] // 64) for p in parity]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(np.diff(first).astype(np.int32)), _lists(parity), _lists(short)], names=["doc_id", "text", "n_words", "parity", "short"])
+
+
 def limit_of(longer: int, similarity: float) -> int:
     """Edits that a link may have."""
     return int((1 - similarity) * longer + 1e-9)
@@ -261,27 +283,87 @@ def _align(similarity: float):
     return run
 
 
-def _likely(a: str, b: str, similarity: float) -> Column:
-    """Whether the lengths and word parities of the rows named by the prefixes ``a`` and ``b`` allow a link."""
-    longer, shorter = F.greatest(f"{a}_n_words", f"{b}_n_words"), F.least(f"{a}_n_words", f"{b}_n_words")
-    most = F.floor(F.lit(1 - similarity) * longer + 1e-9)
-    unlike = sum((F.bit_count(F.col(f"{a}_parity")[i].bitwiseXOR(F.col(f"{b}_parity")[i])) for i in range(PARITY)), F.lit(0))
-    # A replaced word is one lost and one gained; an edit of length one is lost or gained.
-    return (longer - shorter <= most) & (unlike <= 2 * most - (longer - shorter))
+class _Bounds:
+    """Lengths and parities of some texts, compared by row numbers."""
+
+    def __init__(self, n_words: np.ndarray, parity: pa.ListArray, similarity: float):
+        self.n, self.similarity = n_words.astype(np.int64), similarity
+        flat, off = parity.flatten().to_numpy().view(np.uint64), np.asarray(parity.offsets) - parity.offsets[0].as_py()
+        self.size = np.diff(off)
+        self.rows = [flat[a:b] for a, b in pairwise(off)]
+        self.tables: dict[int, np.ndarray] = {}
+
+    def table(self, longs: int) -> np.ndarray:
+        if longs not in self.tables:
+            self.tables[longs] = np.stack([folded(p, longs) if len(p) >= longs else np.zeros(longs, np.uint64) for p in self.rows])
+        return self.tables[longs]
+
+    def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows ``i`` and ``j`` may be links."""
+        gap = np.abs(self.n[i] - self.n[j])
+        most = ((1 - self.similarity) * np.maximum(self.n[i], self.n[j]) + 1e-9).astype(np.int64)
+        ok = gap <= most
+        size = np.where(ok, np.minimum(self.size[i], self.size[j]), 0)
+        for longs in np.unique(size[ok]):
+            at = np.flatnonzero(size == longs)
+            apart = np.bitwise_count(self.table(longs)[i[at]] ^ self.table(longs)[j[at]]).sum(axis=1, dtype=np.int64)
+            # A replaced word is one lost and one gained; an edit of length one is lost or gained.
+            ok[at] = apart <= 2 * most[at] - gap[at]
+        return ok
+
+
+def _likely(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                both = lambda name: pa.concat_arrays([batch.column(f"{x}_{name}") for x in ("leader", "member")])
+                bounds = _Bounds(both("n_words").to_numpy(), both("parity"), similarity)
+                batch = batch.filter(pa.array(bounds.allow(np.arange(n), np.arange(n) + n)))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("leader", "member", "shared")], names=["leader", "member", "shared"])
+
+    return run
 
 
 def _described(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(leader, member, more columns) whose word bounds allow a link."""
+    """(leader, member, shared) whose word bounds allow a link."""
     side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("n_words").alias(f"{name}_n_words"), F.col("parity").alias(f"{name}_parity"))
-    met = pairs.join(side("member"), "member").join(side("leader"), "leader")
-    return met.where(_likely("leader", "member", similarity)).select(*pairs.columns)
+    return pairs.join(side("member"), "member").join(side("leader"), "leader").mapInArrow(_likely(similarity), "leader long, member long, shared long")
+
+
+def _judge(similarity: float):
+    """Pairs of texts with an equal value, next to each other in the input, that may be links between classes."""
+
+    def pairs(held: pa.Table) -> pa.RecordBatch:
+        value, ids, label = (held.column(c).to_numpy() for c in ("value", "doc_id", "label"))
+        bounds = _Bounds(held.column("n_words").to_numpy(), held.column("parity").combine_chunks(), similarity)
+        live, step, found = np.arange(len(value)), 1, []
+        while True:
+            live = live[live + step < len(value)]
+            live = live[value[live] == value[live + step]]
+            if not len(live):
+                break
+            i = live[label[live] != label[live + step]]
+            i = i[bounds.allow(i, i + step)]
+            found.append(np.stack([np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step])]))
+            step += 1
+        rows, count = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(count)], names=["leader", "member", "shared"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([*(held.to_batches() if held else ()), batch])
+            value = held.column("value").to_numpy()
+            # the last value may go on in the next batch
+            done = int(np.searchsorted(value, value[-1])) if len(value) else 0
+            if done:
+                yield pairs(held.slice(0, done))
+                held = held.slice(done)
+        if held:
+            yield pairs(held)
 
-def _met(held: DataFrame, key: str, similarity: float) -> DataFrame:
-    """(leader, member, shared) of the rows of ``held`` (key, doc_id, n_words, parity, label) with an equal key that may be links between classes."""
-    side = lambda tag: held.select(key, *(F.col(c).alias(f"{tag}_{c}") for c in ("doc_id", "n_words", "parity", "label")))
-    pairs = side("a").join(side("b"), key).where("a_doc_id < b_doc_id and a_label <> b_label").where(_likely("a", "b", similarity))
-    return pairs.groupBy(F.col("a_doc_id").alias("leader"), F.col("b_doc_id").alias("member")).agg(F.count("*").alias("shared"))
+    return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -325,10 +407,12 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Prefix filter: one global order of labelled words, by how many texts hold them;
     a link's texts meet in the first words of both. Any order is exact; the learned
-    ranks of frequent words, at most ``RANKED``, only make the meetings few.
+    ranks of frequent words, at most ``RANKED`` from ``SAMPLE`` texts, only make the
+    meetings few.
     """
     spark = texts.sparkSession
-    flat = texts.select("doc_id", "text").mapInArrow(_words(), "doc_id long, words array<long>").select(F.explode("words").alias("word"))
+    some = texts.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    flat = some.mapInArrow(_words(), "doc_id long, words array<long>").select(F.explode("words").alias("word"))
     common = flat.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(RANKED).toPandas()
     names = common["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
@@ -337,8 +421,14 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     held = cut(held.select("doc_id", "label", F.explode("words").alias("word")))
     mixed = held.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("word")
     # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    met = cut(held.join(mixed, "word").join(texts.select("doc_id", "n_words", "parity"), "doc_id"), held)
-    return cut(_met(met, "word", similarity), met)
+    met = cut(held.join(mixed, "word").join(texts.select("doc_id", "n_words", "short"), "doc_id"), held)
+    side = lambda tag: met.select("word", *(F.col(c).alias(f"{tag}_{c}") for c in ("doc_id", "n_words", "short", "label")))
+    longer, shorter = F.greatest("a_n_words", "b_n_words"), F.least("a_n_words", "b_n_words")
+    most = F.floor(F.lit(1 - similarity) * longer + 1e-9)
+    apart = sum((F.bit_count(F.col("a_short")[i].bitwiseXOR(F.col("b_short")[i])) for i in range(PARITY_BITS[0] // 64)), F.lit(0))
+    pairs = side("a").join(side("b"), "word").where("a_doc_id < b_doc_id and a_label <> b_label").where((longer - shorter <= most) & (apart <= 2 * most - (longer - shorter)))
+    pairs = cut(pairs.groupBy(F.col("a_doc_id").alias("leader"), F.col("b_doc_id").alias("member")).agg(F.count("*").alias("shared")), met)
+    return cut(_described(pairs, texts, similarity), pairs)
 
 
 def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -346,8 +436,9 @@ def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similari
     named = members.select("value", F.col("rep").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("value", "n")
     still = cut(named.join(mixed, "value").select("value", "n", "doc_id", "label"))
-    few = cut(still.where(F.col("n") <= FEW).join(texts.select("doc_id", "n_words", "parity"), "doc_id"))
-    pairs = cut(_met(few, "value", similarity), few)
+    few = still.where(F.col("n") <= FEW).select("value", "doc_id", "label").join(texts.select("doc_id", "n_words", "parity"), "doc_id")
+    met = few.repartition("value").sortWithinPartitions("value").mapInArrow(_judge(similarity), "leader long, member long, shared long")
+    pairs = cut(met.groupBy("leader", "member").agg(F.sum("shared").alias("shared")))
     many = cut(still.where(F.col("n") > FEW).select("doc_id", "label").distinct(), still)
     if many.limit(1).count():
         pairs = cut(pairs.unionByName(prefix_pairs(texts.join(many, "doc_id"), similarity)).groupBy("leader", "member").agg(F.sum("shared").alias("shared")), pairs)
@@ -361,6 +452,25 @@ def _strongest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.max_by(F.struct("leader", "member"), F.struct("shared", (-F.col("leader")).alias("l"), (-F.col("member")).alias("m"))).alias("p")).select("p.*")
 
 
+def _elected(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(member, leader, shared): each member of ``members`` (value, rep, fame) in another class than its bucket's leader, with the ``LEADERS`` it meets most.
+
+    A member of the bucket's largest class leads, first the one with most company,
+    later another one each turn.
+    """
+    named = members.withColumns({"label": F.col("rep"), "size": F.lit(1).cast("long")})
+    if labels is not None:
+        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+        known = labels.join(sizes, "label").select(F.col("node").alias("rep"), "label", "size")
+        named = members.join(known, "rep", "left").withColumns({"label": F.coalesce("label", "rep"), "size": F.coalesce("size", F.lit(1))})
+    among = F.col("fame") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    leaders = named.groupBy("value").agg(F.max_by(F.struct("rep", "label"), F.struct("size", among.alias("among"), (-F.col("rep")).alias("small"))).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"))
+    leaders = leaders.where("low <> high").select("value", F.col("top.rep").alias("leader"), F.col("top.label").alias("leader_label"))
+    met = named.join(leaders, "value").where("label <> leader_label").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared"))
+    ranked = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("shared"), "leader"))
+    return met.withColumn("rank", ranked).where(F.col("rank") <= LEADERS).drop("rank")
+
+
 def links_of(sketched: DataFrame, texts_of, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(a, b) of links, and (node, label) of their components, among distinct texts (rep, sketch).
 
@@ -368,16 +478,22 @@ def links_of(sketched: DataFrame, texts_of, similarity: float = SIMILARITY) -> t
     """
     spread = sketched.select("rep", F.explode("sketch").alias("value"))  # each is seeded by its number
     # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    leaders = cut(spread.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    members = cut(spread.join(leaders, "value"), leaders)
-    texts = cut(texts_of(members.select(F.col("rep").alias("doc_id")).distinct()))
-    met = members.where("rep <> leader").groupBy("leader", F.col("rep").alias("member")).agg(F.count("*").alias("shared"))
-    pairs = cut(_described(met, texts, similarity))
-    best = pairs.groupBy("member").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("small"))).alias("leader"))
-    links = cut(_verified(best, texts, similarity))
-    labels = components(links)
-    rest = _labelled(pairs.join(best, ["leader", "member"], "left_anti"), labels)
-    links, labels = _joined(links, labels, cut(_verified(rest, texts, similarity), pairs))
+    sizes = cut(spread.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = cut(spread.join(sizes, "value"), sizes)
+    fame = cut(sized.groupBy("rep").agg(F.sum("n").alias("fame")))
+    texts = cut(texts_of(fame.select(F.col("rep").alias("doc_id"))))
+    members = cut(sized.join(fame, "rep").select("value", "rep", "fame"), sized, fame)
+    links, labels = None, None
+    for turn in range(TURNS):
+        pairs = cut(_elected(members, labels, turn))
+        best = _described(pairs, texts, similarity).groupBy("member").agg(F.max_by("leader", F.struct("shared", (-F.col("leader")).alias("small"))).alias("leader"))
+        more = cut(_verified(best, texts, similarity), pairs)
+        if links is None:
+            links, labels = more, components(more)
+        elif not more.limit(1).count():
+            break
+        else:
+            links, labels = _joined(links, labels, more)
     pairs = open_pairs(members, labels, texts, similarity)
     first = cut(_strongest(_labelled(pairs, labels)), members)
     links, labels = _joined(links, labels, cut(_verified(first, texts, similarity)))
@@ -397,16 +513,17 @@ def _joined(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataF
 def classes(docs: DataFrame, k: int = K, kept: int = KEPT, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key_a, key_b, class_id) of every row of ``docs`` (doc_id, text); the keys hash the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(7), F.col("text")).alias("key_b"))
-    made = cut(rows.mapInArrow(_sketch(k, kept, sketches, similarity), "doc_id long, key_a long, key_b long, sketch array<long>, parity array<long>, n_words int"))
+    made = cut(rows.mapInArrow(_sketch(k, kept, sketches, similarity), "doc_id long, key_a long, key_b long, sketch array<long>, n_words int"))
     # Equal texts have equal sketches, so any of them stands for all.
     wordy = made.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
-    distinct = cut(wordy.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "parity", "n_words"))))
+    distinct = cut(wordy.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     sketched = cut(made.select("doc_id", "key_a", "key_b", "n_words"), made)
     wordy = sketched.where((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        known = distinct.select(F.col("rep").alias("doc_id"), "key_a", "key_b", "n_words", "parity").join(ids, "doc_id")
-        return rows.join(known, ["doc_id", "key_a", "key_b"]).dropDuplicates(["doc_id", "key_a"]).select("doc_id", "text", "n_words", "parity")
+        known = distinct.select(F.col("rep").alias("doc_id"), "key_a", "key_b").join(ids, "doc_id")
+        met = rows.join(known, ["doc_id", "key_a", "key_b"]).dropDuplicates(["doc_id", "key_a"])
+        return met.select("doc_id", "text").mapInArrow(_describe, "doc_id long, text string, n_words int, parity array<long>, short array<long>")
 
     links, labels = links_of(distinct, texts_of, similarity)
     # Rows of one text and rows of one doc_id hang together too.
