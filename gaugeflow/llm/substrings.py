@@ -13,16 +13,17 @@ starts earlier (smaller doc_id, or earlier in the same document).
 3. Each task builds the suffix automaton of a block and streams its runs through
    for matching statistics; words in matches of ``window`` words or more go.
 4. Windows whose anchor is known but whose words the block lacks (the same gram in
-   another context) are few; they are compared among each other by a 128-bit
-   fingerprint, pre-aggregated to the first occurrence.
+   another context) are few; fingerprints route the equal ones together, and their
+   words decide which of them repeat.
 
 The reference isn't broadcast whole, as it grows with the corpus; each automaton
 is of bounded size instead.
 
 Defined results: null and empty texts have no words; rows with equal doc_id and
 text get equal results, and rows with equal doc_id and other texts count as one
-document compared by start; null ids come before all others; other columns are
-not used; texts shorter than the window stay whole.
+document compared by start, but each is handled on its own (``own`` tells them
+apart); null ids are one id before all others; other columns are not used; texts
+shorter than the window stay whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANK, Texts, cut, gram_hashes, mix, slices, sliding, word_hashes, word_spans
+from .shared import BLANK, Texts, cut, drop, gram_hashes, mix, slices, sliding, word_hashes, word_spans
 
 WINDOW, GRAM, BLOCK = 20, 8, 512
 NULL_ID = -(1 << 63)
@@ -69,8 +70,8 @@ def _anchors(window: int, gram: int):
                 g = Grams(Texts(part.column("text")), window, gram)
                 at = g.anchors(window - gram + 1)
                 rows = g.row[at]
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(g.gram[at].view(np.int64)), pa.array(ids[rows]), pa.array((at - g.first[rows]).astype(np.int32))], names=["anchor", "doc_id", "pos"])
+                ids, own = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "own"))
+                yield pa.RecordBatch.from_arrays([pa.array(g.gram[at].view(np.int64)), pa.array(ids[rows]), pa.array(own[rows]), pa.array((at - g.first[rows]).astype(np.int32))], names=["anchor", "doc_id", "own", "pos"])
 
     return run
 
@@ -87,26 +88,26 @@ def _runs(window: int, gram: int):
                 probes = part.column("probes")
                 held = probes.flatten()
                 rows = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(probes.offsets)))
-                pos, owner, block = (held.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                pos, owner, owner_own, block = (held.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 at = g.first[rows] + pos
                 fits = at < np.minimum(g.first[rows + 1], len(g.gram))
-                rows, owner, block, at = rows[fits], owner[fits], block[fits], at[fits]
+                rows, owner, owner_own, block, at = rows[fits], owner[fits], owner_own[fits], block[fits], at[fits]
                 found = []
                 for back in range(span):
                     s = at - back
                     ok = (s >= g.first[rows]) & (s < len(g.least))
                     ok[ok] = g.window_ok[s[ok]] & (g.least[s[ok]] == g.gram[at[ok]])
-                    found.append(np.stack([rows[ok], owner[ok], block[ok], s[ok]]))
-                r, o, b, s = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
-                order = np.lexsort((s, b, o, r))
-                r, o, b, s = r[order], o[order], b[order], s[order]
-                same = (r[1:] == r[:-1]) & (o[1:] == o[:-1]) & (b[1:] == b[:-1])
+                    found.append(np.stack([rows[ok], owner[ok], owner_own[ok], block[ok], s[ok]]))
+                r, o, oo, b, s = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+                order = np.lexsort((s, b, oo, o, r))
+                r, o, oo, b, s = r[order], o[order], oo[order], b[order], s[order]
+                same = (r[1:] == r[:-1]) & (o[1:] == o[:-1]) & (oo[1:] == oo[:-1]) & (b[1:] == b[:-1])
                 begins = np.flatnonzero(np.concatenate([[len(s) > 0], ~(same & (s[1:] - s[:-1] <= 1))])) if len(s) else np.zeros(0, np.int64)
                 stops = np.append(begins[1:], len(s))
-                ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
+                ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "own"))
                 text = [texts.data[g.starts[s[i]] : g.ends[s[j - 1] + window - 1]].tobytes() for i, j in zip(begins, stops, strict=True)]
-                cols = [o[begins], b[begins].astype(np.int32), ids[r[begins]], keys[r[begins]], (s[begins] - g.first[r[begins]]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.binary())], names=["owner", "block", "doc_id", "text_key", "start", "run"])
+                cols = [o[begins], oo[begins], b[begins].astype(np.int32), ids[r[begins]], keys[r[begins]], (s[begins] - g.first[r[begins]]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.binary())], names=["owner", "owner_own", "block", "doc_id", "own", "start", "run"])
 
     return run
 
@@ -118,14 +119,14 @@ def _blocks(window: int, size: int):
                 texts = Texts(part.column("text"))
                 starts, ends, first = word_spans(texts, BLANK)
                 out = []
-                for i, (doc_id, blocks) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("blocks").to_pylist(), strict=True)):
+                for i, (doc_id, own, blocks) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "own", "blocks")), strict=True)):
                     n = int(first[i + 1] - first[i])
                     for block in blocks:
                         low, high = max(0, block * size - window), min(n, (block + 1) * size + window)
                         if high - low >= window:
-                            out.append((doc_id, block, low, texts.data[starts[first[i] + low] : ends[first[i] + high - 1]].tobytes()))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=["owner_id", "owner_block", "low", "reference"])
+                            out.append((doc_id, own, block, low, texts.data[starts[first[i] + low] : ends[first[i] + high - 1]].tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=["owner", "owner_own", "block", "low", "reference"])
 
     return run
 
@@ -184,45 +185,64 @@ class SuffixAutomaton:
         return self.end[state]
 
 
+def _stretches(starts: list[int]) -> list[list[int]]:
+    """First and last of each stretch of consecutive numbers."""
+    out: list[list[int]] = []
+    for s in starts:
+        if out and s == out[-1][1] + 1:
+            out[-1][1] = s
+        else:
+            out.append([s, s])
+    return out
+
+
 def _stream(window: int):
-    """Stream runs through the automaton of their block: removed spans, and windows left over."""
+    """Stream runs through the automaton of their block: removed spans, and, with their words, the runs of windows left over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, auto = None, None
         for batch in batches:
-            out = [[] for _ in range(6)]
-            names = ("owner", "block", "low", "reference", "doc_id", "text_key", "start", "run")
-            for owner, block, low, reference, doc_id, text_key, start, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if key != (owner, block, reference):
-                    key, auto = (owner, block, reference), SuffixAutomaton(reference.split())
+            out = [[] for _ in range(5)]
+            names = ("owner", "owner_own", "block", "low", "reference", "doc_id", "own", "start", "run")
+            for owner, owner_own, block, low, reference, doc_id, own, start, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if key != (owner, owner_own, block):
+                    key, auto = (owner, owner_own, block), SuffixAutomaton(reference.split())
                 words = text.split()
-                spans: list[list[int]] = []
+                gone: list[int] = []
                 rest: list[int] = []
-                own = owner == doc_id
+                same = owner == doc_id
                 for i, (matched, state) in enumerate(auto.matching(words)):
                     if i < window - 1:
                         continue
                     s = i - window + 1
-                    if matched >= window and (not own or low + auto.first_end(state, window) - window + 1 < start + s):
-                        if spans and s <= spans[-1][1]:
-                            spans[-1][1] = i + 1
-                        else:
-                            spans.append([s, i + 1])
-                    else:
-                        rest.append(s)
-                for a, b in spans:
-                    for col, x in zip(out, (doc_id, text_key, start + a, start + b, None, None), strict=True):
-                        col.append(x)
-                if rest:
-                    texts = Texts(pa.array([text], pa.binary()).cast(pa.string()))
-                    starts, ends, _ = word_spans(texts, BLANK)
-                    hashes = word_hashes(texts.data, starts, ends)
-                    one, two = gram_hashes(hashes, window), gram_hashes(mix(hashes + np.uint64(0x5BD1E995)), window)
-                    for s in rest:
-                        for col, x in zip(out, (doc_id, text_key, start + s, start + s + window, int(one[s].view(np.int64)), int(two[s].view(np.int64))), strict=True):
+                    repeats = matched >= window and (not same or low + auto.first_end(state, window) - window + 1 < start + s)
+                    (gone if repeats else rest).append(s)
+                for stretches, left in ((_stretches(gone), False), (_stretches(rest), True)):
+                    for a, b in stretches:
+                        for col, x in zip(out, (doc_id, own, start + a, start + b + window, b" ".join(words[a : b + window]) if left else None), strict=True):
                             col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "text_key", "start", "stop", "one", "two"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "own", "start", "stop", "words"])
+
+    return run
+
+
+def _windows(window: int):
+    """The windows of the runs left over, by fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.set_column(batch.schema.get_field_index("words"), "words", batch.column("words").cast(pa.string())), "words"):
+                texts = Texts(part.column("words"))
+                starts, ends, first = word_spans(texts, BLANK)
+                hashes = word_hashes(texts.data, starts, ends)
+                one, two = gram_hashes(hashes, window), gram_hashes(mix(hashes + np.uint64(0x5BD1E995)), window)
+                count = np.maximum(np.diff(first) - window + 1, 0)
+                row = np.repeat(np.arange(part.num_rows), count)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = first[row] + nth
+                cols = [pa.array(x[at].view(np.int64)) for x in (one, two)] + [part.column(c).take(pa.array(row)) for c in ("doc_id", "own", "start", "stop")] + [pa.array(nth.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["one", "two", "doc_id", "own", "start", "stop", "nth"])
 
     return run
 
@@ -252,26 +272,50 @@ def _keep():
     return run
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``own``: 0, but a hash of the text where an id has several texts."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text"))
+    keys = docs.select("doc_id", F.xxhash64("text").alias("key"))
+    twice = cut(keys.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("twice")))
+    if not twice.limit(1).count():
+        drop(twice)
+        return docs.withColumn("own", F.lit(0).cast("long"))
+    return docs.join(twice, "doc_id", "left").withColumn("own", F.when(F.col("twice"), F.xxhash64("text")).otherwise(0)).drop("twice")
+
+
+def _left_over(rest: DataFrame, window: int) -> DataFrame:
+    """(doc_id, own, start, stop) of windows of ``rest`` (doc_id, own, start, stop, words) whose words also start earlier in it."""
+    windows = rest.mapInArrow(_windows(window), "one long, two long, doc_id long, own long, start int, stop int, nth int")
+    known = cut(windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    met = cut(windows.join(known, ["one", "two"]).select("doc_id", "own", "start", "stop", "nth").distinct(), known)
+    words = F.array_join(F.slice(F.split(F.decode("words", "UTF-8"), " "), F.col("nth") + 1, F.lit(window)), " ")
+    runs = rest.dropDuplicates(["doc_id", "own", "start", "stop"])
+    texts = cut(met.join(runs, ["doc_id", "own", "start", "stop"]).select("doc_id", "own", (F.col("start") + F.col("nth")).alias("start"), words.alias("words")), met)
+    firsts = texts.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = texts.join(firsts, "words").where(F.struct("doc_id", "start") > F.col("first"))
+    return again.select("doc_id", "own", "start", (F.col("start") + window).alias("stop"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every row."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"))
-    places = docs.select("doc_id", "text").mapInArrow(_anchors(window, gram), "anchor long, doc_id long, pos int")
+    docs = _told_apart(docs)
+    places = docs.mapInArrow(_anchors(window, gram), "anchor long, doc_id long, own long, pos int")
     # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    firsts = cut(places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "first"))
+    firsts = cut(places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos", "own")).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "first"))
     later = places.join(firsts, "anchor").where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos")))
-    # A document's own probes: at most one per word of it.
-    probes = cut(later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.col("first.doc_id").alias("owner"), F.expr(f"cast(first.pos div {block} as int)").alias("block"))).alias("probes")))
-    runs = docs.join(probes, "doc_id").mapInArrow(_runs(window, gram), "owner long, block int, doc_id long, text_key long, start int, run binary")
-    owners = probes.select(F.explode("probes").alias("p")).groupBy(F.col("p.owner").alias("doc_id")).agg(F.collect_set("p.block").alias("blocks"))
-    shards = docs.join(owners, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_blocks(window, block), "owner_id long, owner_block int, low int, reference binary")
-    met = runs.join(shards, (runs.owner == shards.owner_id) & (runs.block == shards.owner_block)).drop("owner_id", "owner_block")
-    judged = cut(met.mapInArrow(_stream(window), "doc_id long, text_key long, start int, stop int, one long, two long"))
-    rest = judged.where(F.col("one").isNotNull())
-    known = cut(rest.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    again = rest.join(known, ["one", "two"]).where((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") > F.col("first.start"))))
-    spans = judged.where(F.col("one").isNull()).select("doc_id", "text_key", "start", "stop").unionByName(again.select("doc_id", "text_key", "start", "stop"))
-    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    kept = docs.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(_keep(), "doc_id long, n_words long, n_removed long, kept_text string")
+    # A row's own probes: at most one per word of it.
+    owner = (F.col("first.doc_id").alias("owner"), F.col("first.own").alias("owner_own"), F.expr(f"cast(first.pos div {block} as int)").alias("block"))
+    probes = cut(later.groupBy("doc_id", "own").agg(F.collect_set(F.struct("pos", *owner)).alias("probes")), firsts)
+    runs = docs.join(probes, ["doc_id", "own"]).mapInArrow(_runs(window, gram), "owner long, owner_own long, block int, doc_id long, own long, start int, run binary")
+    owners = probes.select(F.explode("probes").alias("p")).groupBy(F.col("p.owner").alias("doc_id"), F.col("p.owner_own").alias("own")).agg(F.collect_set("p.block").alias("blocks"))
+    shards = docs.join(owners, ["doc_id", "own"]).select("doc_id", "own", "text", "blocks").mapInArrow(_blocks(window, block), "owner long, owner_own long, block int, low int, reference binary")
+    # Repeated rows give one block.
+    shards = shards.groupBy("owner", "owner_own", "block").agg(F.first("low").alias("low"), F.first("reference").alias("reference"))
+    judged = cut(runs.join(shards, ["owner", "owner_own", "block"]).mapInArrow(_stream(window), "doc_id long, own long, start int, stop int, words binary"), probes)
+    again = _left_over(judged.where(F.col("words").isNotNull()), window)
+    spans = judged.where(F.col("words").isNull()).select("doc_id", "own", "start", "stop").unionByName(again)
+    spans = spans.groupBy("doc_id", "own").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    kept = docs.join(spans, ["doc_id", "own"], "left").select("doc_id", "text", "spans").mapInArrow(_keep(), "doc_id long, n_words long, n_removed long, kept_text string")
     return kept.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 

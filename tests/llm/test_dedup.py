@@ -245,6 +245,36 @@ def test_repeated_spans_of_odd_rows(spark, docs):
     assert substrings.remove_repeats(docs([])).count() == 0
 
 
+def test_words_decide_and_not_their_hashes(spark, docs):
+    """Three words of long complementary Thue-Morse bytes at two places: no window repeats."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    base = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join([*base[:4], x, *base[5:9], y, *base[10:]])) for i, (x, y) in enumerate([(one, one), (one, two), (two, one)])]
+    assert sorted(map(tuple, substrings.remove_repeats(docs(rows)).collect())) == sorted(substrings.brute_force(rows))
+
+
+def test_windows_in_many_contexts(spark, docs):
+    """Equal anchors in unlike contexts: what the blocks lack is decided among the windows left over."""
+    rng = random.Random(13)
+    line = " ".join(f"l{i}" for i in range(9))
+    tails = [text(rng, 30) for _ in range(6)]
+    rows = [(i, f"{text(rng, 25)} {line} {tails[i % 6]}") for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in (3, 4)]
+    for gram in (8, 3):
+        assert sorted(map(tuple, substrings.remove_repeats(docs(rows), gram=gram, block=16).collect())) == sorted(substrings.brute_force(rows))
+
+
+def test_rows_without_or_with_one_id_cost_no_more(spark, docs):
+    rng = random.Random(14)
+    passage = text(rng, 25)
+    texts = [f"{text(rng, i % 40)} {passage} {text(rng, 10)}" for i in range(250)]
+    for doc_id in (None, 7):
+        got = substrings.remove_repeats(docs([(doc_id, t) for t in texts])).collect()
+        first = min(i % 40 for i in range(250))
+        assert sum(r["n_removed"] > 0 for r in got) >= sum(i % 40 > first for i in range(250))
+
+
 def test_suffix_automaton_matching():
     rng = random.Random(7)
     for _ in range(100):
