@@ -3,10 +3,14 @@
 The standard library's parser feeds blocks (the lines of the page). Elements that
 are never part of an article (navigation, footers, forms, scripts, adverts,
 notices, comments, hidden parts) are skipped by name, role or class while parsing.
-The others get a text-to-tag ratio, smoothed by a Gaussian along the page; lines
-above the threshold that splits the smoothed ratios into two clusters seed content.
-Articles keep all of their lines, short ones too; on pages without them, the seeds'
-lowest common region does, less the regions in it that are mostly links.
+The others get a text-to-tag ratio, smoothed by a Gaussian along the page. The
+smoothed ratios fall into two clusters, or one where the two would lie close; lines
+of the upper cluster are the seeds. They select the regions: the articles that hold
+seeds, or on pages whose seeds lie in none, the lowest region common to all seeds.
+A selected region keeps all of its lines, short ones too, but for the regions and
+lists in it that are mostly links.
+
+All passes are linear in the page; nesting of any depth costs no more.
 
 Defined results: null and empty pages give an empty text; repeated rows and extra
 columns pass through (a column named like a returned one is replaced); an
@@ -17,7 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,34 +39,49 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("script style noscript template nav footer aside form button select textarea iframe object svg canvas head dialog menu audio video".split())
 REGIONS = frozenset("article main section div td body".split())
+LISTS = frozenset("ul ol".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 SKIPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall comment comments disqus respond replies sidebar rail related recommended recommendations share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation pagination pager footer masthead topbar toolbar widget widgets skip".split())
 HEADER_WORDS = frozenset(("header", "head"))
 OWN_WORDS = frozenset(("article", "post", "entry", "content", "story"))
+#: Factor between the mean ratios of two clusters.
+APART = 1.5
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass
+class Line:
+    text: str
+    tags: int
+    linked: int  # characters of links
+    region: int  # the innermost one
+    article: int  # the outermost one, or 0
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, linked characters, regions) of the blocks outside skipped elements."""
+    """Collects the lines of the blocks outside skipped elements, and the parent of each region (0 is the page)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []  # name, starts a skipped part
+        self.open: Counter[str] = Counter()
+        self.paragraphs: list[int] = []  # places in the stack
+        self.bounds: list[int] = []  # places of regions in the stack
         self.skips = 0
         self.links = 0
-        self.regions: list[int] = []
+        self.parents = [0]
+        self.regions = [0]
         self.articles: list[int] = []
-        self.ids = 0
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.lines: list[tuple[str, int, int, tuple[int, ...], int]] = []
+        self.lines: list[Line] = []
 
     def flush(self) -> None:
         if text := _SPACE.sub(" ", "".join(self.parts)).strip():
-            self.lines.append((text, self.tags, self.linked, tuple(self.regions), self.articles[0] if self.articles else 0))
+            self.lines.append(Line(text, self.tags, self.linked, self.regions[-1], self.articles[0] if self.articles else 0))
             self.tags, self.linked = 0, 0
         self.parts = []
 
@@ -88,22 +109,26 @@ class _Lines(HTMLParser):
             if not self.skips:
                 self.flush()
             # a paragraph ends where the next block begins
-            names = [name for name, _ in self.stack]
-            if "p" in names and not any(n in REGIONS for n in names[len(names) - names[::-1].index("p") :]):
+            if self.paragraphs and (not self.bounds or self.bounds[-1] < self.paragraphs[-1]):
                 self.pop("p")
         elif tag == "br" and not self.skips:
             self.parts.append(" ")
         if tag in VOID:
             return
         skip = self.unwanted(tag, attrs)
+        if tag == "p":
+            self.paragraphs.append(len(self.stack))
         self.stack.append((tag, skip))
+        self.open[tag] += 1
         self.skips += skip
         self.links += tag == "a"
-        if tag in REGIONS:
-            self.ids += 1
-            self.regions.append(self.ids)
+        if tag in REGIONS or tag in LISTS:
+            self.parents.append(self.regions[-1])
+            self.regions.append(len(self.parents) - 1)
+            if tag in REGIONS:
+                self.bounds.append(len(self.stack) - 1)
             if tag in ("article", "main"):
-                self.articles.append(self.ids)
+                self.articles.append(self.regions[-1])
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,10 +138,15 @@ class _Lines(HTMLParser):
     def pop(self, tag: str) -> None:
         while self.stack:
             name, skip = self.stack.pop()
+            self.open[name] -= 1
             self.skips -= skip
             self.links -= name == "a"
-            if name in REGIONS:
+            if name == "p":
+                self.paragraphs.pop()
+            if name in REGIONS or name in LISTS:
                 self.regions.pop()
+                if name in REGIONS:
+                    self.bounds.pop()
                 if name in ("article", "main"):
                     self.articles.pop()
             if name == tag:
@@ -126,7 +156,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS and not self.skips:
             self.flush()
-        if any(name == tag for name, _ in self.stack):
+        if self.open[tag]:
             self.pop(tag)
 
     def handle_data(self, data: str) -> None:
@@ -136,13 +166,14 @@ class _Lines(HTMLParser):
                 self.linked += len(data)
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, tuple[int, ...], int]]:
+def lines_of(html: str) -> tuple[list[Line], list[int]]:
+    """The lines of a page, and the parent of each region."""
     parser = _Lines()
     parser.feed(_CUT_TAG.sub("", html))
     parser.close()
     if not parser.skips:
         parser.flush()
-    return parser.lines
+    return parser.lines, parser.parents
 
 
 def smooth(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -152,8 +183,8 @@ def smooth(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), weights)[radius : radius + len(ratios)]
 
 
-def threshold(values: np.ndarray) -> float:
-    """The split into two clusters with the least inner variance, on a log scale."""
+def threshold(values: np.ndarray, apart: float = APART) -> float:
+    """The split into two clusters with the least inner variance, on a log scale; 0 if their means lie closer than by the factor ``apart``."""
     ranked = np.sort(np.log1p(values))
     if len(ranked) < 2 or ranked[-1] - ranked[0] < 1e-9:
         return 0.0
@@ -161,37 +192,47 @@ def threshold(values: np.ndarray) -> float:
     total = np.cumsum(ranked)
     low, high = total[:-1] / n, (total[-1] - total[:-1]) / (len(ranked) - n)
     cut = int(np.argmax(n * (len(ranked) - n) * (high - low) ** 2))
+    if high[cut] - low[cut] < math.log(apart):
+        return 0.0
     return math.expm1((ranked[cut] + ranked[cut + 1]) / 2)
 
 
+def seeds_of(lines: list[Line]) -> np.ndarray:
+    """Which lines lie in the upper cluster of smoothed text-to-tag ratios."""
+    chars, tags, linked = (np.array(x, float) for x in zip(*((len(x.text), max(1, x.tags), x.linked) for x in lines), strict=True))
+    ratio = smooth(chars / tags * np.clip(1 - linked / chars, 0, 1))
+    return ratio >= threshold(ratio)
+
+
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
+    lines, parents = lines_of(html or "")
     if not lines:
         return ""
-    chars = np.array([len(x[0]) for x in lines], float)
-    tags = np.array([max(1, x[1]) for x in lines], float)
-    linked = np.array([x[2] for x in lines], float)
-    ratio = smooth(chars / tags * np.clip(1 - linked / chars, 0, 1))
-    seeds = ratio >= threshold(ratio)
-    articles = {x[4] for x, s in zip(lines, seeds, strict=True) if s and x[4]}
-    if articles:  # the page says where its articles are
-        return "\n".join(x[0] for x in lines if x[4] in articles)
-    # Text and links of every region, its inner ones included.
-    size: dict[int, list[float]] = {}
-    for x, c, n in zip(lines, chars, linked, strict=True):
-        for region in x[3]:
-            have = size.setdefault(region, [0.0, 0.0])
-            have[0] += c
-            have[1] += n
-    poor = {region for region, (c, n) in size.items() if n > 0.5 * c}
-    paths = [x[3] for x, s in zip(lines, seeds, strict=True) if s and not poor.intersection(x[3][-1:])]
-    if not paths:
-        return ""
-    depth = 0
-    while all(len(p) > depth and p[depth] == paths[0][depth] for p in paths):
-        depth += 1
-    root = paths[0][:depth]
-    return "\n".join(x[0] for x in lines if x[3][:depth] == root and not poor.intersection(x[3][depth:]))
+    seeds = seeds_of(lines)
+    # Text and links of every region, its inner ones included; inner ones have larger numbers.
+    chars, linked = [0] * len(parents), [0] * len(parents)
+    for line in lines:
+        chars[line.region] += len(line.text)
+        linked[line.region] += line.linked
+    for region in range(len(parents) - 1, 0, -1):
+        chars[parents[region]] += chars[region]
+        linked[parents[region]] += linked[region]
+    poor = [n > 0.5 * c for c, n in zip(chars, linked, strict=True)]
+    chosen = [line for line, seed in zip(lines, seeds.tolist(), strict=True) if seed]
+    roots = {line.article for line in chosen if line.article}
+    if not roots:
+        held = [0] * len(parents)
+        for line in chosen:  # seeds in a region that is mostly links select nothing
+            held[line.region] += not poor[line.region]
+        for region in range(len(parents) - 1, 0, -1):
+            held[parents[region]] += held[region]
+        if not held[0]:
+            return ""
+        roots = {max(region for region, n in enumerate(held) if n == held[0])}
+    kept = [False] * len(parents)
+    for region, parent in enumerate(parents):
+        kept[region] = region in roots or region > 0 and kept[parent] and not poor[region]
+    return "\n".join(line.text for line in lines if kept[line.region])
 
 
 def _extract(column: str):

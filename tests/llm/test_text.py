@@ -1,7 +1,9 @@
 """Toxicity, decontamination, language, pages and personal values."""
 
 import hashlib
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -151,6 +153,78 @@ def test_pages_with_a_region_for_each_paragraph(sizes, tag):
     assert html_text.main_text(page) == "\n".join(paragraphs)
 
 
+def test_like_paragraphs_all_stay_and_link_blocks_in_articles_go():
+    page = '<body><div class="story">' + "".join(f"<div><p>{'word ' * (20 + i % 7)}</p></div>" for i in range(2000)) + "</div></body>"
+    assert html_text.main_text(page).count("\n") == 1999
+    body = "<p>" + "long text of the story " * 20 + "</p><p>End.</p>"
+    page = f'<body><article><h1>Head</h1>{body}<div class="x"><a href=1>Related one</a> <a href=2>two</a></div><ul><li><a href=3>More stories</a></li></ul><ul><li>a point</li></ul></article></body>'
+    assert html_text.main_text(page).split("\n")[2:] == ["End.", "a point"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "<p>text one</p>" + "</div><p>x y z</p>" * 50_000, "<body>" + "".join(f"<div><p>para {i} with words</p>" for i in range(50_000)), "<body>" + "<p><b>" * 100_000])
+def test_large_pages_cost_their_length(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
+def plain_selection(lines, parents):
+    """The selection with paths, loops and nothing shared."""
+    ratio = [len(x.text) / max(1, x.tags) * min(1, max(0, 1 - x.linked / len(x.text))) for x in lines]
+    weights = {d: math.exp(-0.5 * d * d) for d in range(-2, 3)}
+    soft = []
+    for i in range(len(ratio)):
+        near = [(weights[d], ratio[i + d]) for d in weights if 0 <= i + d < len(ratio)]
+        soft.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    logs = sorted(math.log1p(r) for r in soft)
+    mean = lambda x: sum(x) / len(x)
+    inner = lambda x: sum((v - mean(x)) ** 2 for v in x)
+    cuts = [(inner(logs[:i]) + inner(logs[i:]), i) for i in range(1, len(logs))]
+    level = 0.0
+    if cuts and logs[-1] - logs[0] >= 1e-9:
+        i = min(cuts)[1]
+        if mean(logs[i:]) - mean(logs[:i]) >= math.log(html_text.APART):
+            level = math.expm1((logs[i - 1] + logs[i]) / 2)
+    seeds = [x for x, r in zip(lines, soft, strict=True) if r >= level]
+
+    def path(region):
+        return [region] if region == 0 else [*path(parents[region]), region]
+
+    def poor(region):
+        inside = [x for x in lines if region in path(x.region)]
+        return sum(x.linked for x in inside) > 0.5 * sum(len(x.text) for x in inside)
+
+    roots = {x.article for x in seeds if x.article}
+    if not roots:
+        good = [path(x.region) for x in seeds if not poor(x.region)]
+        if not good:
+            return ""
+        roots = {[r for r in good[0] if all(r in p for p in good)][-1]}
+    kept = []
+    for x in lines:
+        own = path(x.region)
+        if any(r in roots and not any(poor(q) and q not in roots for q in own[own.index(r) + 1 :]) for r in own):
+            kept.append(x.text)
+    return "\n".join(kept)
+
+
+def test_selection_equals_the_plain_one():
+    rng = random.Random(5)
+
+    def part(depth):
+        kind = rng.choice(["p", "p", "link", "div", "ul", "section", "article"]) if depth else rng.choice(["p", "link"])
+        if kind == "p":
+            return "<p>" + " ".join(rng.choice(["word", "stone", "tree"]) for _ in range(rng.choice([2, 5, 40]))) + "<b>x</b>" * rng.randrange(3) + "</p>"
+        if kind == "link":
+            return "<p>" + "<a href=1>go there now</a> " * rng.randrange(1, 4) + "</p>"
+        inner = "".join(part(depth - 1) for _ in range(rng.randrange(1, 5)))
+        return f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(300):
+        page = "<body>" + "".join(part(rng.randrange(0, 4)) for _ in range(rng.randrange(1, 5))) + "</body>"
+        assert html_text.main_text(page) == plain_selection(*html_text.lines_of(page)), page
+
+
 def feistel(value: str, key: str, kind: str, letters: int = 26) -> str:
     """The network in plain Python."""
     shape = "".join("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in value)
