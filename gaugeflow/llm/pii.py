@@ -14,6 +14,12 @@ is open to the next, and validation chooses the extent: an account has its count
 length, and in a stretch of digit groups the longest runs of 13 to 19 digits with a
 right check digit are cards, wherever they start.
 
+In mail addresses the letters of ``WIDE`` are permuted too, each within its range; other
+characters beyond ASCII stay, and so do host labels that begin with xn--, as few
+such labels are valid. Without the secret key nobody can invert the pseudonyms, so
+the caller must give one. Documents without personal data change only where a
+number passes a check by chance (one in ten digit runs of a card's length does).
+
 Values that fail validation are left alone. Defined results: null text stays
 null with no values; other columns and repeated rows pass through; an input
 column named like an added one is replaced.
@@ -41,6 +47,9 @@ PATTERN = "|".join(f"(?:{p})" for k, p in SHAPES.items() if k not in _NUMERIC) +
 #: No shape matches a text without one of these.
 HINT = "[0-9@\"']"
 ADDED = ("n_values", "kinds")
+#: First code point and size of ranges of letters: Latin-1 (four), Latin Extended-A, Greek, Cyrillic, kana, CJK, Hangul.
+WIDE = ((0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3B1, 25), (0x410, 32), (0x430, 32), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172))
+_WIDE = "".join(f"\\x{{{low:x}}}-\\x{{{low + size - 1:x}}}" for low, size in WIDE)
 
 #: Characters of an account by country, from the public registry; other countries by the general shape.
 IBAN_LENGTHS = {
@@ -67,37 +76,43 @@ def _digest(key: str, tweak: Column, round_no: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), tweak, round_no.cast("string"), other), 256)
 
 
-def _shift(half: Column, digest: Column, letters: Column) -> Column:
-    """Add the digest to ``half`` within each character's class of 10 digits or ``letters`` letters."""
+def _shift(half: Column, digest: Column, letters: Column, wide: bool = False) -> Column:
+    """Add the digest to ``half`` within each character's class of 10 digits, ``letters`` letters or a range of ``WIDE``."""
 
     def one(ch: Column, i: Column, digest: Column) -> Column:
-        add = F.conv(F.substring(digest, (F.lit(2) * (i % 32) + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        add = lambda n: F.conv(F.substring(digest, (F.lit(2) * (i % 32) + 1).cast("int"), F.lit(n)), 16, 10).cast("int")
         code = F.ascii(ch)
-        turn = lambda low, size: F.char((F.lit(low) + F.pmod(code - low + add, size)).cast("long"))
-        return F.when(ch.rlike("[0-9]"), turn(48, F.lit(10))).when(ch.rlike("[a-z]"), turn(97, letters)).when(ch.rlike("[A-Z]"), turn(65, letters)).otherwise(ch)
+        turn = lambda low, size: F.char((F.lit(low) + F.pmod(code - low + add(2), size)).cast("long"))
+        out = F.when(ch.rlike("[0-9]"), turn(48, F.lit(10))).when(ch.rlike("[a-z]"), turn(97, letters)).when(ch.rlike("[A-Z]"), turn(65, letters))
+        for low, size in WIDE if wide else ():
+            moved = F.lit(low) + F.pmod(code - low + add(4), F.lit(size))
+            out = out.when((code >= low) & (code < low + size), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE"))
+        return out.otherwise(ch)
 
     return let(digest, lambda known: F.array_join(F.transform(F.split(half, ""), lambda ch, i: one(ch, i, known)), ""))
 
 
-def feistel(value: Column, key: str, tweak: str, letters: Column | None = None, rounds: int = ROUNDS) -> Column:
-    """Permute the ASCII letters and digits of ``value``; a string of equal format comes out.
+def feistel(value: Column, key: str, tweak: str, letters: Column | None = None, rounds: int = ROUNDS, wide: bool = False) -> Column:
+    """Permute the ASCII letters and digits (and letters of ``WIDE``) of ``value``; a string of equal format comes out.
 
     The two halves keep their lengths; an empty half is left as it is.
     """
     if letters is not None:
-        return let(F.struct(value.alias("v"), letters.alias("n")), lambda x: _feistel(x["v"], key, tweak, x["n"], rounds))
-    return let(value, lambda x: _feistel(x, key, tweak, F.lit(26), rounds))
+        return let(F.struct(value.alias("v"), letters.alias("n")), lambda x: _feistel(x["v"], key, tweak, x["n"], rounds, wide))
+    return let(value, lambda x: _feistel(x, key, tweak, F.lit(26), rounds, wide))
 
 
-def _feistel(value: Column, key: str, tweak: str, letters: Column, rounds: int) -> Column:
+def _feistel(value: Column, key: str, tweak: str, letters: Column, rounds: int, wide: bool) -> Column:
     half = F.floor(F.length(value) / 2).cast("int")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    for low, size in WIDE if wide else ():
+        shape = F.regexp_replace(shape, f"[\\x{{{low:x}}}-\\x{{{low + size - 1:x}}}]", chr(low))
     start = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"))
 
     def run(tag: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            left = F.when(i % 2 == 0, _shift(acc["l"], _digest(key, tag, i, acc["r"]), letters)).otherwise(acc["l"])
-            right = F.when(i % 2 == 1, _shift(acc["r"], _digest(key, tag, i, acc["l"]), letters)).otherwise(acc["r"])
+            left = F.when(i % 2 == 0, _shift(acc["l"], _digest(key, tag, i, acc["r"]), letters, wide)).otherwise(acc["l"])
+            right = F.when(i % 2 == 1, _shift(acc["r"], _digest(key, tag, i, acc["l"]), letters, wide)).otherwise(acc["r"])
             return F.struct(left.alias("l"), right.alias("r"))
 
         return F.aggregate(F.array(*(F.lit(i) for i in range(rounds))), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
@@ -105,19 +120,19 @@ def _feistel(value: Column, key: str, tweak: str, letters: Column, rounds: int)
     return let(F.concat_ws("|", F.lit(tweak), shape), run)
 
 
-def refill(value: Column, symbols: Column) -> Column:
-    """Put ``symbols`` (a string) into the places of the ASCII letters and digits of ``value``."""
+def refill(value: Column, symbols: Column, own: str = "A-Za-z0-9") -> Column:
+    """Put ``symbols`` (a string) into the places of the characters ``own`` of ``value``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(acc: Column, ch: Column, symbols: Column) -> Column:
-        own = ch.rlike("[A-Za-z0-9]")
-        return F.struct(F.concat(acc["out"], F.when(own, F.substring(symbols, acc["at"], F.lit(1))).otherwise(ch)).alias("out"), (acc["at"] + own.cast("int")).alias("at"))
+        mine = ch.rlike(f"[{own}]")
+        return F.struct(F.concat(acc["out"], F.when(mine, F.substring(symbols, acc["at"], F.lit(1))).otherwise(ch)).alias("out"), (acc["at"] + mine.cast("int")).alias("at"))
 
     return let(symbols, lambda known: F.aggregate(F.split(value, ""), start, lambda acc, ch: step(acc, ch, known), lambda acc: acc["out"]))
 
 
-def symbols_of(value: Column) -> Column:
-    return F.regexp_replace(value, "[^A-Za-z0-9]", "")
+def symbols_of(value: Column, own: str = "A-Za-z0-9") -> Column:
+    return F.regexp_replace(value, f"[^{own}]", "")
 
 
 def luhn_sum(digits: Column, doubled_last: bool) -> Column:
@@ -195,9 +210,18 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    """Local part and host labels; the top-level domain stays."""
+    """Local part and host labels; the top-level domain and labels that begin with xn-- stay."""
+    own, coded = "A-Za-z0-9" + _WIDE, r"(?i)(?<=[@.])xn--[a-z0-9\-]+"
     head, top = F.regexp_extract(value, r"^(.*)\.[A-Za-z]+$", 1), F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
-    return F.concat(refill(head, feistel(symbols_of(head), key, "email")), top)
+
+    def moved(plain: Column) -> Column:
+        return refill(plain, feistel(symbols_of(plain, own), key, "email", wide=True), own)
+
+    # Coded labels wait outside and come back between the parts.
+    labels = F.regexp_extract_all(head, F.lit(coded), F.lit(0))
+    parts = F.split(moved(F.regexp_replace(head, coded, _OPEN)), _OPEN, -1)
+    whole = F.array_join(F.flatten(F.zip_with(parts, F.concat(labels, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    return F.concat(F.when(head.rlike(coded), whole).otherwise(moved(head)), top)
 
 
 def _secret(value: Column, key: str) -> Column:
@@ -290,8 +314,8 @@ def _pass(docs: DataFrame, column: str, pattern: str, hint: str, judge) -> DataF
     return whole.withColumns({column: text, "_kinds": F.concat("_kinds", F.flatten(F.transform("_matches", lambda m: m["kinds"])))}).drop("_matches")
 
 
-def pseudonymise(docs: DataFrame, key: str = "gaugeflow", column: str = "text") -> DataFrame:
-    """Replace the validated values of ``column``; add ``n_values`` and sorted distinct ``kinds``."""
+def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """Replace the validated values of ``column`` under the secret ``key``; add ``n_values`` and sorted distinct ``kinds``."""
     docs = docs.drop(*(c for c in docs.columns if c in ADDED))
     text = F.col(column)
     own = text.rlike(f"[{_OPEN}{_CLOSE}{_ESCAPE}]")

@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms, from the session; a fixed one where none is set, as in tests."""
+    return spark.conf.get("gaugeflow.pii.key", "for tests only")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"))
@@ -59,7 +64,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs).select("doc_id", "text", "n_values", F.array_join("kinds", ",").alias("kinds"))
+    return pii.pseudonymise(docs, pii_key(spark)).select("doc_id", "text", "n_values", F.array_join("kinds", ",").alias("kinds"))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Toxicity, decontamination, language, pages and personal values."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -258,7 +259,7 @@ def test_pseudonyms(spark, docs):
     bad = ["4111 1111 1111 1112", "300.1.1.1", "1987-02-31", "000-12-3456", "DE89370400440532013001", "1234567890123456", "v1.2.3", "10 000"]
     rows = [(i, f"see {v}, ok") for i, v in enumerate(good.values())] + [(100 + i, f"see {v}, ok") for i, v in enumerate(bad)]
     rows += [(200, None), (201, ""), (202, "x " * 20_000 + good["card"]), (203, f"{good['card']} {good['card']} {good['email']}"), (203, f"{good['card']} {good['card']} {good['email']}"), (204, "MAIL ÉA.B@X.ORG!!")]
-    frame = pii.pseudonymise(docs(rows, kinds="mine"))
+    frame = pii.pseudonymise(docs(rows, kinds="mine"), "gaugeflow")
     got = {r["doc_id"]: r for r in frame.collect()}
     assert frame.count() == len(rows) and frame.columns[:5] == docs([]).columns
     for i, (kind, value) in enumerate(good.items()):
@@ -272,13 +273,13 @@ def test_pseudonyms(spark, docs):
     assert 1800 <= year < 2200 and 1 <= month <= 12 and 1 <= day <= 31
     other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs(rows), key="other").collect()}
     assert other[0] != got[0]["text"]
-    assert pii.pseudonymise(docs([])).count() == 0
+    assert pii.pseudonymise(docs([]), "k").count() == 0
 
 
 def test_validation_chooses_the_extent(spark, docs):
     card, at, es = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"
     values = [f"{card} 12/26", f"{card} 123", f"7 {card}", f"{at} BIC", f"{es} 2024", f"{at} {card} 2020-13-45 5", f"+49 {card}", "\x01\x03# a\x02@ 4111"]
-    got = [r for r in pii.pseudonymise(docs(list(enumerate(values)))).orderBy("doc_id").collect()]
+    got = [r for r in pii.pseudonymise(docs(list(enumerate(values))), "k").orderBy("doc_id").collect()]
     assert [r["kinds"] for r in got] == [["card"]] * 3 + [["iban"]] * 2 + [["card", "iban"], ["card"], []]
     assert all(len(r["text"]) == len(v) and card not in r["text"] and at not in r["text"] and es not in r["text"] for r, v in zip(got, values, strict=True))
     assert got[0]["text"].endswith(" 12/26") and got[1]["text"].endswith(" 123") and got[3]["text"].endswith(" BIC") and got[7]["text"] == values[7]
@@ -288,3 +289,100 @@ def test_dates_are_permuted(spark):
     days = spark.sql("select date_format(date_add(date'1800-01-01', cast(id as int)), 'yyyy-MM-dd') as v from range(0, 146097, 7)")
     got = days.select("v", pii._date(F.col("v"), "k").alias("n")).agg(F.count("*").alias("a"), F.count_distinct("n").alias("b"), F.count_if(F.col("n") == F.col("v")).alias("same")).first()
     assert got["a"] == got["b"] and got["same"] < 20
+
+
+def test_addresses_beyond_ascii(spark, docs):
+    values = ["jürgen.müller@web.de", "ann@xn--o3vkkbx.example.com", "олег@mail.example.org", "李雷@mail.example.cn", "jörgen.müller@web.de", "ÀØ@b.xn--p1ai.com"]
+    rows = [(i, f"to {v} now") for i, v in enumerate(values)]
+    got = {r["doc_id"]: r["text"][3:-4] for r in pii.pseudonymise(docs(rows), "k").collect()}
+    assert all(len(got[i]) == len(v) and not {*v.split("@")[0]} - {*"."} <= {*got[i].split("@")[0]} for i, v in enumerate(values)) and len({*got.values()}) == len(values)
+    assert not any(a == b and a not in ".@" for a, b in zip(got[0].split("@")[0][1:2] + got[2][:4], "ü" + "олег", strict=True) if a == "ü")
+    assert ".xn--" not in got[0] and "@xn--o3vkkbx." in got[1] and ".xn--p1ai." in got[5] and got[2].endswith(".org")
+
+
+def plain_values(key):
+    """Pseudonyms by plain Python: kind -> new value of a value, None if it doesn't validate."""
+
+    def refill(value, symbols):
+        left = iter(symbols)
+        return "".join(next(left) if c.isascii() and c.isalnum() else c for c in value)
+
+    def bare(value):
+        return "".join(c for c in value if c.isascii() and c.isalnum())
+
+    def halves(kind, a, b, m, n):
+        for i in range(pii.ROUNDS):
+            add = int(hashlib.sha256("|".join([key, kind, str(i), str(a if i % 2 else b)]).encode()).hexdigest()[:6], 16)
+            a, b = (a, (b + add) % n) if i % 2 else ((a + add) % m, b)
+        return a, b
+
+    def card(v):
+        new = feistel(bare(v)[:-1], key, "card")
+        return refill(v, next(new + str(d) for d in range(10) if luhn(new + str(d)))) if luhn(v) else None
+
+    def number(s):
+        return int("".join(str(int(c, 36)) for c in s))
+
+    def iban(v):
+        s = bare(v)
+        new = feistel(s[4:], key, "iban")
+        return refill(v, s[:2] + f"{98 - number(new + s[:2] + '00') % 97:02d}" + new) if number(s[4:] + s[:4]) % 97 == 1 else None
+
+    def address(v):
+        o = [int(x) for x in v.split(".")]
+        a, b = halves("address", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return ".".join(map(str, (*divmod(a, 256), *divmod(b, 256)))) if max(o) < 256 else None
+
+    def date(v):
+        try:
+            day = (datetime.date.fromisoformat(v) - datetime.date(1800, 1, 1)).days
+        except ValueError:
+            return None
+        a, b = halves("date", *divmod(day, 773), 189, 773)
+        return (datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)).isoformat()
+
+    def email(v):
+        head, top = v.rsplit(".", 1)
+        return refill(head, feistel(bare(head), key, "email")) + "." + top
+
+    def social(v):
+        ok = v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000"
+        return refill(v, feistel(bare(v), key, "social")) if ok else None
+
+    return {"card": card, "iban": iban, "address": address, "date": date, "email": email, "social": social}
+
+
+def test_pseudonyms_equal_the_plain_ones(spark, docs):
+    """Detection and replacement of random values, right and wrong ones, against plain Python."""
+    rng, rules = random.Random(9), plain_values("k")
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+
+    def iban():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}" if rng.random() < 0.7 else f"DE{digits(20)}"
+
+    def card():
+        body = digits(15)
+        s = next(body + str(d) for d in range(10) if luhn(body + str(d))) if rng.random() < 0.7 else digits(16)
+        return rng.choice([s, " ".join(s[i : i + 4] for i in range(0, 16, 4)), "-".join(s[i : i + 4] for i in range(0, 16, 4))])
+
+    make = {
+        "card": card, "iban": iban, "address": lambda: ".".join(str(rng.randrange(0, 280)) for _ in range(4)), "date": lambda: f"{rng.randrange(1801, 2199)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 32):02d}",
+        "email": lambda: f"{word()}.{word()}{digits(2)}@{word()}.example.com", "social": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+    }
+    rows, want = [], {}
+    for i in range(60):
+        text, new, kinds = [], [], []
+        for _ in range(rng.randrange(0, 6)):
+            kind = rng.choice(list(make))
+            value = make[kind]()
+            changed = rules[kind](value)
+            filler = " ".join(word() for _ in range(rng.randrange(1, 4)))
+            text += [filler, value]
+            new += [filler, value if changed is None else changed]
+            kinds += [kind] * (changed is not None)
+        rows.append((i, "; ".join(text)))
+        want[i] = ("; ".join(new), len(kinds), sorted(set(kinds)))
+    got = {r["doc_id"]: (r["text"], r["n_values"], r["kinds"]) for r in pii.pseudonymise(docs(rows), "k").collect()}
+    assert got == want
