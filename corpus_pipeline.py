@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import decontamination, near_dedup, packing, pii, toxicity
-from gaugeflow.llm.queries import tokenizer_path
+from gaugeflow.llm.queries import pii_key, tokenizer_path
 from gaugeflow.llm.shared import cut, table
 
 #: SQL has neither edit alignment nor the tokenizer; tests compare with a brute-force version.
@@ -57,7 +57,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _through(docs, pii.ADDED, pii.pseudonymise, changed=True)
+    return _through(docs, pii.ADDED, partial(pii.pseudonymise, key=pii_key(spark)), changed=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
