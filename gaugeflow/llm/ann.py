@@ -9,8 +9,10 @@ Codes within the radius, or the nearest ``k`` codes of a block that has fewer,
 are reranked by the cosine of the original vectors in double precision.
 
 Rotations and radius are fitted on at most ``sample`` vectors, taken by the order
-of a hash of vec_id; every vector is indexed. Queries go to the tasks in blocks of
-at most ``query_block`` vectors, so what is broadcast never exceeds that size.
+of a hash of vec_id; every vector is indexed. Queries are written as a table, in
+blocks of about ``query_block`` vectors; one block at a time goes to the tasks, and
+its neighbours are written before the next one is read, so driver and executors
+hold one block however many queries there are. Each block costs one scan.
 
 Defined results: vectors that are null, zero, of another length than most of the
 sample, or that hold nulls or non-finite numbers take no part, nor do rows with
@@ -28,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut, drop
+
 SAMPLE, ROTATIONS, QUERY_BLOCK, PART_BITS = 16_384, 2, 20_000, 8
 
 
@@ -143,22 +147,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, quer
     dim = max(set(sizes), key=lambda n: (sizes.count(n), n))
     rows = rows.where(F.size("vector") == dim)
     coder = Coder(np.array([v for v in learn if len(v) == dim], np.float64), k=k)
-    shared, found, block = sc.broadcast(coder), [], {}
-
-    def ask() -> None:
-        x = np.array(list(block.values()), np.float64)
-        asked = sc.broadcast((np.array(list(block), np.int64), x, coder.codes(x)))
-        found.append(rows.mapInArrow(_search(asked, shared, k), "query_id long, vec_id long, score double"))
-        block.clear()
-
-    for r in rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).toLocalIterator():
-        block[r["vec_id"]] = r["vector"]
-        if len(block) >= query_block:
-            ask()
-    if block:
-        ask()
-    if not found:
+    asking = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asking = cut(asking.withColumn("hash", F.xxhash64("vec_id")))
+    blocks = -(-asking.count() // query_block)
+    if not blocks:
         return vectors.sparkSession.createDataFrame([], empty)
+    shared, found = sc.broadcast(coder), []
+    for block in range(blocks):
+        own = asking.where(F.pmod("hash", F.lit(blocks)) == block).select("vec_id", "vector").toArrow()
+        x = matrix(own.column("vector"))
+        asked = sc.broadcast((own.column("vec_id").to_numpy(), x, coder.codes(x) if len(x) else np.zeros((0, 0), np.uint8)))
+        found.append(cut(rows.mapInArrow(_search(asked, shared, k), "query_id long, vec_id long, score double")))
+        asked.unpersist()
+    drop(asking)
     met = found[0]
     for more in found[1:]:
         met = met.unionByName(more)

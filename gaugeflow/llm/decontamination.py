@@ -1,13 +1,16 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items.
 
-The automaton of the normalised items is broadcast behind a size check; items
-beyond the bound go into further automata that the documents stream through in
-turn, so a larger benchmark costs more scans of a batch and never more memory.
+The automaton of the normalised items is broadcast behind a size check. A larger
+benchmark is read in blocks: one automaton is built and broadcast at a time, the
+documents stream through it and are written with their marks, and it is released
+before the next one is built. So more items cost more scans, not more memory; a
+block of 1 MB of items takes some 0.2 GB in the driver and in each worker.
 Documents are never shuffled.
 
 Defined results: null and empty texts have no words and no hits; an item that is
 null or has no words matches nothing; repeated items and repeated document rows
-each keep their own id and row; an input column whose name this operator returns
+each keep their own id and row (equal items share one place in the automaton); ids
+of any type come out as strings; an input column whose name this operator returns
 is replaced by the returned one; other columns pass through.
 """
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Texts, byte_lut, gram_hashes, slices, word_hashes, word_spans
+from .shared import Texts, byte_lut, cut, gram_hashes, slices, word_hashes, word_spans
 
 #: Bytes 0-9, a-z (A-Z are lower-cased before) and all bytes of characters beyond ASCII.
 LETTERS = byte_lut(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
@@ -142,7 +145,7 @@ def _mark(automaton, column: str, finish=None):
     """Append one automaton's hits to ``_spans`` (word ranges, flat) and ``_items``; ``finish`` each part if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton.value
+        auto, ids = automaton.value
         for batch in batches:
             for part in slices(batch, column):
                 texts = Texts(part.column(column))
@@ -171,10 +174,10 @@ def _mark(automaton, column: str, finish=None):
                 spans, items = part.column("_spans").to_pylist(), part.column("_items").to_pylist()
                 for row, more in hits.items():
                     spans[row] = [*(spans[row] or ()), *more]
-                    items[row] = sorted({*(items[row] or ()), *found[row]})
+                    items[row] = sorted({*(items[row] or ()), *(x for i in found[row] for x in ids[i] if x is not None)})
                 rest = [part.column(c) for c in part.schema.names[:-3]]
                 counts = pa.array(np.diff(first), pa.int64())
-                marked = pa.RecordBatch.from_arrays([*rest, counts, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=part.schema.names)
+                marked = pa.RecordBatch.from_arrays([*rest, counts, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=part.schema.names)
                 yield finish(marked) if finish else marked
 
     return run
@@ -207,27 +210,31 @@ def _finish(column: str, least_span: int):
             edges = [int(texts.off[row]), *(x for pair in gone for x in pair), int(texts.off[row + 1])]
             clean.append(b" ".join(x for a, b in list(pairwise(edges))[::2] if (x := texts.data[a:b].tobytes().strip())).decode("utf-8", "replace"))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        items = pa.array([x or [] for x in part.column("_items").to_pylist()], pa.list_(pa.int64()))
+        items = pa.array([x or [] for x in part.column("_items").to_pylist()], pa.list_(pa.string()))
         added = [part.column("_words"), pa.array(n_hit, pa.int64()), items, pa.array(spans, kind), pa.array(clean, pa.string())]
         return pa.RecordBatch.from_arrays([*part.columns[:-3], *added], names=[*part.schema.names[:-3], *ADDED])
 
     return run
 
 
-def automata(items: DataFrame, window: int, id_column: str, column: str, most_bytes: int) -> list[ItemAutomaton]:
-    """Automata of at most ``most_bytes`` of item text each (an item is never cut)."""
-    blocks: list[list] = [[]]
+def automata(items: DataFrame, window: int, id_column: str, column: str, most_bytes: int) -> Iterator[tuple[ItemAutomaton, list[list[str]]]]:
+    """Automata of at most ``most_bytes`` of item text each (an item is never cut), with the ids of their distinct items."""
+    known: dict[tuple[bytes, ...], list[str]] = {}
     size = 0
-    for item, text in items.select(id_column, column).where(F.col(column).isNotNull()).toLocalIterator():
+
+    def made():
+        return ItemAutomaton([(i, list(words)) for i, words in enumerate(known)], window), list(known.values())
+
+    for item, text in items.select(F.col(id_column).cast("string"), column).where(F.col(column).isNotNull()).toLocalIterator():
         if size and size + len(text.encode()) > most_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, normalised_words(text)))
+            yield made()
+            known, size = {}, 0
+        known.setdefault(tuple(normalised_words(text)), []).append(item)
         size += len(text.encode())
-    return [ItemAutomaton(block, window) for block in blocks]
+    yield made()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, column: str = "text", id_column: str = "item_id", item_column: str = "text", least_span: int = 1, most_bytes: int = 16_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, column: str = "text", id_column: str = "item_id", item_column: str = "text", least_span: int = 1, most_bytes: int = 1_000_000) -> DataFrame:
     """Mark and cut the words of ``docs`` that lie in a window of a test item.
 
     Adds ``n_words``, ``n_hit``, ``item_ids`` (items with occurring windows),
@@ -236,15 +243,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, column: s
     """
     spark = docs.sparkSession
     docs = docs.drop(*(c for c in docs.columns if c in {*ADDED, "_words", "_spans", "_items"}))
-    marked = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<long>")})
+    marked = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema])
-    shared = [spark.sparkContext.broadcast(auto) for auto in automata(items, window, id_column, item_column, most_bytes)]
-    for auto in shared[:-1]:
-        marked = marked.mapInArrow(_mark(auto, column), schema)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), spans, T.StringType())
+    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), spans, T.StringType())
     out = T.StructType([*schema.fields[:-3], *(T.StructField(n, k) for n, k in zip(ADDED, kinds, strict=True))])
-    return marked.mapInArrow(_mark(shared[-1], column, _finish(column, least_span)), out)
+    blocks = automata(items, window, id_column, item_column, most_bytes)
+    now = spark.sparkContext.broadcast(next(blocks))
+    for more in blocks:
+        marked = cut(marked.mapInArrow(_mark(now, column), schema), marked)
+        now.unpersist()
+        now = spark.sparkContext.broadcast(more)
+    return marked.mapInArrow(_mark(now, column, _finish(column, least_span)), out)
 
 
 def within_limits(marked: DataFrame, coverage: float = 0.5) -> DataFrame:
@@ -254,7 +264,7 @@ def within_limits(marked: DataFrame, coverage: float = 0.5) -> DataFrame:
 
 def digest(marked: DataFrame) -> DataFrame:
     """The per-document figures of the query contract."""
-    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("item_ids"), ",")
     return marked.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -6,8 +6,8 @@ transitions tie neighbouring words. Forward-backward gives each word its margina
 over the languages, and a document's prediction is the language with the largest
 mean marginal, so code-switched text is labelled word by word.
 
-Fitting uses at most ``sample`` labelled rows, by the order of a hash of doc_id, and
-learns transitions from pieces of different rows strung together. Long texts are
+Fitting uses at most ``sample`` labelled rows of each language, by the order of a hash
+of doc_id, so that rare languages are learned too, and learns transitions from pieces of different rows strung together. Long texts are
 cut into segments whose transfer matrices are chained, which gives the exact
 marginals of the whole text.
 
@@ -24,15 +24,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import slices
 
-SAMPLE, BUCKETS, SEGMENT, PIECE = 2_000, 1 << 16, 128, 60
+SAMPLE, BUCKETS, SEGMENT, PIECE = 500, 1 << 16, 128, 60
 WORDS = re.compile(r"[^\W\d_]+")
-ADDED = ("lang_pred", "score")
+ADDED = ("lang_pred", "score", "word_langs")
 
 
 def hashed_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +98,8 @@ def chain_marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray) ->
     return both, pair.sum(axis=(0, 1))
 
 
-def mean_marginals(scores: np.ndarray, bounds: np.ndarray, first: np.ndarray, step: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """Summed marginals of each chain; chain i holds the words bounds[i] to bounds[i + 1] of ``scores``."""
+def mean_marginals(scores: np.ndarray, bounds: np.ndarray, first: np.ndarray, step: np.ndarray, segment: int = SEGMENT, best: np.ndarray | None = None) -> np.ndarray:
+    """Summed marginals of each chain; chain i holds the words bounds[i] to bounds[i + 1] of ``scores``. ``best`` gets the likeliest label of each word."""
     n = scores.shape[1]
     sizes = np.diff(bounds)
     out = np.zeros((len(sizes), n))
@@ -144,6 +144,8 @@ def mean_marginals(scores: np.ndarray, bounds: np.ndarray, first: np.ndarray, st
     total, state = np.zeros((len(chain), n)), leave
     for i in range(segment - 1, -1, -1):
         both = ahead[i] * state
+        if best is not None:
+            best[begin[used[:, i]] + i] = both[used[:, i]].argmax(axis=1)
         total += np.where(used[:, i, None], both / both.sum(axis=1, keepdims=True), 0)
         x = (emit[:, i] * state) @ move.T
         state = np.where(used[:, i, None], x / x.sum(axis=1, keepdims=True), state)
@@ -221,12 +223,15 @@ def held_out():
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
     """Train on a bounded sample of the labelled rows outside the held-out third."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    return train([(r["text"], r["lang"]) for r in rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(2 * sample).toLocalIterator()])
+    rows = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    keys = rows.select("doc_id", "lang", F.xxhash64("text").alias("key")).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key"))
+    picked = keys.withColumn("nth", nth).where(F.col("nth") <= sample).drop("nth")
+    met = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "lang", "key"]).dropDuplicates(["doc_id", "lang", "key"])
+    return train([(r["text"], r["lang"]) for r in met.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "key").toLocalIterator()])
 
 
-def _label(shared, most_words: int = 300_000):
+def _label(shared, words: bool = False, most_words: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Crf | None = shared.value
         known: dict[str, int] = {}
@@ -235,6 +240,7 @@ def _label(shared, most_words: int = 300_000):
             for part in slices(batch, "text"):
                 texts = [words_of(t) for t in part.column("text").to_pylist()]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+                by_word: list[list[str]] = [[] for _ in texts]
                 if model:
                     fresh = [w for w in set().union(*texts).difference(known) if any(c.isalpha() for c in w)]
                     if len(known) + len(fresh) > most_words:
@@ -247,18 +253,22 @@ def _label(shared, most_words: int = 300_000):
                     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
                     flat = np.array([i for r in rows for i in r], np.int64)
                     if len(flat):
-                        share = mean_marginals(table[flat], bounds, model.first, model.step)
+                        best_of = np.zeros(len(flat), np.int64) if words else None
+                        share = mean_marginals(table[flat], bounds, model.first, model.step, best=best_of)
                         for i in np.flatnonzero(np.diff(bounds)):
                             best = int(share[i].argmax())
                             langs[i] = model.langs[best]
                             scores[i] = float(min(1.0, share[i, best] / (bounds[i + 1] - bounds[i])))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, *ADDED])
+                            if words:
+                                by_word[i] = [model.langs[x] for x in best_of[bounds[i] : bounds[i + 1]]]
+                added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([pa.array(by_word, pa.list_(pa.string()))] if words else ())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, *ADDED[: len(added)]])
 
     return run
 
 
-def label(docs: DataFrame, model: Crf | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (replacing columns so named)."""
-    docs = docs.drop(*(c for c in docs.columns if c in ADDED))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model)), schema)
+def label(docs: DataFrame, model: Crf | None, words: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (replacing columns so named), and with ``words`` the language of each word of ``words_of`` as ``word_langs``."""
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("word_langs", T.ArrayType(T.StringType()))][: 3 if words else 2]
+    docs = docs.drop(*(c for c in docs.columns if c in [f.name for f in added]))
+    return docs.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model), words), T.StructType([*docs.schema.fields, *added]))

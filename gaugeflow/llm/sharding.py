@@ -31,7 +31,9 @@ def shard(docs: DataFrame, shards: int = 24, overhead: int = ROW_BYTES) -> DataF
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
     )
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = cut(rows.repartitionByRange(parts, "doc_id", "text_crc32", "size").withColumn("part", F.spark_partition_id()))
+    # The last key tells rows apart that are alike, so that many of them don't meet in one partition.
+    spread = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "text_crc32", "size", "tie").drop("tie")
+    placed = cut(spread.withColumn("part", F.spark_partition_id()))
     # One row per partition: their number is a setting and doesn't grow with the rows.
     over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))

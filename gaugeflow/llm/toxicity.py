@@ -98,7 +98,15 @@ def weigh(auto, folded: str) -> tuple[float, int, int]:
             free.append((start, end))
         elif len(entry) > best.get(start, (0, 0.0))[0]:
             best[start] = (len(entry), weight)
-    hits = [w for at, (_, w) in best.items() if not any(a <= at < b for a, b in free)]
+    # A hit counts unless an exception that begins at or before it ends after it.
+    hits, reach, nth = [], -1, 0
+    free.sort()
+    for at, (_, weight) in sorted(best.items()):
+        while nth < len(free) and free[nth][0] <= at:
+            reach = max(reach, free[nth][1])
+            nth += 1
+        if at >= reach:
+            hits.append(weight)
     return sum(hits), len(hits), words
 
 
@@ -204,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_docs: in
     spark = docs.sparkSession
     marked = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"))
+    # One text of each id, so that no repetition of ids exceeds the sample.
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = cut(met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:

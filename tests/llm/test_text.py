@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -45,6 +46,12 @@ def test_decontamination_in_blocks(spark, docs):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_items_with_text_ids_and_many_copies(spark, docs):
+    its = spark.createDataFrame([("b", "short one here"), ("a", "short one here"), *((f"r{i}", "over and over again") for i in range(2000))], "item_id string, text string")
+    got = dec.digest(dec.decontaminate(docs([(1, "a short one here"), (2, "over and over again " * 50)]), its)).orderBy("doc_id").collect()
+    assert [r["n_items"] for r in got] == [2, 2000] and got[0]["items_sha256"] == hashlib.sha256(b"a,b").hexdigest()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_decontamination_random(spark, docs, seed):
     rng = random.Random(seed)
@@ -89,6 +96,30 @@ def test_toxicity(spark, docs, toxic_rows):
     assert right > 0.97 and scores[1000] == scores[1001] < 0.1 and scores[1002] > 0.3 and scores[1003] < 0.1 and scores[1004] < 0.3
 
 
+def plain_weigh(lexicon, folded):
+    """Longest entry at each place, exceptions by looking at every place."""
+    total, hits = 0.0, 0
+    free = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+    for i in range(len(folded)):
+        found = [e for e in lexicon.weights if folded.startswith(e, i)]
+        if found and not any(a <= i < b for a, b in free):
+            total, hits = total + lexicon.weights[max(found, key=len)], hits + 1
+    return total, hits, len(folded.split())
+
+
+def test_weights_equal_the_plain_ones():
+    rng = random.Random(3)
+    lexicon = toxicity.Lexicon({" moron ": 2.0, " scum": 1.5, " scumba": 1.0, " idiot ": 0.5}, ("moron valley", "nice idiot", "idiot scumbag"))
+    auto = lexicon.automaton()
+    for _ in range(500):
+        folded = toxicity.fold(" ".join(rng.choice(["moron", "m0ron", "valley", "scumbag", "scum", "ID10T", "nice", "tree"]) for _ in range(rng.randrange(0, 12))))
+        got, want = toxicity.weigh(auto, folded), plain_weigh(lexicon, folded)
+        assert got[1:] == want[1:] and abs(got[0] - want[0]) < 1e-9
+    began = time.perf_counter()
+    assert toxicity.weigh(auto, toxicity.fold("moron valley idiot " * 100_000))[1] == 100_000
+    assert time.perf_counter() - began < 10
+
+
 def test_toxicity_without_labels(spark, docs):
     lexicon = toxicity.fit(docs([(1, "a")]), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.score(docs([(1, "a"), (2, None)]), lexicon).where("score > 0.5").count() == 0
@@ -108,6 +139,34 @@ def test_segmented_marginals_are_exact():
                 assert np.allclose(both[0].sum(0), got[i])
 
 
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(1)
+    for t in (1, 2, 4):
+        scores, first, step = rng.normal(size=(t, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+        weight = {p: math.exp(first[p[0]] + sum(scores[i, x] for i, x in enumerate(p)) + sum(step[a, b] for a, b in itertools.pairwise(p))) for p in itertools.product(range(3), repeat=t)}
+        total = sum(weight.values())
+        both, pair = language.chain_marginals(scores[None], first, step)
+        for i in range(t):
+            assert np.allclose(both[0, i], [sum(w for p, w in weight.items() if p[i] == x) / total for x in range(3)])
+        assert np.allclose(pair, [[sum(w * sum(q == (a, b) for q in itertools.pairwise(p)) for p, w in weight.items()) / total for b in range(3)] for a in range(3)])
+
+
+def test_words_of_switched_text(spark):
+    rng = random.Random(2)
+    vocab = {"en": ["the", "house", "with", "thing", "over"], "de": ["das", "haus", "mit", "über", "sich"]}
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(40)), lang) for i in range(200) for lang in [rng.choice(list(vocab))]]
+    rows += [(1000, " ".join(["the house with thing over"] * 5 + ["das haus mit über sich"] * 5), None), (1001, "... 12", None), (1002, None, None), (1003, "the " * 300 + "haus " * 300, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["word_langs"] for r in language.label(frame, language.fit(frame), words=True).where("doc_id >= 1000").collect()}
+    assert got == {1000: ["en"] * 25 + ["de"] * 25, 1001: [], 1002: [], 1003: ["en"] * 300 + ["de"] * 300}
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the house with thing over " * 3, "en") for i in range(900)] + [(1000 + i, "das haus mit über sich " * 3, "de") for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.label(frame.where("lang = 'de'"), language.fit(frame, sample=20)).collect()} == {"de"}
+
+
 def test_language(spark):
     rng = random.Random(1)
     vocab = {"en": ["the", "house", "with", "thing", "over"], "de": ["das", "haus", "mit", "über", "sich"], "fr": ["le", "maison", "avec", "élan", "sur"]}
