@@ -52,7 +52,7 @@ SHORT = 48
 #: Least and most parity bits of a text's words; in between four for each word.
 PARITY_BITS = 1 << 9, 1 << 14
 #: Elections of leaders before all pairs that are still apart are judged.
-TURNS, LEADERS = 2, 8
+TURNS, LEADERS = 1, 8
 #: Members of a bucket up to which their pairs are judged one by one.
 FEW = 2_048
 #: Frequent words whose order is learned, from so many texts; all others count as rare.
@@ -298,18 +298,17 @@ class _Bounds:
             self.tables[longs] = np.stack([folded(p, longs) if len(p) >= longs else np.zeros(longs, np.uint64) for p in self.rows])
         return self.tables[longs]
 
-    def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs of rows ``i`` and ``j`` may be links."""
+    def slack(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How far each of the pairs of rows ``i`` and ``j`` keeps from its bound; negative if it can't be a link."""
         gap = np.abs(self.n[i] - self.n[j])
         most = ((1 - self.similarity) * np.maximum(self.n[i], self.n[j]) + 1e-9).astype(np.int64)
-        ok = gap <= most
-        size = np.where(ok, np.minimum(self.size[i], self.size[j]), 0)
-        for longs in np.unique(size[ok]):
+        out = np.where(gap <= most, 2 * most - gap, -1)
+        size = np.where(out >= 0, np.minimum(self.size[i], self.size[j]), 0)
+        for longs in np.unique(size[out >= 0]):
             at = np.flatnonzero(size == longs)
-            apart = np.bitwise_count(self.table(longs)[i[at]] ^ self.table(longs)[j[at]]).sum(axis=1, dtype=np.int64)
             # A replaced word is one lost and one gained; an edit of length one is lost or gained.
-            ok[at] = apart <= 2 * most[at] - gap[at]
-        return ok
+            out[at] -= np.bitwise_count(self.table(longs)[i[at]] ^ self.table(longs)[j[at]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _likely(similarity: float):
@@ -319,7 +318,7 @@ def _likely(similarity: float):
             if n:
                 both = lambda name: pa.concat_arrays([batch.column(f"{x}_{name}") for x in ("leader", "member")])
                 bounds = _Bounds(both("n_words").to_numpy(), both("parity"), similarity)
-                batch = batch.filter(pa.array(bounds.allow(np.arange(n), np.arange(n) + n)))
+                batch = batch.filter(pa.array(bounds.slack(np.arange(n), np.arange(n) + n) >= 0))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("leader", "member", "shared")], names=["leader", "member", "shared"])
 
     return run
@@ -331,35 +330,44 @@ def _described(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return pairs.join(side("member"), "member").join(side("leader"), "leader").mapInArrow(_likely(similarity), "leader long, member long, shared long")
 
 
+#: Pairs that a task remembers, so as not to return them again.
+_REMEMBERED = 500_000
+
+
 def _judge(similarity: float):
-    """Pairs of texts with an equal value, next to each other in the input, that may be links between classes."""
-
-    def pairs(held: pa.Table) -> pa.RecordBatch:
-        value, ids, label = (held.column(c).to_numpy() for c in ("value", "doc_id", "label"))
-        bounds = _Bounds(held.column("n_words").to_numpy(), held.column("parity").combine_chunks(), similarity)
-        live, step, found = np.arange(len(value)), 1, []
-        while True:
-            live = live[live + step < len(value)]
-            live = live[value[live] == value[live + step]]
-            if not len(live):
-                break
-            i = live[label[live] != label[live + step]]
-            i = i[bounds.allow(i, i + step)]
-            found.append(np.stack([np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step])]))
-            step += 1
-        rows, count = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(count)], names=["leader", "member", "shared"])
+    """Pairs of texts with an equal value, next to each other in the input, that may be links between classes; ``shared`` is their slack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, seen = None, set()
+
+        def pairs(held: pa.Table) -> pa.RecordBatch:
+            value, ids, label = (held.column(c).to_numpy() for c in ("value", "doc_id", "label"))
+            bounds = _Bounds(held.column("n_words").to_numpy(), held.column("parity").combine_chunks(), similarity)
+            live, step, fresh = np.arange(len(value)), 1, {}
+            while True:
+                live = live[live + step < len(value)]
+                live = live[value[live] == value[live + step]]
+                if not len(live):
+                    break
+                i = live[label[live] != label[live + step]]
+                slack = bounds.slack(i, i + step)
+                i, slack = i[slack >= 0], slack[slack >= 0]
+                found = zip(np.minimum(ids[i], ids[i + step]).tolist(), np.maximum(ids[i], ids[i + step]).tolist(), strict=True)
+                fresh.update((pair, n) for pair, n in zip(found, slack.tolist(), strict=True) if pair not in seen)
+                step += 1
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+            seen.update(fresh)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64()), pa.array(list(fresh.values()), pa.int64())], names=["leader", "member", "shared"])
+
         for batch in batches:
             held = pa.Table.from_batches([*(held.to_batches() if held else ()), batch])
             value = held.column("value").to_numpy()
             # the last value may go on in the next batch
-            done = int(np.searchsorted(value, value[-1])) if len(value) else 0
-            if done:
-                yield pairs(held.slice(0, done))
-                held = held.slice(done)
+            last = np.flatnonzero(value[1:] != value[:-1])
+            if len(last):
+                yield pairs(held.slice(0, int(last[-1]) + 1))
+                held = held.slice(int(last[-1]) + 1)
         if held:
             yield pairs(held)
 
@@ -434,14 +442,16 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(leader, member, shared) of all pairs in a bucket of ``members`` (value, rep) that may be links between classes."""
     named = members.select("value", F.col("rep").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("value", "n")
-    still = cut(named.join(mixed, "value").select("value", "n", "doc_id", "label"))
-    few = still.where(F.col("n") <= FEW).select("value", "doc_id", "label").join(texts.select("doc_id", "n_words", "parity"), "doc_id")
-    met = few.repartition("value").sortWithinPartitions("value").mapInArrow(_judge(similarity), "leader long, member long, shared long")
-    pairs = cut(met.groupBy("leader", "member").agg(F.sum("shared").alias("shared")))
+    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("near")).where("low <> high").select("value", "n", "near")
+    still = cut(named.join(mixed, "value").select("value", "n", "near", "doc_id", "label"))
+    # Buckets of mostly the same members have the same least hash: one task judges them and returns a pair once. A text is in
+    # a bounded number of buckets, so it draws no more than that many together.
+    few = still.where(F.col("n") <= FEW).select("value", "near", "doc_id", "label").join(texts.select("doc_id", "n_words", "parity"), "doc_id")
+    met = few.repartition("near").sortWithinPartitions("near", "value").mapInArrow(_judge(similarity), "leader long, member long, shared long")
+    pairs = cut(met.groupBy("leader", "member").agg(F.max("shared").alias("shared")))
     many = cut(still.where(F.col("n") > FEW).select("doc_id", "label").distinct(), still)
     if many.limit(1).count():
-        pairs = cut(pairs.unionByName(prefix_pairs(texts.join(many, "doc_id"), similarity)).groupBy("leader", "member").agg(F.sum("shared").alias("shared")), pairs)
+        pairs = cut(pairs.unionByName(prefix_pairs(texts.join(many, "doc_id"), similarity)).groupBy("leader", "member").agg(F.max("shared").alias("shared")), pairs)
     drop(many)
     return pairs
 
