@@ -29,8 +29,8 @@ def with_vector(left: DataFrame, op: str, right: DataFrame, broadcast: str = "rh
     """
     if broadcast not in ("rhs", "both", "none"):
         raise ValueError(f"unknown broadcast {broadcast!r}")
-    # One series: least and greatest digest of the signatures agree; one number a task meets in the end.
-    one = lambda side: side.agg(F.coalesce(F.min(F.xxhash64("labels_sig")) == F.max(F.xxhash64("labels_sig")), F.lit(False))).scalar()
+    # One series: least and greatest signature agree; one pair a task meets in the end.
+    one = lambda side: side.agg(F.coalesce(F.min("labels_sig") == F.max("labels_sig"), F.lit(False))).scalar()
     any_series = F.lit(False) if broadcast == "none" else one(right)
     left_single = one(left) if broadcast == "both" else F.lit(False)
     lhs = left.select("ts", F.col("labels").alias("l_labels"), F.col("labels_sig").alias("l_sig"), F.col("value").alias("l_value"), any_series.alias("l_any"), left_single.alias("l_one"))

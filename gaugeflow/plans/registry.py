@@ -294,6 +294,12 @@ def _j2(s, d):
     return flat(arith.with_vector(count, "/", A.aggregate(count, "sum")))
 
 
+@query("j2_single_left", f"with {O.DAILY} select sig as labels_sig, ts, round(sum(n) over (partition by ts) / n, 6) as value from d")
+def _j2_left(s, d):
+    count = D.orders_daily(s, d)[1]
+    return flat(arith.with_vector(A.aggregate(count, "sum"), "/", count, broadcast="both"))
+
+
 @query("j3_overlay", f"with {O.EV}, p as (select 'p' || i as panel, {T0} + i * {DAY} as lo, {T0} + i * {DAY} + 30 * {HOUR} as hi from range(28) t(i)), m as (select panel, event_id, ts, row_number() over (partition by panel order by ts desc, cast(event_id as varchar)) as rn from p join ev on ts between lo and hi) select panel, cast(event_id as varchar) as id, ts from m where rn <= 200")
 def _j3(s, d):
     windows = s.range(28).select(F.concat(F.lit("p"), "id").alias("panel"), (F.col("id") * DAY + T0).alias("start"), (F.col("id") * DAY + T0 + 30 * HOUR).alias("end"))

@@ -115,5 +115,5 @@ def _t7(fn: str):
     return run
 
 
-for _fn in ("rate", "increase", "irate", "delta", "sum_over_time", "count_over_time"):
+for _fn in ("rate", "increase", "irate", "delta", "avg_over_time", "sum_over_time", "min_over_time", "max_over_time", "count_over_time"):
     _t7(_fn)
