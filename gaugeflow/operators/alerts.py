@@ -66,6 +66,20 @@ def bodies(transitions: DataFrame) -> DataFrame:
     return transitions.select("rule", "labels_sig", "status", F.to_json(F.struct(*fields)).alias("body"))
 
 
-def deliver(transitions: DataFrame, folder: str) -> None:
-    """Write the bodies to ``folder``, one JSON line each, one attempt."""
-    bodies(transitions).select(F.col("body").alias("value")).write.mode("append").text(folder)
+def attempt(made: DataFrame, folder: str, log: str) -> None:
+    """Write the bodies of ``made`` to ``folder``, one JSON line each, and append what came of it to ``log``.
+
+    The log has (rule, labels_sig, status, ok, error), a row a body. A failed attempt is
+    noted and not raised, so that alerting goes on; it isn't repeated.
+    """
+    error = ""
+    try:
+        made.select(F.col("body").alias("value")).write.mode("append").text(folder)
+    except Exception as e:  # whatever the target raises is the outcome of the attempt
+        error = str(e).partition("\n")[0] or type(e).__name__
+    made.select("rule", "labels_sig", "status", F.lit(not error).alias("ok"), F.lit(error).alias("error")).write.mode("append").parquet(log)
+
+
+def deliver(transitions: DataFrame, folder: str, log: str) -> None:
+    """One delivery attempt of all transitions."""
+    attempt(bodies(transitions), folder, log)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PACK_AFTER_MS, LEAST_RUN, MOST_RUN = 2 * 3_600_000, 16, 1000
+DAY = 86_400_000
 
 
 def quarantine_nan(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -15,10 +16,15 @@ def quarantine_nan(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def upsert(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Stored samples with ``batch`` written over them; the greatest ``ingest_seq`` of a series and time wins."""
+    """Stored samples with ``batch`` written over them; the greatest ``ingest_seq`` of a series and time wins, of equal ones the greatest value.
+
+    ``ingest_seq`` is a number, or a struct of what orders the samples.
+    """
     usable, _ = quarantine_nan(batch)
-    rows = usable if stored is None else stored.withColumn("ingest_seq", F.lit(-1).cast("long")).unionByName(usable.withColumn("ingest_seq", F.col("ingest_seq").cast("long")))
-    return rows.groupBy("metric", "labels_sig", "labels", "ts").agg(F.max_by("value", "ingest_seq").alias("value")).select("metric", "labels", "labels_sig", "ts", "value")
+    rows = usable.withColumn("fresh", F.lit(1))
+    if stored is not None:
+        rows = stored.withColumns({"ingest_seq": F.lit(None).cast(usable.schema["ingest_seq"].dataType), "fresh": F.lit(0)}).unionByName(rows)
+    return rows.groupBy("metric", "labels_sig", "labels", "ts").agg(F.max_by("value", F.struct("fresh", "ingest_seq", "value")).alias("value")).select("metric", "labels", "labels_sig", "ts", "value")
 
 
 def retain(samples: DataFrame, now: int, keep_ms: int) -> DataFrame:
@@ -55,14 +61,22 @@ def id_collisions(dictionary: DataFrame) -> DataFrame:
 
 
 def pack(samples: DataFrame, now: int, least: int = LEAST_RUN, most: int = MOST_RUN, after_ms: int = PACK_AFTER_MS) -> tuple[DataFrame, DataFrame]:
-    """(packed runs, raw rest): samples older than two hours of series with enough of them, in runs by time."""
-    series = Window.partitionBy("metric", "labels_sig")
-    marked = samples.withColumns({"old": F.col("ts") < now - after_ms, "n_old": F.count_if(F.col("ts") < now - after_ms).over(series)})
-    ready = F.col("old") & (F.col("n_old") >= least)
-    runs = marked.where(ready).withColumn("run", F.expr(f"(row_number() over (partition by metric, labels_sig order by ts) - 1) div {most}"))
+    """(packed runs, raw rest): samples older than two hours of series with enough of them, in runs by time.
+
+    Samples are numbered within a day of their series, and days by the sums of their
+    counts, so no task sorts a whole series.
+    """
+    series, day = Window.partitionBy("metric", "labels_sig"), ["metric", "labels_sig", "day"]
+    marked = samples.withColumns({"old": F.col("ts") < now - after_ms, "day": F.floor(F.col("ts") / DAY)})
+    counts = marked.where("old").groupBy(*day).agg(F.count("*").alias("n"))
+    counts = counts.withColumns({"n_old": F.sum("n").over(series), "before": F.sum("n").over(series.orderBy("day")) - F.col("n")}).drop("n")
+    marked = marked.join(counts, day, "left")
+    ready = F.col("old") & (F.coalesce("n_old", F.lit(0)) >= least)
+    at = F.col("before") + F.row_number().over(Window.partitionBy(*day).orderBy("ts")) - 1
+    runs = marked.where(ready).withColumn("at", at).withColumn("run", F.expr(f"at div {most}"))
     points = F.array_sort(F.collect_list(F.struct("ts", "value")))  # at most ``most`` of them
     packed = runs.groupBy("metric", "labels_sig", "labels", "run").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").cast("int").alias("count"), points.alias("points")).drop("run")
-    return packed, marked.where(~ready).drop("old", "n_old")
+    return packed, marked.where(~ready).select(*samples.columns)
 
 
 def unpack(packed: DataFrame, start: int, end: int) -> DataFrame:

@@ -25,10 +25,12 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that all executors see; a temporary one only where the session names none."""
+    """A fresh folder that all executors see; a temporary one only in a local session that names none."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     base = held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a session on a cluster must name spark.checkpoint.dir")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-")

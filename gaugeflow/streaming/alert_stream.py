@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.labels import compare_by
+from ..operators.alerts import attempt
 
 OUT = "rule string, generation long, labels_sig string, labels map<string,string>, status string, value double, fired_at long, resolved_at long"
 
@@ -56,7 +57,13 @@ def alert_stream(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.groupBy("rule", "generation", "labels_sig").transformWithStateInPandas(AlertMachine(), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
-def deliver_stream(transitions: DataFrame, folder: str, checkpoint: str):
-    """Write one JSON line for each transition as it happens."""
-    body = transitions.select(F.to_json(F.struct("rule", "status", "value", "labels", "fired_at", "resolved_at")).alias("value"))
-    return body.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def deliver_stream(transitions: DataFrame, folder: str, log: str, checkpoint: str):
+    """Write one JSON line for each transition as it happens, and its delivery attempt to ``log``."""
+    body = F.to_json(F.struct("rule", "status", "value", "labels", "fired_at", "resolved_at")).alias("body")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        made = batch.select("rule", "labels_sig", "status", body).persist()
+        attempt(made, folder, log)
+        made.unpersist()
+
+    return transitions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

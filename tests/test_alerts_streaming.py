@@ -1,11 +1,13 @@
 """Alert timelines against an imperative machine and the stream; streaming ingest; hopping windows."""
 
+import os
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import labels as L
-from gaugeflow.operators import alerts, events
+from gaugeflow.operators import alerts, events, reduce
 from gaugeflow.operators import range_fn as R
 from gaugeflow.streaming import alert_stream, hopping, ingest
 
@@ -88,7 +90,45 @@ def test_ingest_samples_and_restart(spark, tmp_path):
     assert first == [("x", "a=1,instance=h:9,job=app", 1000, 5.0), ("y", "instance=h:9,job=app", 1000, 2.0)]
     assert run() == first
     (folder / "b.prom").write_text('x{a="1"} 6 1000\nx{a="1"} 7 2000\n')
-    assert run() == [("x", "a=1,instance=h:9,job=app", 1000, 6.0), ("x", "a=1,instance=h:9,job=app", 2000, 7.0), first[1]]
+    second = [("x", "a=1,instance=h:9,job=app", 1000, 6.0), ("x", "a=1,instance=h:9,job=app", 2000, 7.0), first[1]]
+    assert run() == second
+    # a crash after the overwrite removed a partition and before the batch was committed
+    shutil.rmtree(tmp_path / "table" / "metric=x")
+    for name in ("1", ".1.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    assert run() == second
+    (folder / "c.prom").write_text("y 9 1000\n" + "".join(f"y {i % 7} 1000\n" for i in range(500)) + "y 3 1000\n")
+    assert run() == [*second[:2], ("y", "instance=h:9,job=app", 1000, 3.0)]
+
+
+def test_text_stream_from_end(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, seconds in (("old", 1000), ("new", 2000)):
+        (folder / name).write_text(f"{name}\n")
+        os.utime(folder / name, (seconds, seconds))
+
+    def lines(name, **how):
+        stream = ingest.text_stream(spark, str(folder), **how).select("line")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["line"] for r in spark.read.schema("line string").parquet(str(tmp_path / name)).collect())
+
+    assert lines("all") == ["new", "old"]
+    assert lines("end", from_end=True, now_ms=1_500_000) == ["new"]
+
+
+def test_delivery_log(spark, tmp_path):
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    ticks = spark.createDataFrame([("r", {"a": "1"}, "a=1", t, float(t < 60)) for t in range(0, 100, 10)], TICK_SCHEMA)
+    moves, log = alerts.timeline(ticks, rules), str(tmp_path / "log")
+    alerts.deliver(moves, str(tmp_path / "sink"), log)
+    assert sorted(r["status"] for r in spark.read.json(str(tmp_path / "sink")).collect()) == sorted(r["status"] for r in moves.collect())
+    (tmp_path / "file").write_text("")
+    alerts.deliver(moves, str(tmp_path / "file" / "sink"), log)  # no folder can be made below a file
+    rows = spark.read.parquet(log)
+    assert {(r["ok"], r["error"] == "") for r in rows.collect()} == {(True, True), (False, False)}
+    counts = reduce.alert_counters(moves, rows, ticks).first()
+    assert (counts["sends"], counts["send_failures"]) == (2 * moves.count(), moves.count())
 
 
 def test_ingest_events_once(spark, tmp_path):
