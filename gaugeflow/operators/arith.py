@@ -19,19 +19,20 @@ def with_scalar(vector: DataFrame, op: str, scalar: float, scalar_left: bool = F
     return vector.withColumn("value", _apply(op, other, own) if scalar_left else _apply(op, own, other))
 
 
-def with_vector(left: DataFrame, op: str, right: DataFrame, broadcast: str = "rhs") -> DataFrame:
+def with_vector(left: DataFrame, op: str, right: DataFrame, broadcast: str = "rhs", right_single: bool | None = None) -> DataFrame:
     """``left op right`` where labels and timestamps are equal; the metric is dropped.
 
     If the right side has exactly one series, it meets every series of the left
     (``broadcast='rhs'``); with ``'both'`` a single left series also meets every
     series of the right, whose labels then stay. The number of series is a scalar
-    subquery, so nothing is collected and one equi-join serves all cases.
+    subquery, so nothing is collected and one equi-join serves all cases; where the
+    caller knows whether the right side has one series (``right_single``), none runs.
     """
     if broadcast not in ("rhs", "both", "none"):
         raise ValueError(f"unknown broadcast {broadcast!r}")
     # One series: least and greatest signature agree; one pair a task meets in the end.
     one = lambda side: side.agg(F.coalesce(F.min("labels_sig") == F.max("labels_sig"), F.lit(False))).scalar()
-    any_series = F.lit(False) if broadcast == "none" else one(right)
+    any_series = F.lit(False) if broadcast == "none" else one(right) if right_single is None else F.lit(right_single)
     left_single = one(left) if broadcast == "both" else F.lit(False)
     lhs = left.select("ts", F.col("labels").alias("l_labels"), F.col("labels_sig").alias("l_sig"), F.col("value").alias("l_value"), any_series.alias("l_any"), left_single.alias("l_one"))
     rhs = right.select("ts", F.col("labels").alias("r_labels"), F.col("labels_sig").alias("r_sig"), F.col("value").alias("r_value"), any_series.alias("r_any"), left_single.alias("r_one"))

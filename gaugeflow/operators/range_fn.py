@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_STEP = 15_000
+DAY = 86_400_000
 LEAST_SAMPLES = {"rate": 2, "irate": 2, "increase": 2, "delta": 2}
 
 
@@ -66,6 +67,21 @@ def _value(fn: str, window: int) -> Column:
     }[fn]
 
 
+def with_previous(samples: DataFrame, window: int) -> DataFrame:
+    """Add ``prev_ts`` and ``prev`` of the sample before in the series, if it is within ``window``.
+
+    Series are cut into blocks of time, so that a long or dense one is no single task;
+    samples at the end of a block are carried into the next one, as its first ones may
+    follow them. Samples further apart never share a window, so nothing reads them.
+    """
+    size = max(DAY, 4 * window)
+    block = F.floor(F.col("ts") / size)
+    blocks = F.when(F.col("ts") >= (block + 1) * size - window, F.array(block, block + 1)).otherwise(F.array(block))
+    within = Window.partitionBy("metric", "labels_sig", "block").orderBy("ts")
+    out = samples.withColumn("block", F.explode(blocks)).withColumns({"prev_ts": F.lag("ts").over(within), "prev": F.lag("value").over(within)})
+    return out.where(F.col("block") == block).drop("block")
+
+
 def range_function(samples: DataFrame, fn: str, window: int, start: int, end: int, step: int = DEFAULT_STEP) -> DataFrame:
     """One row for each series and grid time with enough samples in ``[t - window, t]``.
 
@@ -74,8 +90,7 @@ def range_function(samples: DataFrame, fn: str, window: int, start: int, end: in
     """
     reach = samples.where(F.col("ts").between(max(0, start - window), end))
     if fn in ("rate", "increase", "irate"):
-        series = Window.partitionBy("metric", "labels_sig").orderBy("ts")
-        reach = reach.withColumns({"prev_ts": F.lag("ts").over(series), "prev": F.lag("value").over(series)})
+        reach = with_previous(reach, window)
         reach = reach.withColumn("inc", F.when(F.col("value") >= F.col("prev"), F.col("value") - F.col("prev")).when(F.col("prev").isNotNull(), F.col("value")))
         gap = (F.col("ts") - F.col("prev_ts")) / 1000.0
         reach = reach.withColumn("instant", F.when(gap > 0, F.col("inc") / gap).when(gap <= 0, 0.0))

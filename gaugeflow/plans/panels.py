@@ -63,8 +63,8 @@ class Panels:
         return stat(self._fn(fn, metric, window=window), "lastNotNull")
 
     def error_share(self, metric: str, label: str) -> DataFrame:
-        rates = self._fn("rate", metric)
-        return with_vector(aggregate(rates, "sum", by=[label]), "/", aggregate(rates, "sum"))
+        parts = aggregate(self._fn("rate", metric), "sum", by=[label])
+        return with_vector(parts, "/", aggregate(parts, "sum"), right_single=True)
 
     def latency(self, metric: str, q: float = 0.95, window: int = 5 * MINUTE) -> DataFrame:
         return histogram_quantile(self._fn("rate", metric, window=window), q)

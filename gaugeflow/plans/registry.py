@@ -291,7 +291,7 @@ query("j1_series_join", f"with {O.DAILY} select sig as labels_sig, ts, round(pri
 @query("j2_single_series", f"with {O.DAILY} select sig as labels_sig, ts, round(n / sum(n) over (partition by ts), 6) as value from d")
 def _j2(s, d):
     count = D.orders_daily(s, d)[1]
-    return flat(arith.with_vector(count, "/", A.aggregate(count, "sum")))
+    return flat(arith.with_vector(count, "/", A.aggregate(count, "sum"), right_single=True))
 
 
 @query("j2_single_left", f"with {O.DAILY} select sig as labels_sig, ts, round(sum(n) over (partition by ts) / n, 6) as value from d")

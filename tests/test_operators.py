@@ -67,6 +67,16 @@ def test_range_functions_against_brute_force(spark, seed):
         assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_counters_over_blocks(spark):
+    points = [(t, float(random.Random(t).randrange(50_000_000))) for t in range(0, 4 * R.DAY, R.DAY // 5 + 7)]
+    for window in (R.DAY // 2, 2 * R.DAY):
+        for fn in ("rate", "irate", "increase"):
+            got = values(R.range_function(frame(spark, [({}, *p) for p in points]), fn, window, 0, 4 * R.DAY, R.DAY // 3))
+            for t in range(0, 4 * R.DAY + 1, R.DAY // 3):
+                want = brute(points, fn, window, t)
+                assert (got.get(("", t)) is None) == (want is None) and (want is None or got["", t] == pytest.approx(want, abs=1e-6))
+
+
 def test_window_edges_and_grid(spark):
     samples = frame(spark, [({}, 0, 1), ({}, 1000, 2)])
     assert values(R.range_function(samples, "sum_over_time", 1000, 1000, 1000, 0)) == {("", 1000): 3}
@@ -161,6 +171,12 @@ def test_upsert_and_packing(spark):
     packed, rest = upkeep.pack(thousand, 10**10, most=300)
     assert packed.count() == 4 and rest.count() == 0
     assert values(upkeep.merge_raw_packed(rest, upkeep.unpack(packed, 0, 10**9))) == values(thousand)
+    day = upkeep.DAY  # runs go on over days; samples of the last day stay raw from the limit on
+    long = frame(spark, [({"a": "b"}, day // 8 * i, i) for i in range(80)] + [({"a": "c"}, day * i, i) for i in range(10)])
+    runs, rest = upkeep.pack(long, 9 * day + day // 2, least=16, most=30, after_ms=0)
+    assert sorted(r["count"] for r in runs.collect()) == [16, 30, 30]
+    assert rest.columns == long.columns and rest.count() == 4 + 10
+    assert values(upkeep.merge_raw_packed(rest, upkeep.unpack(runs, 0, 10**10))) == values(long)
     few, kept = upkeep.pack(thousand.where("ts < 10000"), 10**10)
     assert few.count() == 0 and kept.count() == 2
     assert upkeep.retain_packed(packed, 10**10, 1000).count() == 0
