@@ -12,12 +12,14 @@ from ..functions.labels import label, signature
 OPS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": lambda c: F.count(c).cast("double")}
 
 
-def aggregate(vector: DataFrame, op: str, by: Sequence[str] = (), without: Sequence[str] = ()) -> DataFrame:
+def aggregate(vector: DataFrame, op: str, by: Sequence[str] = (), without: Sequence[str] = (), named_in: DataFrame | None = None) -> DataFrame:
     """``op`` over all series, or within groups of equal ``by`` labels, or of all labels but ``without``.
 
     Absent labels group as empty. With ``without``, the groups keep every label name
-    met in the input but the listed ones. Empty lists mean no grouping. Rows of
-    different metrics stay apart; an expression's input has one metric.
+    met in the input but the listed ones. ``named_in`` is a frame with the same label
+    names that is cheaper to read than the vector (the samples it comes from). Empty
+    lists mean no grouping. Rows of different metrics stay apart; an expression's input
+    has one metric.
     """
     if by and without:
         raise ValueError("by and without exclude each other")
@@ -27,7 +29,7 @@ def aggregate(vector: DataFrame, op: str, by: Sequence[str] = (), without: Seque
         grouped = vector.select("metric", "ts", "value", *(c.alias(k) for k, c in keys.items())).groupBy("metric", "ts", *keys).agg(value)
         labels = F.create_map(*(x for k, name in zip(keys, by, strict=True) for x in (F.lit(name), F.col(k))))
     elif without:
-        names = vector.select(F.explode(F.map_keys("labels")).alias("name")).distinct().where(~F.col("name").isin(*without))
+        names = (vector if named_in is None else named_in).select(F.explode(F.map_keys("labels")).alias("name")).distinct().where(~F.col("name").isin(*without))
         # One short row: the label names of the whole input.
         kept = names.agg(F.array_sort(F.collect_set("name")).alias("names")).scalar()
         own = vector.select("metric", "ts", "value", F.col("labels").alias("given"), kept.alias("names"))

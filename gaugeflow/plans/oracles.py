@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from .adapters import DAY, EDGES, HOUR, T0
 
-START, END, STEP, WIN = T0 + 2 * DAY, T0 + 12 * DAY + 1_234_567, 6 * HOUR, 12 * HOUR
+#: The whole month of the events table, ending off the grid; LOW to HIGH is the range of the time filters.
+START, END, STEP, WIN = T0, T0 + 30 * DAY + 1_234_567, 6 * HOUR, 12 * HOUR
+LOW, HIGH = T0 + 2 * DAY, T0 + 12 * DAY + 1_234_567
+#: Digits of what is made of averages of cents; at six, halves are frequent, and engines round those differently.
+DIGITS = 8
 
 EV = "ev as (select event_id, epoch_us(ts) // 1000 as ts, event_type as type, user_id % 8 as shard, user_id as usr, value as amount, props from events)"
 GAUGE = f"{EV}, s as (select 'shard=' || shard || ',type=' || type as sig, type, cast(shard as varchar) as shard, ts, arg_max(amount, event_id) as v from ev group by type, shard, ts)"
@@ -53,7 +57,7 @@ def ranged(fn: str, base: str, window: int = WIN, where: str = "true", start: in
 def aggregated(op: str, keys: tuple[str, ...], sig: str) -> str:
     value = "cast(count(v) as double)" if op == "count" else f"{op}(v)"
     group = "".join(f", {k}" for k in keys)
-    return f"with {ranged('avg_over_time', GAUGE)} select {sig} as labels_sig, t as ts, round({value}, 6) as value from r group by t{group}"
+    return f"with {ranged('avg_over_time', GAUGE)} select {sig} as labels_sig, t as ts, round({value}, {DIGITS}) as value from r group by t{group}"
 
 
 BUCKETS = (

@@ -16,7 +16,7 @@ from . import adapters as D
 from . import oracles as O
 from . import panels
 from .adapters import DAY, HOUR, T0
-from .oracles import END, START, STEP, WIN
+from .oracles import END, HIGH, LOW, START, STEP, WIN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,9 +32,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def flat(vector: DataFrame, *more: str) -> DataFrame:
+def flat(vector: DataFrame, *more: str, digits: int = 6) -> DataFrame:
     """Scalar columns of a vector frame."""
-    return vector.select(*more, "labels_sig", "ts", F.round("value", 6).alias("value"))
+    return vector.select(*more, "labels_sig", "ts", F.round("value", digits).alias("value"))
+
+
+def fine(vector: DataFrame) -> DataFrame:
+    return flat(vector, digits=O.DIGITS)
 
 
 def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ PICK = "select sig as labels_sig, ts, round(v, 6) as value from s"
 
 # --- scans, sinks -----------------------------------------------------------------------
 
-query("s1_series_scan", f"with {O.GAUGE} {PICK} where ts between {START} and {END}")(lambda s, d: flat(select.scan(D.gauge(s, d), "event_value", START, END)))
+query("s1_series_scan", f"with {O.GAUGE} {PICK} where ts between {LOW} and {HIGH}")(lambda s, d: flat(select.scan(D.gauge(s, d), "event_value", LOW, HIGH)))
 
 
 @query("s2_upsert", f"with {O.EV}, s as (select 'type=' || type as sig, ts // {HOUR} * {HOUR} as ts, arg_max(amount, event_id) as v from ev group by all) {PICK}")
@@ -219,8 +223,8 @@ _filter("f3_label_re", "type in ('click', 'view')", ("type", "=~", "cl.*|view"),
 _filter("f4_label_nre", "type not in ('click', 'view')", ("type", "!~", "cl.*|view"))
 _filter("f5_conjunction", "type in ('click', 'view') and shard != '3'", ("type", "=~", "click|view"), ("shard", "!=", "3"))
 query("f6_time_range", f"with {O.GAUGE} {PICK} where ts between {T0 + DAY} and {T0 + 3 * DAY}")(lambda s, d: flat(D.gauge(s, d).where(F.col("ts").between(T0 + DAY, T0 + 3 * DAY))))
-query("f7_event_filter", f"with {O.EV} select cast(event_id as varchar) as id, ts from ev where ts >= {START} and ts <= {END} and shard in (1, 2) and type in ('click', 'error')")(lambda s, d: events.filter_events(D.events(s, d), START, END, ["shard1", "shard2"], ["click", "error"]).select("id", "ts"))
-query("f8_panel_filter", f"with {O.EV} select cast(event_id as varchar) as id, ts from ev where ts >= {START} and shard in (1, 2) and type in ('click', 'error')")(lambda s, d: events.filter_for_panel(D.events(s, d), START, 0, [{"source": "shard1", "kind": "click"}, {"source": "shard2", "kind": "error"}]).select("id", "ts"))
+query("f7_event_filter", f"with {O.EV} select cast(event_id as varchar) as id, ts from ev where ts >= {LOW} and ts <= {HIGH} and shard in (1, 2) and type in ('click', 'error')")(lambda s, d: events.filter_events(D.events(s, d), LOW, HIGH, ["shard1", "shard2"], ["click", "error"]).select("id", "ts"))
+query("f8_panel_filter", f"with {O.EV} select cast(event_id as varchar) as id, ts from ev where ts >= {LOW} and shard in (1, 2) and type in ('click', 'error')")(lambda s, d: events.filter_for_panel(D.events(s, d), LOW, 0, [{"source": "shard1", "kind": "click"}, {"source": "shard2", "kind": "error"}]).select("id", "ts"))
 
 # --- range functions --------------------------------------------------------------------
 
@@ -230,17 +234,17 @@ for _i, _fn in enumerate(("rate", "irate", "increase", "delta", "avg_over_time",
         lambda s, d, fn=_fn, resets=_resets: flat(R.range_function(D.counter(s, d, 40) if resets else D.gauge(s, d), fn, WIN, START, END, STEP))
     )
 query("w10_grid_end_only", f"with {O.ranged('sum_over_time', O.GAUGE, start=END, step=STEP)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "sum_over_time", WIN, START, END, 0)))
-query("w11_lookback", f"with {O.ranged('count_over_time', O.GAUGE, start=T0, end=T0 + DAY, step=HOUR)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "count_over_time", WIN, T0, T0 + DAY, HOUR)))
-query("w12_panel_step", f"with {O.ranged('max_over_time', O.GAUGE, start=T0, end=T0 + 10 * DAY, step=3_600_000)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "max_over_time", WIN, T0, T0 + 10 * DAY, R.step_for(10 * DAY))))
+query("w11_lookback", f"with {O.ranged('count_over_time', O.GAUGE, step=HOUR)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "count_over_time", WIN, START, END, HOUR)))
+query("w12_panel_step", f"with {O.ranged('max_over_time', O.GAUGE, start=T0, end=T0 + 30 * DAY, step=3 * HOUR)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "max_over_time", WIN, T0, T0 + 30 * DAY, R.step_for(30 * DAY))))
 query("w_align_to_grid", f"with {O.ranged('last_over_time', O.GAUGE)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.align_to_grid(D.gauge(s, d), WIN, START, END, STEP)))
 
 # --- aggregation ------------------------------------------------------------------------
 
 for _i, _op in enumerate(A.OPS):
-    query(f"a{1 + _i}_{_op}", O.aggregated(_op, (), "''"))(lambda s, d, op=_op: flat(A.aggregate(averages(s, d), op)))
-    query(f"a{6 + _i}_{_op}_by", O.aggregated(_op, ("type",), "'type=' || type || ',zone='"))(lambda s, d, op=_op: flat(A.aggregate(averages(s, d), op, by=["type", "zone"])))
-    query(f"a{11 + _i}_{_op}_without", O.aggregated(_op, ("type",), "'type=' || type"))(lambda s, d, op=_op: flat(A.aggregate(averages(s, d), op, without=["shard"])))
-query("a16_empty_lists", O.aggregated("sum", (), "''"))(lambda s, d: flat(A.aggregate(averages(s, d), "sum", by=[], without=[])))
+    query(f"a{1 + _i}_{_op}", O.aggregated(_op, (), "''"))(lambda s, d, op=_op: fine(A.aggregate(averages(s, d), op)))
+    query(f"a{6 + _i}_{_op}_by", O.aggregated(_op, ("type",), "'type=' || type || ',zone='"))(lambda s, d, op=_op: fine(A.aggregate(averages(s, d), op, by=["type", "zone"])))
+    query(f"a{11 + _i}_{_op}_without", O.aggregated(_op, ("type",), "'type=' || type"))(lambda s, d, op=_op: fine(A.aggregate(averages(s, d), op, without=["shard"], named_in=D.gauge(s, d))))
+query("a16_empty_lists", O.aggregated("sum", (), "''"))(lambda s, d: fine(A.aggregate(averages(s, d), "sum", by=[], without=[])))
 for _q in (0.5, 0.95):
     query(f"a17_quantile_{int(100 * _q)}", O.quantile(_q))(lambda s, d, q=_q: flat(histogram.histogram_quantile(D.quantity_buckets(s, d), q)))
 _STATS_SQL = {"lastNotNull": "arg_max(v, ts)", "last": "arg_max(v, ts)", "first": "arg_min(v, ts)", "max": "max(v)", "min": "min(v)", "mean": "avg(v)", "sum": "sum(v)"}
@@ -306,12 +310,12 @@ def _j3(s, d):
     return panels.events_overlay(D.events(s, d), windows).select("panel", "id", "ts")
 
 
-query("j4_nearest", f"with {O.GAUGE}, o as (select *, row_number() over (partition by sig order by abs(ts - {END}), ts) as rn from s) {PICK.replace(' from s', ' from o')} where rn = 1")(lambda s, d: flat(rank.nearest_sample(D.gauge(s, d), END)))
+query("j4_nearest", f"with {O.GAUGE}, o as (select *, row_number() over (partition by sig order by abs(ts - {HIGH}), ts) as rn from s) {PICK.replace(' from s', ' from o')} where rn = 1")(lambda s, d: flat(rank.nearest_sample(D.gauge(s, d), HIGH)))
 for _i, (_name, _op) in enumerate((("add", "+"), ("sub", "-"), ("mul", "*"), ("div", "/")), 1):
     _l = f"v {_op} 4" if _op != "/" else "v / 4"
     _r = f"100 {_op} v" if _op != "/" else "case when v = 0 then 0 else 100 / v end"
-    query(f"x{_i}_{_name}_scalar", f"{AVG} select sig as labels_sig, t as ts, round({_l}, 6) as value from r")(lambda s, d, op=_op: flat(arith.with_scalar(averages(s, d), op, 4)))
-    query(f"x{_i}_scalar_{_name}", f"{AVG} select sig as labels_sig, t as ts, round({_r}, 6) as value from r")(lambda s, d, op=_op: flat(arith.with_scalar(averages(s, d), op, 100, scalar_left=True)))
+    query(f"x{_i}_{_name}_scalar", f"{AVG} select sig as labels_sig, t as ts, round({_l}, {O.DIGITS}) as value from r")(lambda s, d, op=_op: fine(arith.with_scalar(averages(s, d), op, 4)))
+    query(f"x{_i}_scalar_{_name}", f"{AVG} select sig as labels_sig, t as ts, round({_r}, {O.DIGITS}) as value from r")(lambda s, d, op=_op: fine(arith.with_scalar(averages(s, d), op, 100, scalar_left=True)))
     query(f"x{_i + 4}_{_name}_vector", f"with {O.DAILY} select sig as labels_sig, ts, round(price {_op} n, 6) as value from d")(lambda s, d, op=_op: flat(arith.with_vector(D.orders_daily(s, d)[0], op, D.orders_daily(s, d)[1])))
 query("x4_zero_division", f"{AVG} select sig as labels_sig, t as ts, 0.0::double as value from r")(lambda s, d: flat(arith.with_scalar(averages(s, d), "/", 0)))
 query("x9_signature", f"with {O.EV} select event_id, 'shard=' || shard || ',type=' || type || ',user=' || usr as sig from ev")(lambda s, d: D.event_rows(s, d).select("event_id", L.signature(F.create_map(F.lit("user"), F.col("user").cast("string"), F.lit("type"), F.col("type"), F.lit("shard"), F.col("shard").cast("string"))).alias("sig")))
@@ -395,8 +399,11 @@ query("m2_size_retention", f"with {O.GAUGE}, p as (select ts // {DAY} as part, c
     lambda s, d: (lambda parts: upkeep.retain_size(parts, parts.agg(F.expr("sum(bytes) div 2")).scalar()))(D.gauge(s, d).groupBy(F.expr(f"ts div {DAY}").alias("part")).agg((F.count("*") * 30).alias("bytes")))
 )
 query("m3_series_dictionary", f"with {O.GAUGE} select distinct 'event_value' as metric, sig as labels_sig, 1 as n_ids from s")(lambda s, d: upkeep.series_dictionary(D.gauge(s, d)).groupBy("metric", "labels_sig").agg(F.count_distinct("series_id").cast("int").alias("n_ids")))
+query("m3_series_ids", f"with {O.GAUGE} select count(distinct sig) as series, count(distinct sig) as ids, cast(0 as bigint) as collisions from s")(
+    lambda s, d: (lambda held: held.agg(F.count("*").alias("series"), F.count_distinct("series_id").alias("ids")).withColumn("collisions", upkeep.id_collisions(held).agg(F.count("*").alias("n")).scalar()))(upkeep.series_dictionary(D.gauge(s, d)))
+)
 query("m4_pack", f"{_RUNS} select labels_sig, start_ts, end_ts, count from k")(lambda s, d: _packed(s, d)[0].select("labels_sig", "start_ts", "end_ts", "count"))
-query("m5_unpack", f"{_RUNS} select sig as labels_sig, ts, round(v, 6) as value from o where ts between {START} and {END}")(lambda s, d: flat(upkeep.unpack(_packed(s, d)[0], START, END)))
+query("m5_unpack", f"{_RUNS} select sig as labels_sig, ts, round(v, 6) as value from o where ts between {LOW} and {HIGH}")(lambda s, d: flat(upkeep.unpack(_packed(s, d)[0], LOW, HIGH)))
 
 # --- prepared panels --------------------------------------------------------------------
 

@@ -26,8 +26,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that all executors see; a temporary one only in a local session that names none."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("a session on a cluster must name spark.checkpoint.dir")
@@ -99,7 +98,7 @@ def _s11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t7(fn: str):
-    low, high, step, window = T0 + 2 * DAY, T0 + 12 * DAY, 6 * HOUR, 12 * HOUR
+    low, high, step, window = T0, T0 + 30 * DAY, 6 * HOUR, 12 * HOUR
 
     @_register(f"t7_stream_{fn}", f"with {O.ranged(fn, O.counter(40), start=low, end=high)} select sig as labels_sig, t as ts, round(v, 6) as value from r")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
