@@ -8,8 +8,8 @@ starts earlier (smaller doc_id, or earlier in the same document).
    joined to the place of their first occurrence.
 2. The texts around first occurrences, in blocks of ``block`` words, are the
    reference shards; the runs of windows whose anchor points into a block are
-   routed to it. A block has a bounded size, and any number of runs can meet it,
-   as they arrive through a join whose skewed keys Spark splits.
+   routed to it. A block has a bounded size, and any number of runs can meet it: a
+   frequent one gets copies, among which the rows with its anchors are dealt by hash.
 3. Each task builds the suffix automaton of a block and streams its runs through
    for matching statistics; words in matches of ``window`` words or more go.
 4. Windows whose anchor is known but whose words the block lacks (the same gram in
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .shared import BLANK, Texts, cut, drop, gram_hashes, mix, slices, sliding, word_hashes, word_spans
 
 WINDOW, GRAM, BLOCK = 20, 8, 512
+#: A block gets a copy for each so many places of its most frequent anchor, up to a number of copies.
+SHARE, COPIES = 256, 1024
 NULL_ID = -(1 << 63)
 
 
@@ -88,26 +90,26 @@ def _runs(window: int, gram: int):
                 probes = part.column("probes")
                 held = probes.flatten()
                 rows = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(probes.offsets)))
-                pos, owner, owner_own, block = (held.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                pos, owner, owner_own, block, copy = (held.field(i).to_numpy(zero_copy_only=False) for i in range(5))
                 at = g.first[rows] + pos
                 fits = at < np.minimum(g.first[rows + 1], len(g.gram))
-                rows, owner, owner_own, block, at = rows[fits], owner[fits], owner_own[fits], block[fits], at[fits]
+                rows, owner, owner_own, block, copy, at = rows[fits], owner[fits], owner_own[fits], block[fits], copy[fits], at[fits]
                 found = []
                 for back in range(span):
                     s = at - back
                     ok = (s >= g.first[rows]) & (s < len(g.least))
                     ok[ok] = g.window_ok[s[ok]] & (g.least[s[ok]] == g.gram[at[ok]])
-                    found.append(np.stack([rows[ok], owner[ok], owner_own[ok], block[ok], s[ok]]))
-                r, o, oo, b, s = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+                    found.append(np.stack([rows[ok], owner[ok], owner_own[ok], block[ok], copy[ok], s[ok]]))
+                r, o, oo, b, c, s = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
                 order = np.lexsort((s, b, oo, o, r))
-                r, o, oo, b, s = r[order], o[order], oo[order], b[order], s[order]
+                r, o, oo, b, c, s = r[order], o[order], oo[order], b[order], c[order], s[order]
                 same = (r[1:] == r[:-1]) & (o[1:] == o[:-1]) & (oo[1:] == oo[:-1]) & (b[1:] == b[:-1])
                 begins = np.flatnonzero(np.concatenate([[len(s) > 0], ~(same & (s[1:] - s[:-1] <= 1))])) if len(s) else np.zeros(0, np.int64)
                 stops = np.append(begins[1:], len(s))
                 ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "own"))
                 text = [texts.data[g.starts[s[i]] : g.ends[s[j - 1] + window - 1]].tobytes() for i, j in zip(begins, stops, strict=True)]
-                cols = [o[begins], oo[begins], b[begins].astype(np.int32), ids[r[begins]], keys[r[begins]], (s[begins] - g.first[r[begins]]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.binary())], names=["owner", "owner_own", "block", "doc_id", "own", "start", "run"])
+                cols = [o[begins], oo[begins], b[begins].astype(np.int32), c[begins].astype(np.int32), ids[r[begins]], keys[r[begins]], (s[begins] - g.first[r[begins]]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.binary())], names=["owner", "owner_own", "block", "copy", "doc_id", "own", "start", "run"])
 
     return run
 
@@ -121,12 +123,12 @@ def _blocks(window: int, size: int):
                 out = []
                 for i, (doc_id, own, blocks) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "own", "blocks")), strict=True)):
                     n = int(first[i + 1] - first[i])
-                    for block in blocks:
+                    for block, copy in ((x["block"], x["copy"]) for x in blocks):
                         low, high = max(0, block * size - window), min(n, (block + 1) * size + window)
                         if high - low >= window:
-                            out.append((doc_id, own, block, low, texts.data[starts[first[i] + low] : ends[first[i] + high - 1]].tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=["owner", "owner_own", "block", "low", "reference"])
+                            out.append((doc_id, own, block, copy, low, texts.data[starts[first[i] + low] : ends[first[i] + high - 1]].tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], names=["owner", "owner_own", "block", "copy", "low", "reference"])
 
     return run
 
@@ -291,27 +293,28 @@ def _left_over(rest: DataFrame, window: int) -> DataFrame:
     words = F.array_join(F.slice(F.split(F.decode("words", "UTF-8"), " "), F.col("nth") + 1, F.lit(window)), " ")
     runs = rest.dropDuplicates(["doc_id", "own", "start", "stop"])
     texts = cut(met.join(runs, ["doc_id", "own", "start", "stop"]).select("doc_id", "own", (F.col("start") + F.col("nth")).alias("start"), words.alias("words")), met)
-    firsts = texts.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = cut(texts.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = texts.join(firsts, "words").where(F.struct("doc_id", "start") > F.col("first"))
     return again.select("doc_id", "own", "start", (F.col("start") + window).alias("stop"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, share: int = SHARE, copies: int = COPIES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every row."""
     docs = _told_apart(docs)
     places = docs.mapInArrow(_anchors(window, gram), "anchor long, doc_id long, own long, pos int")
     # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    firsts = cut(places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos", "own")).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "first"))
+    firsts = cut(places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos", "own")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     later = places.join(firsts, "anchor").where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos")))
     # A row's own probes: at most one per word of it.
     owner = (F.col("first.doc_id").alias("owner"), F.col("first.own").alias("owner_own"), F.expr(f"cast(first.pos div {block} as int)").alias("block"))
-    probes = cut(later.groupBy("doc_id", "own").agg(F.collect_set(F.struct("pos", *owner)).alias("probes")), firsts)
-    runs = docs.join(probes, ["doc_id", "own"]).mapInArrow(_runs(window, gram), "owner long, owner_own long, block int, doc_id long, own long, start int, run binary")
-    owners = probes.select(F.explode("probes").alias("p")).groupBy(F.col("p.owner").alias("doc_id"), F.col("p.owner_own").alias("own")).agg(F.collect_set("p.block").alias("blocks"))
-    shards = docs.join(owners, ["doc_id", "own"]).select("doc_id", "own", "text", "blocks").mapInArrow(_blocks(window, block), "owner long, owner_own long, block int, low int, reference binary")
+    copy = F.pmod(F.xxhash64("doc_id", "own"), F.least(F.lit(copies), F.ceil(F.col("n") / share))).cast("int").alias("copy")
+    probes = cut(later.groupBy("doc_id", "own").agg(F.collect_set(F.struct("pos", *owner, copy)).alias("probes")), firsts)
+    runs = docs.join(probes, ["doc_id", "own"]).mapInArrow(_runs(window, gram), "owner long, owner_own long, block int, copy int, doc_id long, own long, start int, run binary")
+    owners = probes.select(F.explode("probes").alias("p")).groupBy(F.col("p.owner").alias("doc_id"), F.col("p.owner_own").alias("own")).agg(F.collect_set(F.struct("p.block", "p.copy")).alias("blocks"))
+    shards = docs.join(owners, ["doc_id", "own"]).select("doc_id", "own", "text", "blocks").mapInArrow(_blocks(window, block), "owner long, owner_own long, block int, copy int, low int, reference binary")
     # Repeated rows give one block.
-    shards = shards.groupBy("owner", "owner_own", "block").agg(F.first("low").alias("low"), F.first("reference").alias("reference"))
-    judged = cut(runs.join(shards, ["owner", "owner_own", "block"]).mapInArrow(_stream(window), "doc_id long, own long, start int, stop int, words binary"), probes)
+    shards = shards.groupBy("owner", "owner_own", "block", "copy").agg(F.first("low").alias("low"), F.first("reference").alias("reference"))
+    judged = cut(runs.join(shards, ["owner", "owner_own", "block", "copy"]).mapInArrow(_stream(window), "doc_id long, own long, start int, stop int, words binary"), probes)
     again = _left_over(judged.where(F.col("words").isNotNull()), window)
     spans = judged.where(F.col("words").isNull()).select("doc_id", "own", "start", "stop").unionByName(again)
     spans = spans.groupBy("doc_id", "own").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))

@@ -230,10 +230,11 @@ def span_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, block", [(4, 512), (5, 16)])
-def test_repeated_spans(spark, docs, seed, block):
+@pytest.mark.parametrize("seed, block, share", [(4, 512, 256), (5, 16, 256), (6, 512, 3), (7, 16, 1)])
+def test_repeated_spans(spark, docs, seed, block, share):
+    """With a small ``share`` the frequent blocks have several copies."""
     rows = span_rows(seed)
-    got = substrings.remove_repeats(docs(rows, n_words=3), block=block)
+    got = substrings.remove_repeats(docs(rows, n_words=3), block=block, share=share, copies=5)
     assert sorted(map(tuple, got.collect())) == sorted(substrings.brute_force(rows))
 
 
