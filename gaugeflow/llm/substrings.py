@@ -32,14 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import BLANK, Texts, cut, drop, gram_hashes, mix, slices, sliding, word_hashes, word_spans
 
 WINDOW, GRAM, BLOCK = 20, 8, 512
-#: A block gets a copy for each so many places of its most frequent anchor, up to a number of copies.
-SHARE, COPIES = 256, 1024
+#: A block gets a copy for each so many places of its anchors, up to a number of copies.
+SHARE, COPIES = 1024, 1024
 NULL_ID = -(1 << 63)
 
 
@@ -303,7 +303,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     docs = _told_apart(docs)
     places = docs.mapInArrow(_anchors(window, gram), "anchor long, doc_id long, own long, pos int")
     # Written first, so that the join's two sides are plain shuffles, whose skewed keys Spark splits.
-    firsts = cut(places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos", "own")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    firsts = places.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos", "own")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # A block's anchors are at most as many as its words.
+    in_block = Window.partitionBy("first.doc_id", "first.own", F.expr(f"first.pos div {block}"))
+    firsts = cut(firsts.withColumn("n", F.sum("n").over(in_block)))
     later = places.join(firsts, "anchor").where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos")))
     # A row's own probes: at most one per word of it.
     owner = (F.col("first.doc_id").alias("owner"), F.col("first.own").alias("owner_own"), F.expr(f"cast(first.pos div {block} as int)").alias("block"))
