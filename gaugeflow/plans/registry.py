@@ -236,6 +236,9 @@ for _i, _fn in enumerate(("rate", "irate", "increase", "delta", "avg_over_time",
 query("w10_grid_end_only", f"with {O.ranged('sum_over_time', O.GAUGE, start=END, step=STEP)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "sum_over_time", WIN, START, END, 0)))
 query("w11_lookback", f"with {O.ranged('count_over_time', O.GAUGE, step=HOUR)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "count_over_time", WIN, START, END, HOUR)))
 query("w12_panel_step", f"with {O.ranged('max_over_time', O.GAUGE, start=T0, end=T0 + 30 * DAY, step=3 * HOUR)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "max_over_time", WIN, T0, T0 + 30 * DAY, R.step_for(30 * DAY))))
+# 36 steps a window, by panes
+query("w_wide_rate", f"with {O.ranged('rate', O.counter(40), step=HOUR // 3)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.counter(s, d, 40), "rate", WIN, START, END, HOUR // 3)))
+query("w_wide_delta", f"with {O.ranged('delta', O.GAUGE, step=HOUR // 3)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.range_function(D.gauge(s, d), "delta", WIN, START, END, HOUR // 3)))
 query("w_align_to_grid", f"with {O.ranged('last_over_time', O.GAUGE)} select sig as labels_sig, t as ts, round(v, 6) as value from r")(lambda s, d: flat(R.align_to_grid(D.gauge(s, d), WIN, START, END, STEP)))
 
 # --- aggregation ------------------------------------------------------------------------

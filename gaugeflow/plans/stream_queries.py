@@ -7,14 +7,15 @@ those of the batch definitions.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import alerts, events
-from ..streaming import alert_stream, hopping, ingest
+from ..operators import alerts, encoded, events
+from ..streaming import alert_stream, hopping, ingest, tail
 from . import adapters as D
 from . import oracles as O
 from .adapters import DAY, HOUR, T0
@@ -28,7 +29,7 @@ def scratch(spark: SparkSession) -> str:
     """A fresh folder that all executors see; a temporary one only in a local session that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("a session on a cluster must name spark.checkpoint.dir")
         import tempfile
 
@@ -97,6 +98,33 @@ def _s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("line string").parquet(f"{folder}/out").groupBy("line").agg(F.count("*").alias("n"))
 
 
+@_register("s11_tailed_files", f"with {O.EV} select type || ' ' || usr as line, count(*) as n from ev group by 1")
+def _s11_tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines by the tailing source, in two runs with files added between them."""
+    folder = scratch(spark)
+    for half in (0, 1):
+        D.log_lines(spark, sf_dir, "plain").where(F.col("event_id") % 2 == half).select(F.col("line").alias("value")).write.mode("append").text(f"{folder}/logs")
+        stream = tail.tail_stream(spark, f"{folder}/logs", pattern="part-*.txt")
+        stream.select("line").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("line string").parquet(f"{folder}/out").groupBy("line").agg(F.count("*").alias("n"))
+
+
+def _encoded(name: str, where: str, start: int, end: int, *matchers: tuple[str, str, str]):
+    @_register(name, f"with {O.GAUGE} select sig as labels_sig, ts, round(v, 6) as value from s where {where} and ts between {start} and {end}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch(spark)
+        encoded.write(D.gauge(spark, sf_dir), folder)
+        return flat(encoded.scan(spark, folder, "event_value", start, end, *matchers))
+
+
+_encoded("s1_encoded_scan", "true", O.LOW, O.HIGH)
+_encoded("f1_encoded_eq", "type = 'click'", START, END, ("type", "=", "click"), ("absent", "=", ""))
+_encoded("f2_encoded_ne", "type != 'click'", START, END, ("type", "!=", "click"))
+_encoded("f3_encoded_re", "type in ('click', 'view')", START, END, ("type", "=~", "click|v.*"))
+_encoded("f4_encoded_nre", "shard not in ('1', '2')", START, END, ("shard", "!~", "[12]"))
+_encoded("f5_encoded_conjunction", "type in ('click', 'view') and shard != '3'", O.LOW, O.HIGH, ("type", "=~", "click|view"), ("shard", "!=", "3"))
+
+
 def _t7(fn: str):
     low, high, step, window = T0, T0 + 30 * DAY, 6 * HOUR, 12 * HOUR
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import signature
 
-NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
+#: A name is all up to a brace or blank.
+NAME = r"[^{ \t]+"
 LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
-NUMBER = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|[Ii]nf|[Nn]a[Nn])"
+NUMBER = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?))|(?i:nan)"
 _PAIR = r'[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*"(?:[^"\\]|\\.)*"'
-LINE = rf"^\s*({NAME})(?:\s*\{{\s*((?:{_PAIR}\s*,?\s*)*)\}}\s*|\s+)({NUMBER})(?:\s+(-?\d+))?\s*$"
+#: Fields after the time are ignored.
+LINE = rf"^\s*({NAME})(?:\{{\s*((?:{_PAIR}\s*,?\s*)*)\}}\s*|\s+)({NUMBER})(?:\s+([+-]?\d+)(?:\s.*)?)?\s*$"
 
 
 def read(spark, folder: str) -> DataFrame:
@@ -32,15 +34,19 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(samples, quarantine) of ``lines`` (file, line, ...); a file with any bad line is rejected whole."""
     used = lines.where((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
     value = F.regexp_extract("line", LINE, 3)
-    text = F.when(value.rlike("(?i)^[+-]?inf$"), F.concat(F.regexp_extract(value, "^[+-]?", 0), F.lit("Infinity"))).otherwise(value)
+    endless = value.rlike("(?i)inf")
+    text = F.when(endless, F.concat(F.regexp_extract(value, "^[+-]?", 0), F.lit("Infinity"))).when(F.lower(value) == "nan", "NaN").otherwise(value)
+    number, own_ts = text.try_cast("double"), F.regexp_extract("line", LINE, 4)
+    # A number or time that doesn't fit its type is an error, not an infinity.
+    fits = (endless | (F.abs(number) < float("inf")) | F.isnan(number)) & ((own_ts == "") | own_ts.try_cast("long").isNotNull())
     body = F.regexp_extract("line", LINE, 2)
     keys, values = F.regexp_extract_all(body, F.lit(LABEL), F.lit(1)), F.regexp_extract_all(body, F.lit(LABEL), F.lit(2))
     pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), _unescape(v).alias("value")))
     last = F.filter("pairs", lambda x, i: ~F.exists(F.slice("pairs", i + 2, F.greatest(F.size("pairs") - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
-    parsed = used.withColumns({"good": F.col("line").rlike(LINE), "pairs": pairs})
+    parsed = used.withColumns({"good": F.col("line").rlike(LINE) & F.coalesce(fits, F.lit(False)), "pairs": pairs})
     bad = parsed.where(~F.col("good"))
     samples = parsed.join(bad.select("file").distinct(), "file", "left_anti").select(
-        *lines.columns, F.regexp_extract("line", LINE, 1).alias("metric"), F.map_from_entries(last).alias("labels"), text.try_cast("double").alias("value"), F.regexp_extract("line", LINE, 4).try_cast("long").alias("own_ts")
+        *lines.columns, F.regexp_extract("line", LINE, 1).alias("metric"), F.map_from_entries(last).alias("labels"), number.alias("value"), own_ts.try_cast("long").alias("own_ts")
     )
     return samples, bad.select(*lines.columns)
 

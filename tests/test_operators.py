@@ -188,3 +188,29 @@ def test_legend_and_signature(spark):
     got = row.select(*(L.legend(F.lit("m"), F.col(c)).alias(c) for c in "xyz"), L.legend(F.lit("m"), F.col("x"), "{{a}}-{{none}}").alias("t"), L.signature(F.col("x")).alias("s")).first()
     assert tuple(got) == ("a=1 b=2", "j", "1", "1-", "a=1,b=2,job=j")
     assert spark.range(1).select(L.parse_signature(F.lit("a=b=c,d=")).alias("m")).first()["m"] == {"a": "b=c", "d": ""}
+
+
+WIDE = [(3000, 5000, 44321, 250), (3001, 5000, 45000, 250), (2999, 0, 40000, 125), (20000, 10000, 30001, 777), (7, 40, 90, 1), (5000, 60000, 59000, 100)]
+
+
+@pytest.mark.parametrize("window, start, end, step", WIDE)
+def test_panes_against_brute_force(spark, window, start, end, step):
+    """Windows of many steps, samples on both edges, gaps, resets and an end off the grid."""
+    rng = random.Random(window)
+    edges = [t for k in range(0, (end - start) // step + 1, 7) for t in (start + k * step, start + k * step - window, start + k * step + 1) if t >= 0]
+    series = {f"s{i}": {rng.randrange(0, 50000): float(rng.randrange(0, 50)) for _ in range(n)} | {t: float(rng.randrange(0, 50)) for t in rng.sample(edges, min(len(edges), 9))} for i, n in enumerate((60, 3, 300))}
+    samples = frame(spark, [({"s": k}, t, v) for k, p in series.items() for t, v in p.items()])
+    for fn in ("rate", "increase", "irate", "delta", "avg_over_time", "sum_over_time", "min_over_time", "max_over_time", "count_over_time"):
+        got = values(R.range_function(samples, fn, window, start, end, step, most_exploded=2))
+        want = {(f"s={k}", t): v for k, p in series.items() for t in (R.grid(start, end, step) if end >= start else [end]) if (v := brute(p.items(), fn, window, t)) is not None}
+        if end < start:
+            want = {k: v for k, v in want.items() if k in got}
+        assert got.keys() == want.keys(), fn
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want), fn
+
+
+def test_panes_bound_the_rows(spark):
+    """240 steps a window: two rows a window reach the last aggregation, not 241 a sample."""
+    samples = frame(spark, [({}, t * 1000, float(t)) for t in range(2000)])
+    rows = R.pane_rows(samples, "sum_over_time", 240_000, 300_000, 1_900_000, 1000)
+    assert rows.count() <= 2 * 1601 and R.explode_to_grid(samples, 240_000, 300_000, 1_900_000, 1000).count() > 380_000

@@ -1,5 +1,6 @@
 """Parsers of landed text, records and log lines."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import events
@@ -83,3 +84,19 @@ def test_mapping_and_ids(spark):
     some = spark.createDataFrame([("a", 10, "s1", "k"), ("b", 20, "s1", "k"), ("c", 30, "s2", "k")], "id string, ts long, source string, kind string")
     assert {r["id"] for r in events.filter_events(some, 15, 40, ["s1", "s2"]).collect()} == {"b", "c"}
     assert {r["id"] for r in events.filter_events(some, 15).where(F.col("source") == "s2").collect()} == {"c"}
+
+
+@pytest.mark.parametrize(
+    "line, metric, value, ts",
+    [("foo.bar 1", "foo.bar", 1.0, None), ("a +Infinity", "a", float("inf"), None), ("a -INF 5", "a", float("-inf"), 5), ("a 1 2 3", "a", 1.0, 2), ("a 1e5 +7", "a", 1e5, 7), ('1x-y{b="c"}2', "1x-y", 2.0, None)],
+)
+def test_exposition_accepts(spark, line, metric, value, ts):
+    got, bad = exposition.parse(lines(spark, line, file="f"))
+    assert [(r["metric"], r["value"], r["own_ts"]) for r in got.collect()] == [(metric, value, ts)] and bad.count() == 0
+
+
+def test_exposition_not_a_number_and_errors(spark):
+    got, _ = exposition.parse(lines(spark, "a NAN", file="f"))
+    assert str(got.first()["value"]) == "nan"
+    for line in ("a 1e999", "a +nan", "a 1 99999999999999999999", "a 1 x", 'a {b="c"} 1', "a"):
+        assert exposition.parse(lines(spark, line, file="f"))[1].count() == 1, line
