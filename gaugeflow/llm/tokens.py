@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .shared import Texts, slices
 #: Pieces beyond this hardly recur and are not remembered.
 SHORT = 64
 #: What an entry of a table takes beside its own bytes.
-ENTRY_BYTES = 240
-TABLE_BYTES = 64_000_000
+ENTRY_BYTES = 200
+TABLE_BYTES = 96_000_000
 
 # A character that no tokenizer takes for white space: printable ASCII, or a first
 # byte of UTF-8 under which no white space is coded.
@@ -61,6 +62,28 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Pieces that go to a library in one call, as one text.
+JOINED = 1024
+_JOINABLE = re.compile(_SOLID + rb"[^ ]*")
+# A word and marks after it, which the split pattern keeps apart.
+_STEM = re.compile(rb"(.*[A-Za-z0-9])([.,!?;:$#%&*]+)", re.DOTALL)
+
+
+def joinable(missing: list[bytes]) -> Iterator[list[bytes]]:
+    """Pieces in blocks that may stand in one text with a space before each: ``JOINED`` of them, or one of its own."""
+    block: list[bytes] = []
+    for p in missing:
+        if not _JOINABLE.fullmatch(p):
+            yield [p]
+            continue
+        block.append(p)
+        if len(block) == JOINED:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 class ByteBpe:
     """Little-endian 32-bit ids of whole texts by a byte-level BPE file.
 
@@ -70,27 +93,49 @@ class ByteBpe:
 
     def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         self.tokenizer = load_byte_bpe(path)
-        self.table: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        space = next(s for s, b in byte_symbols().items() if b == 0x20)
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.starts[[i for token, i in vocab.items() if token.startswith(space)]] = True
+        self.table: dict[bytes, bytes] = {}  # ids of pieces with a space before them
+        self.tails: dict[bytes, bytes] = {}  # ids of marks after a word
         self.held, self.table_bytes = 0, table_bytes
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that the table lacks."""
+        out: dict[bytes, bytes] = {}
+        split = {p: m.groups() for p in missing if (m := _STEM.fullmatch(p))}
+        whole = missing.difference(split).union(stem for stem, _ in split.values())
+        for block in joinable([p for p in whole if p not in self.table]):
+            ids = self._encode([b" " + b" ".join(block)])[0]
+            if len(block) == 1:
+                out[block[0]] = ids
+                continue
+            # Each piece starts with the only token that starts with a space.
+            at = (4 * np.flatnonzero(self.starts[np.frombuffer(ids, "<u4")])).tolist()
+            out.update(zip(block, [ids[i:j] for i, j in pairwise([*at, len(ids)])], strict=True))
+        tails = sorted({tail for _, tail in split.values()}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        for p, (stem, tail) in split.items():
+            out[p] = (out.get(stem) or self.table[stem]) + self.tails[tail]
+        return out
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         parts = [pieces(t) for t in texts]
-        firsts = [p[0] for p in parts]
-        needed = set().union(*(p[1:] for p in parts))
+        firsts = self._encode([p.pop(0) for p in parts])  # a text's first piece has no space before it
         if self.held > self.table_bytes:
-            self.table, self.held = {}, 0
-        missing = [p for p in needed if p not in self.table]
-        new = dict(zip(missing, self._encode([b" " + p for p in missing]), strict=True))
-        short = {p: ids for p, ids in new.items() if len(p) <= SHORT}
-        self.table.update(short)
-        self.held += sum(len(p) + len(ids) + ENTRY_BYTES for p, ids in short.items())
-        # A text's first piece has no space before it; long pieces are for this call only.
-        known = self.table if len(short) == len(new) else {**{p: self.table[p] for p in needed if p in self.table}, **new}
-        return [first + b"".join(map(known.__getitem__, own[1:])) for first, own in zip(self._encode(firsts), parts, strict=True)]
+            self.table, self.tails, self.held = {}, {}, 0
+        new = self._learn(set().union(*parts).difference(self.table))
+        kept = {p: ids for p, ids in new.items() if len(p) <= SHORT}
+        self.table.update(kept)
+        self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        # Long pieces are for this call only.
+        find = self.table.__getitem__ if len(kept) == len(new) else lambda p: self.table.get(p) or new[p]
+        return [first + b"".join(map(find, own)) for first, own in zip(firsts, parts, strict=True)]
 
 
 _loaded: dict[tuple, ByteBpe] = {}
