@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Texts, cut, drop, slices
-from .tokens import ENTRY_BYTES, SHORT, TABLE_BYTES, byte_symbols, load_byte_bpe, spaced_pieces
+from .tokens import ENTRY_BYTES, SHORT, TABLE_BYTES, byte_symbols, joinable, load_byte_bpe, spaced_pieces
 
 RUN_RECORDS, RADIX_BITS, RUNS_A_TASK = 1_000_000, 4, 32
 #: Bits of an id of B and of a document's number in its run; ids of A take the rest.
@@ -70,77 +70,94 @@ class Aligner:
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         if any(" " in n.replace("▁", " ").lstrip(" ") for n in names) or len(names) >> B_BITS or max(self.a_bytes) >> (64 - B_BITS - DOC_BITS):
             raise ValueError("these vocabularies need other bits or cross blanks")
+        self.a_length = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_length[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_length = np.array([len(x) for x in self.b_bytes])
+        self.digits = [str(i) for i in range(max(len(self.a_length), len(names)))]
         self.table_bytes = table_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.groups: list[bytes] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens of A and B, groups, links
-        self.links: list[np.ndarray] = []
-        self.whole: list[bool] = []
-        self.held = 0
-
-    def _align(self, text: bytes, a: list[int], b: list[int]) -> tuple[bool, bytes, tuple, np.ndarray]:
-        """Whether both give back ``text``, then groups as text, sizes and the links in order."""
+        # Of each piece: tokens of A and B, groups, links, the place of its links in the pool, whether its bytes come back.
+        self.sizes = np.zeros((1024, 6), np.int64)
+        self.pool, self.used, self.held = np.zeros(1024, np.uint64), 0, 0
+
+    def _store(self, block: list[bytes], groups: list[bytes], sizes: np.ndarray, links: np.ndarray) -> None:
+        at = len(self.groups)
+        while at + len(block) > len(self.sizes):
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while self.used + len(links) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        sizes[:, 4] = self.used + np.cumsum(sizes[:, 3]) - sizes[:, 3]
+        self.sizes[at : at + len(block)] = sizes
+        self.pool[self.used : self.used + len(links)] = links
+        self.used += len(links)
+        self.groups += groups
+        self.number.update((p, at + i) for i, p in enumerate(block))
+        self.held += sum(map(len, block)) + sum(map(len, groups)) + links.nbytes + 2 * ENTRY_BYTES * len(block)
+
+    def _add(self, block: list[bytes]) -> None:
+        """Tokens of pieces that may stand in one text, each after a space."""
+        text = b" " + b" ".join(block)
+        plain = text.decode("utf-8", "replace")
+        a = self.a.encode_batch_fast([plain], add_special_tokens=False)[0].ids
+        b = self.b.encode(plain[1:], num_threads=1)
+        stops = np.cumsum([len(p) + 1 for p in block])
         if b"".join(map(self.a_bytes.__getitem__, a)) != text or b"".join(map(self.b_bytes.__getitem__, b)) != text:
-            return False, b"", (0, 0, 0, 0), np.zeros(0, np.uint64)
-        if len(a) == 1 == len(b):
-            return True, b"%d|%d" % (a[0], b[0]), (1, 1, 1, 1), np.array([a[0] << B_BITS | b[0]], np.uint64)
-        ends_a = np.cumsum([len(self.a_bytes[i]) for i in a])
-        ends_b = np.cumsum([len(self.b_bytes[i]) for i in b])
+            if len(block) > 1:
+                for p in block:
+                    self._add([p])
+            else:
+                self._store(block, [b""], np.zeros((1, 6), np.int64), np.zeros(0, np.uint64))
+            return
+        own_a, own_b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.a_length[own_a]), np.cumsum(self.b_length[own_b])
         cuts = np.union1d(ends_a, ends_b)
-        pairs = np.array(a, np.uint64)[np.searchsorted(ends_a, cuts)] << np.uint64(B_BITS) | np.array(b, np.uint64)[np.searchsorted(ends_b, cuts)]
-        both = np.intersect1d(ends_a, ends_b)
-        at_a = [0, *(np.searchsorted(ends_a, both) + 1).tolist()]
-        at_b = [0, *(np.searchsorted(ends_b, both) + 1).tolist()]
-        text_a, text_b = [str(i) for i in a], [str(i) for i in b]
-        groups = ";".join(f"{','.join(text_a[i:j])}|{','.join(text_b[m:n])}" for (i, j), (m, n) in zip(pairwise(at_a), pairwise(at_b), strict=True))
-        return True, groups.encode(), (len(a), len(b), len(both), len(pairs)), pairs
-
-    def _add(self, missing: list[bytes]) -> None:
-        texts = [p.decode("utf-8", "replace") for p in missing]
-        own_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        own_b = self.b.encode(texts, num_threads=1)
-        for piece, a, b in zip(missing, own_a, own_b, strict=True):
-            whole, groups, sizes, links = self._align(b" " + piece, a.ids, b)
-            self.number[piece] = len(self.groups)
-            self.groups.append(groups)
-            self.sizes.append(sizes)
-            self.links.append(links)
-            self.whole.append(whole)
-            self.held += len(piece) + len(groups) + links.nbytes + 2 * ENTRY_BYTES
+        at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        links = own_a[at_a].astype(np.uint64) << np.uint64(B_BITS) | own_b[at_b].astype(np.uint64)
+        shared = (ends_a[at_a] == cuts) & (ends_b[at_b] == cuts)
+        both, from_a, from_b = cuts[shared], [0, *(at_a[shared] + 1).tolist()], [0, *(at_b[shared] + 1).tolist()]
+        text_a, text_b = [self.digits[i] for i in a], [self.digits[i] for i in b]
+        groups = [f"{','.join(text_a[i:j])}|{','.join(text_b[m:n])}" for (i, j), (m, n) in zip(pairwise(from_a), pairwise(from_b), strict=True)]
+        upto = np.stack([np.searchsorted(x, stops, "right") for x in (ends_a, ends_b, both, cuts)], axis=1)
+        sizes = np.concatenate([np.diff(upto, axis=0, prepend=0), np.zeros((len(block), 1), np.int64), np.ones((len(block), 1), np.int64)], axis=1)
+        of = [0, *upto[:, 2].tolist()]
+        self._store(block, [";".join(groups[i:j]).encode() for i, j in pairwise(of)], sizes, links)
 
     def __call__(self, texts: list[bytes]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """For each text (n_a, n_b, n_groups, n_links, digest); then text, pair and number of all its distinct links."""
         if self.held > self.table_bytes:
             self._clear()
         parts = [spaced_pieces(t) if t else [] for t in texts]
-        missing = [p for p in set().union(*parts) if p not in self.number]
-        self._add([p for p in missing if len(p) <= SHORT])
-        kept, held = len(self.groups), self.held
+        missing = set().union(*parts).difference(self.number)
         long = [p for p in missing if len(p) > SHORT]
-        self._add(long)
-        for i, own in enumerate(parts):
-            if not all(self.whole[self.number[p]] for p in own):
+        for block in joinable(list(missing.difference(long))):
+            self._add(block)
+        kept = len(self.groups), self.used, self.held
+        for p in long:
+            self._add([p])
+        numbers = [np.fromiter(map(self.number.__getitem__, own), np.int64, len(own)) for own in parts]
+        for i, own in enumerate(numbers):
+            if not self.sizes[own, 5].all():
                 # Only a whole text tells whether its joined tokens differ.
-                self._add([texts[i]]) if texts[i] not in self.number else None
-                if texts[i] not in long and len(own) > 1:
+                if texts[i] not in self.number:
+                    self._add([texts[i]])
                     long.append(texts[i])
-                parts[i] = [texts[i]] if self.whole[self.number[texts[i]]] else []
-        numbers = [[self.number[p] for p in own] for own in parts]
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)
+                at = self.number[texts[i]]
+                numbers[i] = np.full(self.sizes[at, 5], at)
         out = []
         for own in numbers:
-            total = sizes[own].sum(axis=0).tolist() if own else [0, 0, 0, 0]
-            out.append((*total, hashlib.sha256(b";".join([self.groups[i] for i in own])).hexdigest() if own else ""))
-        flat = np.array([i for own in numbers for i in own], np.int64)
+            digest = hashlib.sha256(b";".join(map(self.groups.__getitem__, own.tolist()))).hexdigest() if len(own) else ""
+            out.append((*self.sizes[own, :4].sum(axis=0).tolist(), digest))
+        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(texts)), [len(own) for own in numbers])
         # Distinct pieces of each text, then their links.
-        key, times = np.unique(row * len(self.groups) + flat, return_counts=True)
-        row, flat = np.divmod(key, max(len(self.groups), 1))
-        count = sizes[flat, 3] if len(flat) else np.zeros(0, np.int64)
-        pairs = np.concatenate([self.links[i] for i in flat.tolist()]) if len(flat) else np.zeros(0, np.uint64)
+        key, times = np.unique(row * (len(self.groups) + 1) + flat, return_counts=True)
+        row, flat = np.divmod(key, len(self.groups) + 1)
+        count, begin = self.sizes[flat, 3], self.sizes[flat, 4]
+        pairs = self.pool[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
         row, times = np.repeat(row, count), np.repeat(times, count)
         order = np.lexsort((pairs, row))
         row, pairs, times = row[order], pairs[order], times[order]
@@ -148,8 +165,8 @@ class Aligner:
         times = np.add.reduceat(times, first) if len(first) else times
         for p in long:
             del self.number[p]
-        del self.groups[kept:], self.sizes[kept:], self.links[kept:], self.whole[kept:]
-        self.held = held
+        del self.groups[kept[0] :]
+        _, self.used, self.held = kept
         return out, row[first], pairs[first], times
 
 
