@@ -37,8 +37,8 @@ select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (parti
 
 HARD_NEGATIVES = """
 with r as (
-  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, x -> floor(256 * cast(x as double))) as v
-  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * cast(x as double)) for x in embedding] as v
+  from embeddings where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ),
 s as (
   select a.vec_id as anchor_id, a.label as own, r.vec_id, r.label, cast(list_dot_product(a.v, r.v) as bigint) as score
