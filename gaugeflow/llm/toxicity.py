@@ -37,7 +37,8 @@ ADDED = ("weight", "n_hits", "n_words", "score")
 LOOKALIKES = dict(zip("авсеԁһіјкӏмнорԛѕтухузбг" + "αβεηικμνορτυχγ", "abcedhijklmhopqstyxyzbr" + "abenikmvoptuxy", strict=False)) | {"х": "x", "у": "y", "п": "n", "и": "u", "ѵ": "v", "ѡ": "w", "ɡ": "g", "ı": "i", "ł": "l", "ø": "o"}
 #: Digits and signs that stand for letters inside words.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"})
-_MIXED = re.compile(r"\S*(?:[^\W\d_][0-9]|[0-9@$!][^\W\d_])\S*")
+# Tried at the start of each run without white space only, so a text costs its length.
+_MIXED = re.compile(r"(?<!\S)\S*?(?:[^\W\d_][0-9]|[0-9@$!][^\W\d_])\S*")
 _GAPS = re.compile(r"[\W_]+")
 
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -67,6 +68,21 @@ def test_folding():
     assert toxicity.fold(None) == toxicity.fold("") == "  "
 
 
+def test_folding_costs_the_length_of_a_text():
+    """Texts without blanks of a million characters, and the same result as a plain version chunk by chunk."""
+    for text in ("中" * 1_000_000, "x" * 1_000_000, "a1" * 500_000, "中1" * 500_000, "QUJD+/" * 170_000):
+        began = time.perf_counter()
+        folded = toxicity.fold(text)
+        assert time.perf_counter() - began < 15 and len(folded) > 500_000
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("ab1 3$\n@!_é中. ") for _ in range(rng.randrange(40)))
+        plain = text.translate(toxicity._FOLD)
+        pair = re.compile(r"[^\W\d_][0-9]|[0-9@$!][^\W\d_]")
+        chunks = [c.translate(toxicity.STAND_INS) if pair.search(c) else c for c in re.split(r"(\s+)", plain)]
+        assert toxicity.fold(text) == " " + re.sub(r"[\W_]+", " ", "".join(chunks)).strip() + " "
+
+
 @pytest.fixture(scope="module")
 def toxic_rows():
     rng = random.Random(0)
