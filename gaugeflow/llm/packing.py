@@ -37,9 +37,12 @@ class WordTokenizer:
     tables, and what is missing goes to the tokenizer in one call per slice: each
     run ends in exactly one token with the end-of-word mark. A chunk outside
     Latin-1 goes to the tokenizer by itself; within Latin-1 its runs are those of
-    the file's own split pattern.
+    the file's own split pattern. Chunks over ``LONG`` bytes, as in texts without
+    blanks, hardly recur and are not remembered, so an entry takes at most half a KB.
     """
 
+    LONG = 64
+
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str, most_chunks: int, most_runs: int):
@@ -94,8 +97,10 @@ class WordTokenizer:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [text.split() for text in texts]
-        self._learn(set().union(*words))
-        ids = self.chunks.__getitem__
+        needed = set().union(*words)
+        long = {chunk: self._exact(chunk.decode("utf-8", "replace")) for chunk in needed if len(chunk) > self.LONG}
+        self._learn(needed.difference(long))
+        ids = (lambda chunk: self.chunks.get(chunk) or long[chunk]) if long else self.chunks.__getitem__
         return [b"".join(map(ids, own)) for own in words]
 
 
@@ -105,7 +110,7 @@ _loaded: dict[tuple, WordTokenizer] = {}
 def word_tokenizer(path: str, most_chunks: int = 600_000, most_runs: int = 900_000) -> Callable[[list[bytes]], list[bytes]]:
     """One tokenizer per worker process and file; its tables outlive a task.
 
-    The table sizes trade memory (about 0.2 KB an entry) for speed, never results.
+    The table sizes trade memory (about 0.2 KB an entry, half a KB at most) for speed, never results.
     """
     key = (path, most_chunks, most_runs)
     if key not in _loaded:

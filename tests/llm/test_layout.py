@@ -45,6 +45,15 @@ def test_tokenizer_is_exact(tokenizer):
             assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_tokenizer_remembers_no_long_chunks(tokenizer):
+    """Texts without blanks leave the tables as they are, with the same ids."""
+    words = packing.WordTokenizer(tokenizer, most_chunks=1000, most_runs=1000)
+    texts = ["日本語" * 400, "QUJD" * 300 + " tail", "x1" * 50_000, "short words"]
+    for text, ids in zip(texts, words([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, words.chunks)) < 100 and len(words.runs) < 10
+
+
 def check_packing(got, texts, encode, window):
     ids = {d: np.array([*encode(t or ""), 1], "<u4") for d, t in texts}
     assert (got.groupby("sequence_id")["length"].sum() <= window).all()
