@@ -7,14 +7,19 @@ The others get a text-to-tag ratio, smoothed by a Gaussian along the page. The
 smoothed ratios fall into two clusters, or one where the two would lie close; lines
 of the upper cluster are the seeds. They select the regions: the articles that hold
 seeds, or on pages whose seeds lie in none, the lowest region common to all seeds.
-A selected region keeps all of its lines, short ones too, but for the regions and
-lists in it that are mostly links.
-
-All passes are linear in the page; nesting of any depth costs no more.
-
-Defined results: null and empty pages give an empty text; repeated rows and extra
-columns pass through (a column named like a returned one is replaced); an
-unfinished tag at the end of a cut page is not text.
+A selected region keeps all of its lines, short ones too, but for menus: in an article
+the regions and lists of short link labels that lie before its first or behind its last
+seed, elsewhere all regions and lists that are mostly links. Lists of linked sources,
+linked paragraphs and links between the seeds stay in an article.
+
+All passes are linear in the page; nesting of any depth costs no more, nor do
+unfinished tags: one that doesn't end before the page does is cut off with what follows
+it, and from a quote or comment that is never closed on, tags end at their first ``>``.
+
+Defined results: null and empty pages give an empty text, an empty table an empty one;
+pages of any length are parsed whole; repeated rows and extra columns pass through (a
+column named like a returned one is replaced); an unfinished tag at the end of a cut
+page is not text.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -44,11 +50,56 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search al
 SKIPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall comment comments disqus respond replies sidebar rail related recommended recommendations share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation pagination pager footer masthead topbar toolbar widget widgets skip".split())
 HEADER_WORDS = frozenset(("header", "head"))
 OWN_WORDS = frozenset(("article", "post", "entry", "content", "story"))
+COMMENT_WORDS = frozenset(("comment", "comments"))
+#: Words that say nothing of the content when they stand beside one of the above in a class name.
+NEUTRAL_WORDS = frozenset("area bar block body bottom box btn button buttons card col column container content div fixed form global group head header icon icons inner item items js label layout left link links list local main mobile module outer page pane panel posts primary right row secondary section site slot stories sub tag text title top unit wrap wrapper zone".split())
 #: Factor between the mean ratios of two clusters.
 APART = 1.5
+#: Words a link from which on it is no label of a menu.
+LABEL_WORDS = 4
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _SPACE = re.compile(r"\s+")
+_OPENING = re.compile(r"<[a-zA-Z/!?]")
+_TAG = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'\s])))*+>"
+#: Texts, comments, declarations, scripts, styles and tags that are finished.
+_FINISHED = re.compile(
+    r"(?:[^<]++|<(?![a-zA-Z/!?])|<!--(?:-?>|(?:[^-]++|-(?!-!?>))*+--!?>)|<!\[(?:[^\]]++|\](?!\]>))*+\]\]>|<(?!!--|!\[)[/!?][^>]*+>"
+    rf"|<(?i:script)(?=[\s/>]){_TAG}(?:[^<]++|<(?!/(?i:script)))*+|<(?i:style)(?=[\s/>]){_TAG}(?:[^<]++|<(?!/(?i:style)))*+|<(?!(?i:script|style)[\s/>])[a-zA-Z]{_TAG})*+"
+)
+_LOOSE = re.compile(r"<[a-zA-Z!?][^>]*+>")
+
+
+def _loosened(found: re.Match) -> str:
+    """A tag without quotes where they aren't paired; no declarations."""
+    tag = found[0]
+    if tag[1] in "!?":
+        return ""
+    return tag if tag.count('"') % 2 == tag.count("'") % 2 == 0 else tag.replace('"', "").replace("'", "")
+
+
+def finished(html: str) -> str:
+    """The page with every tag in it finished, so that the parser meets each character once."""
+    if cut := _OPENING.search(html, html.rfind(">") + 1):
+        html = html[: cut.start()]
+    end = _FINISHED.match(html).end()
+    return html if end == len(html) else html[:end] + _LOOSE.sub(_loosened, html[end:])
+
+
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names a skipped part: anywhere, and outside of articles.
+
+    A name decides only with all of its words: share-buttons does, share-price doesn't.
+    """
+    anywhere = outside = False
+    for name in value.lower().split():
+        words = {w for w in _SPLIT.split(name) if len(w) > 1 and not any(c.isdigit() for c in w)}
+        plain = words - NEUTRAL_WORDS
+        anywhere |= bool(words & COMMENT_WORDS) and plain - OWN_WORDS <= SKIPPED_WORDS or bool(plain) and plain <= SKIPPED_WORDS and not words & OWN_WORDS
+        outside |= bool(words & HEADER_WORDS) and plain <= SKIPPED_WORDS
+    return anywhere, outside
+
+
+_short_named = lru_cache(4096)(_named)
 
 
 @dataclass
@@ -56,6 +107,8 @@ class Line:
     text: str
     tags: int
     linked: int  # characters of links
+    links: int
+    label_words: int  # words of links
     region: int  # the innermost one
     article: int  # the outermost one, or 0
 
@@ -77,12 +130,14 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
+        self.anchors = 0
+        self.label_words = 0
         self.lines: list[Line] = []
 
     def flush(self) -> None:
         if text := _SPACE.sub(" ", "".join(self.parts)).strip():
-            self.lines.append(Line(text, self.tags, self.linked, self.regions[-1], self.articles[0] if self.articles else 0))
-            self.tags, self.linked = 0, 0
+            self.lines.append(Line(text, self.tags, self.linked, self.anchors, self.label_words, self.regions[-1], self.articles[0] if self.articles else 0))
+            self.tags, self.linked, self.anchors, self.label_words = 0, 0, 0, 0
         self.parts = []
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -98,8 +153,8 @@ class _Lines(HTMLParser):
             if name == "style" and "display:none" in (value or "").replace(" ", "").lower():
                 return True
             if name in ("class", "id") and value:
-                words = set(_SPLIT.split(value.lower()))
-                if not words & OWN_WORDS and words & SKIPPED_WORDS or words & HEADER_WORDS and not self.articles and not words & OWN_WORDS or words & {"comment", "comments"}:
+                anywhere, outside = _short_named(value) if len(value) <= 200 else _named(value)
+                if anywhere or outside and not self.articles:
                     return True
         return False
 
@@ -122,6 +177,7 @@ class _Lines(HTMLParser):
         self.open[tag] += 1
         self.skips += skip
         self.links += tag == "a"
+        self.anchors += tag == "a" and not self.skips
         if tag in REGIONS or tag in LISTS:
             self.parents.append(self.regions[-1])
             self.regions.append(len(self.parents) - 1)
@@ -164,12 +220,13 @@ class _Lines(HTMLParser):
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
+                self.label_words += len(data.split())
 
 
 def lines_of(html: str) -> tuple[list[Line], list[int]]:
     """The lines of a page, and the parent of each region."""
     parser = _Lines()
-    parser.feed(_CUT_TAG.sub("", html))
+    parser.feed(finished(html))
     parser.close()
     if not parser.skips:
         parser.flush()
@@ -209,30 +266,46 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     seeds = seeds_of(lines)
-    # Text and links of every region, its inner ones included; inner ones have larger numbers.
-    chars, linked = [0] * len(parents), [0] * len(parents)
-    for line in lines:
+    # Text, links, their words, first and last line of every region, its inner ones included; inner ones have larger numbers.
+    chars, linked, links, words = ([0] * len(parents) for _ in range(4))
+    first, last = [len(lines)] * len(parents), [-1] * len(parents)
+    for i, line in enumerate(lines):
         chars[line.region] += len(line.text)
         linked[line.region] += line.linked
+        links[line.region] += line.links
+        words[line.region] += line.label_words
+        first[line.region], last[line.region] = min(first[line.region], i), i
     for region in range(len(parents) - 1, 0, -1):
-        chars[parents[region]] += chars[region]
-        linked[parents[region]] += linked[region]
+        parent = parents[region]
+        for sums in (chars, linked, links, words):
+            sums[parent] += sums[region]
+        first[parent], last[parent] = min(first[parent], first[region]), max(last[parent], last[region])
     poor = [n > 0.5 * c for c, n in zip(chars, linked, strict=True)]
-    chosen = [line for line, seed in zip(lines, seeds.tolist(), strict=True) if seed]
-    roots = {line.article for line in chosen if line.article}
-    if not roots:
+    none = (len(lines), -1)
+    spans: dict[int, tuple[int, int]] = {}  # of each article, the first and last seed that isn't in a region of links
+    for i, (line, seed) in enumerate(zip(lines, seeds.tolist(), strict=True)):
+        if seed and line.article:
+            span = spans.setdefault(line.article, none)
+            if not poor[line.region]:
+                spans[line.article] = (min(span[0], i), i)
+    if not spans:
         held = [0] * len(parents)
-        for line in chosen:  # seeds in a region that is mostly links select nothing
-            held[line.region] += not poor[line.region]
+        for line, seed in zip(lines, seeds.tolist(), strict=True):  # seeds in a region that is mostly links select nothing
+            held[line.region] += seed and not poor[line.region]
         for region in range(len(parents) - 1, 0, -1):
             held[parents[region]] += held[region]
         if not held[0]:
             return ""
-        roots = {max(region for region, n in enumerate(held) if n == held[0])}
-    kept = [False] * len(parents)
+        spans = {max(region for region, n in enumerate(held) if n == held[0]): none}
+    root: list[int | None] = [None] * len(parents)  # the selected region that keeps it
     for region, parent in enumerate(parents):
-        kept[region] = region in roots or region > 0 and kept[parent] and not poor[region]
-    return "\n".join(line.text for line in lines if kept[line.region])
+        if region in spans:
+            root[region] = region
+        elif region and (own := root[parent]) is not None:
+            begin, end = spans[own]
+            menu = poor[region] and (end < 0 or (last[region] < begin or first[region] > end) and words[region] < LABEL_WORDS * max(1, links[region]))
+            root[region] = None if menu else own
+    return "\n".join(line.text for line in lines if root[line.region] is not None)
 
 
 def _extract(column: str):

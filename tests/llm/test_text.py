@@ -244,6 +244,33 @@ def test_large_pages_cost_their_length(page):
     assert time.perf_counter() - began < 20
 
 
+@pytest.mark.parametrize("part", ["<p class=x ", '<a href="', "<!-- ", "</p ", "<![CDATA[", "<a x=\"'>", "<a href='>", "<script ", "<!x "])
+@pytest.mark.parametrize("end", ["", ">", "<p>the end</p>"])
+def test_unfinished_tags_cost_their_length(part, end):
+    began = time.perf_counter()
+    html_text.main_text("<p>text of the page</p>" + part * 30_000 + end)
+    assert time.perf_counter() - began < 5
+
+
+def test_finished_pages_stay_and_others_lose_what_never_ends():
+    whole = "<!doctype html><body a='>'><!-- <p \" --><p class=\"a > b\">1 < 2 <3 & \"x</p><script>if (a<b && c=\"'>\") '</p' </script><style>a>b</style><br/><![CDATA[ > ]]>"
+    assert html_text.finished(whole) == whole
+    assert html_text.finished("<p>a</p><p class=x") == "<p>a</p>" and html_text.finished("a <b") == "a " and html_text.finished("1 < 2") == "1 < 2"
+    assert html_text.main_text('<body><p>one two</p><a href="x>three</a><p>four</p>') == "one two\nthree\nfour"
+    assert html_text.main_text("<body><p>one two</p><!-- three <p>four</p>").endswith("four")
+
+
+def test_text_of_articles_stays():
+    body = "".join(f"<p>{'long text of the story ' * (15 + i)}</p>" for i in range(4))
+    sources = "".join(f"<li><a href={i}>The source of statement number {i}</a></li>" for i in range(8))
+    page = f"""<body><nav><a href=1>Home</a></nav><main><ul><li><a href=1>World</a></li><li><a href=2>Our sports</a></li></ul><h1>Head</h1>{body}<div class="share-price"><p>Shares fell by two.</p></div>
+    <div><a href=1>{'a linked paragraph ' * 5}</a></div><section id="related-work"><p>Others did so.</p></section>{body}<h2>Sources</h2><ul>{sources}</ul>
+    <div class="share-buttons"><p>Send it</p></div><div class="post-comments">so true</div><div class="ad-slot top-1"><p>Buy</p></div><div id="siteNav nav-primary">A B</div></main></body>"""
+    got = html_text.main_text(page).split("\n")
+    assert got[0] == "Head" and {"Shares fell by two.", "Others did so.", "Sources", ("a linked paragraph " * 5).strip(), "The source of statement number 7"} <= set(got)
+    assert len(got) == 1 + 8 + 3 + 1 + 8 and not {"World", "Our sports", "Home", "Send it", "so true", "Buy", "A B"} & set(got)
+
+
 def plain_selection(lines, parents):
     """The selection with paths, loops and nothing shared."""
     ratio = [len(x.text) / max(1, x.tags) * min(1, max(0, 1 - x.linked / len(x.text))) for x in lines]
@@ -276,10 +303,20 @@ def plain_selection(lines, parents):
         if not good:
             return ""
         roots = {[r for r in good[0] if all(r in p for p in good)][-1]}
+        in_article = False
+    else:
+        in_article = True
+
+    def menu(region, root):
+        inside = [i for i, x in enumerate(lines) if region in path(x.region)]
+        own = [i for i, x in enumerate(lines) if any(x is y for y in seeds) and x.article == root and not poor(x.region)]
+        label = sum(lines[i].label_words for i in inside) / max(1, sum(lines[i].links for i in inside))
+        return poor(region) and (not in_article or not own or (max(inside) < own[0] or min(inside) > own[-1]) and label < 4)
+
     kept = []
     for x in lines:
         own = path(x.region)
-        if any(r in roots and not any(poor(q) and q not in roots for q in own[own.index(r) + 1 :]) for r in own):
+        if any(r in roots and not any(menu(q, r) and q not in roots for q in own[own.index(r) + 1 :]) for r in own):
             kept.append(x.text)
     return "\n".join(kept)
 
