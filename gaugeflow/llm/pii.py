@@ -7,7 +7,10 @@ characters: each round adds, character by character and within the character's
 own class, a keyed digest of the other half. Punctuation, length, classes and
 check digits stay, equal values get equal pseudonyms in all documents, and the
 holder of the key can invert them. Dates go through a Feistel network over the
-146,097 = 189 * 773 days of four centuries, which maps dates onto dates.
+146,097 = 189 * 773 days of four centuries, which maps dates onto dates; the forms
+yyyy-MM-dd, dd.MM.yyyy and MM/dd/yyyy of a day get the same day. Numbers of the form
+ddd-dd-dddd go through one over the valid areas, groups and serials, so that valid
+ones become valid ones. Mail addresses are linked however A-Z are cased, which stays.
 
 Three passes: the other shapes, accounts, cards. A text that fails validation in one
 is open to the next, and validation chooses the extent: an account has its country's
@@ -20,13 +23,17 @@ such labels are valid. Without the secret key nobody can invert the pseudonyms,
 the caller must give one. Documents without personal data change only where a
 number passes a check by chance (one in ten digit runs of a card's length does).
 
-Values that fail validation are left alone. Defined results: null text stays
-null with no values; other columns and repeated rows pass through; an input
-column named like an added one is replaced.
+Values that fail validation are left alone. Digit groups cost their length but where
+possible cards overlap without end (rows of zeros), as only those are weighed together.
+Defined results: null text stays null with no values; an empty text or table stays
+empty; texts of any length are searched whole; other columns and repeated rows pass
+through; an input column named like an added one is replaced.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +44,7 @@ SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+\-\x80-\uFFFF])[A-Za-z0-9._%+\-\x80-\uFFFF]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "secret": r"(?=[TSPAtspa])(?i:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_\-]{8,}[\"']",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
-    "date": r"(?<![\d\-/.])\d{4}-\d{2}-\d{2}(?![\d\-/])",
+    "date": r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d\-/])(?!\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
     "social": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
 }
@@ -194,19 +201,31 @@ def _address(value: Column, key: str) -> Column:
     return F.when(F.array_max(octets) <= 255, F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, step, render))
 
 
-def _date(value: Column, key: str) -> Column:
-    """Feistel over 189 * 773 days from 1800-01-01; later or earlier days are not personal dates."""
-    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit("1800-01-01").cast("date"))
-    add = lambda i, other: F.conv(F.substring(_digest(key, F.lit("date"), i, other.cast("string")), 1, 6), 16, 10).cast("int")
-    start = F.struct(F.floor(day / 773).cast("int").alias("l"), (day % 773).cast("int").alias("r"))
+def _mixed(number: Column, key: str, tweak: str, m: int, n: int) -> Column:
+    """Feistel over the numbers below ``m * n``, by quotient and remainder of ``n``."""
+    add = lambda i, other: F.conv(F.substring(_digest(key, F.lit(tweak), i, other.cast("string")), 1, 6), 16, 10).cast("int")
+    start = F.struct(F.floor(number / n).cast("int").alias("l"), (number % n).cast("int").alias("r"))
 
     def step(acc: Column, i: Column) -> Column:
-        left = F.when(i % 2 == 0, F.pmod(acc["l"] + add(i, acc["r"]), F.lit(189))).otherwise(acc["l"])
-        right = F.when(i % 2 == 1, F.pmod(acc["r"] + add(i, acc["l"]), F.lit(773))).otherwise(acc["r"])
+        left = F.when(i % 2 == 0, F.pmod(acc["l"] + add(i, acc["r"]), F.lit(m))).otherwise(acc["l"])
+        right = F.when(i % 2 == 1, F.pmod(acc["r"] + add(i, acc["l"]), F.lit(n))).otherwise(acc["r"])
         return F.struct(left.alias("l"), right.alias("r"))
 
-    moved = F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, step, lambda a: a["l"] * 773 + a["r"])
-    return F.when((day >= 0) & (day < 146_097), F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), moved), "yyyy-MM-dd"))
+    return F.aggregate(F.array(*(F.lit(i) for i in range(ROUNDS))), start, step, lambda a: a["l"].cast("long") * n + a["r"])
+
+
+#: The forms of dates, by the separator.
+DATE_FORMS = {"-": "yyyy-MM-dd", ".": "dd.MM.yyyy", "/": "MM/dd/yyyy"}
+
+
+def _date(value: Column, key: str) -> Column:
+    """Feistel over 189 * 773 days from 1800-01-01; later or earlier days are not personal dates."""
+    out = F.lit(None).cast("string")
+    for mark, form in DATE_FORMS.items():
+        day = F.datediff(F.try_to_date(value, form), F.lit("1800-01-01").cast("date"))
+        moved = F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), _mixed(day, key, "date", 189, 773).cast("int")), form)
+        out = F.when(value.contains(mark), F.when((day >= 0) & (day < 146_097), moved)).otherwise(out)
+    return out
 
 
 def _email(value: Column, key: str) -> Column:
@@ -215,7 +234,9 @@ def _email(value: Column, key: str) -> Column:
     head, top = F.regexp_extract(value, r"^(.*)\.[A-Za-z]+$", 1), F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
 
     def moved(plain: Column) -> Column:
-        return refill(plain, feistel(symbols_of(plain, own), key, "email", wide=True), own)
+        low = F.translate(plain, ascii_uppercase, ascii_lowercase)
+        cased = lambda new: F.array_join(F.zip_with(F.split(new, ""), F.split(plain, ""), lambda a, b: F.when(b.rlike("[A-Z]"), F.upper(a)).otherwise(a)), "")
+        return let(refill(low, feistel(symbols_of(low, own), key, "email", wide=True), own), lambda new: F.when(low == plain, new).otherwise(cased(new)))
 
     # Coded labels wait outside and come back between the parts.
     labels = F.regexp_extract_all(head, F.lit(coded), F.lit(0))
@@ -240,8 +261,17 @@ def _phone(value: Column, key: str) -> Column:
 
 
 def _social(value: Column, key: str) -> Column:
-    """Area not 000, 666 or 9xx, group not 00, serial not 0000."""
-    return F.when(value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), refill(value, feistel(symbols_of(value), key, "social")))
+    """Area not 000, 666 or 9xx, group not 00, serial not 0000: 898 * 99 by 9,999 numbers."""
+    valid = value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
+    area, group, serial = F.substring(value, 1, 3).cast("int"), F.substring(value, 5, 2).cast("int"), F.substring(value, 8, 4).cast("int")
+    number = ((area - 1 - (area > 666).cast("int")) * 99 + group - 1).cast("long") * 9_999 + serial - 1
+
+    def shown(moved: Column) -> Column:
+        head, area = F.floor(moved / 9_999), F.floor(moved / (99 * 9_999)) + 1
+        parts = ((area + (area > 665).cast("int"), 3), (head % 99 + 1, 2), (moved % 9_999 + 1, 4))
+        return F.concat_ws("-", *(F.lpad(n.cast("string"), width, "0") for n, width in parts))
+
+    return F.when(valid, let(_mixed(number, key, "social", 898 * 99, 9_999), shown))
 
 
 _RULES = {"email": _email, "secret": _secret, "address": _address, "date": _date, "phone": _phone, "social": _social}
@@ -276,7 +306,10 @@ def _judge_iban(value: Column, key: str) -> Column:
 
 
 def _judge_stretch(value: Column, key: str) -> Column:
-    """The longest valid runs of the digit groups, none overlapping another."""
+    """The longest valid runs of the digit groups, none overlapping another.
+
+    Groups between which no valid run leads are judged apart, so that runs are compared with near ones only.
+    """
 
     def runs(groups: Column, at: Column) -> Column:
         near = F.array_join(F.slice(groups, at, 20), "")
@@ -284,22 +317,42 @@ def _judge_stretch(value: Column, key: str) -> Column:
         fit = F.filter(let(near, sized), lambda run: (run != "") & (luhn_sum(symbols_of(run), False) % 10 == 0))
         return F.transform(fit, lambda run: F.struct((-F.length(symbols_of(run))).alias("less"), at.alias("at"), F.size(F.split(run, "[ \\-]")).alias("n"), run.alias("run")))
 
-    def chosen(groups: Column) -> Column:
-        every = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda at: runs(groups, at))))
+    def chosen(near: Column) -> Column:
+        every = F.array_sort(F.flatten(near))
         none = F.filter(every, lambda x: F.lit(False))
         meets = lambda x: lambda y: (x["at"] < y["at"] + y["n"]) & (y["at"] < x["at"] + x["n"])
         return F.aggregate(every, none, lambda acc, x: F.when(F.exists(acc, meets(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
-    def renamed(groups: Column, taken: Column) -> Column:
+    def renamed(groups: Column, begin: Column, taken: Column) -> Column:
         def one(group: Column, i: Column) -> Column:
-            mine = F.filter(taken, lambda x: (x["at"] <= i + 1) & (i + 1 < x["at"] + x["n"]))
+            at = begin + i
+            mine = F.filter(taken, lambda x: (x["at"] <= at) & (at < x["at"] + x["n"]))
             first = F.concat(F.regexp_extract(group, "^[ \\-]?", 0), _marked(_card(mine[0]["run"], key)))
-            return F.when(F.size(mine) == 0, group).when(mine[0]["at"] == i + 1, first).otherwise("")
+            return F.when(F.size(mine) == 0, group).when(mine[0]["at"] == at, first).otherwise("")
 
         return F.struct(F.transform(taken, lambda x: F.lit("card")).alias("kinds"), F.array_join(F.transform(groups, one), "").alias("new"))
 
     plain = F.struct(F.array().cast("array<string>").alias("kinds"), value.alias("new"))
-    split = let(F.split(value, "(?=[ \\-])"), lambda groups: let(chosen(groups), lambda taken: renamed(groups, taken)))
+
+    def parted(groups: Column, found: Column) -> Column:
+        # A part begins at a group into which none of the 18 before it leads.
+        ends = F.transform(found, lambda near, i: i + 1 + F.coalesce(F.array_max(F.transform(near, lambda x: x["n"])), F.lit(0)))
+        begins = lambda ends: F.filter(F.sequence(F.lit(1), F.size(groups)), lambda at: (at == 1) | (F.array_max(F.slice(ends, F.greatest(at - 18, F.lit(1)), F.least(at - 1, F.lit(18)))) <= at))
+
+        def part(begin: Column, size: Column) -> Column:
+            texts, near = F.slice(groups, begin, size), F.slice(found, begin, size)
+            untouched = F.struct(F.array().cast("array<string>").alias("kinds"), F.array_join(texts, "").alias("new"))
+            return let(chosen(near), lambda taken: F.when(F.size(taken) == 0, untouched).otherwise(renamed(texts, begin, taken)))
+
+        def joined(begins: Column) -> Column:
+            nexts = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(groups) + 1))
+            parts = F.zip_with(begins, nexts, lambda a, b: part(a, b - a))
+            return let(parts, lambda parts: F.struct(F.flatten(F.transform(parts, lambda p: p["kinds"])).alias("kinds"), F.array_join(F.transform(parts, lambda p: p["new"]), "").alias("new")))
+
+        return let(let(ends, begins), joined)
+
+    found = lambda groups: F.transform(F.sequence(F.lit(1), F.size(groups)), lambda at: runs(groups, at))
+    split = let(F.split(value, "(?=[ \\-])"), lambda groups: let(found(groups), lambda found: parted(groups, found)))
     return F.when(value.startswith(_OPEN), plain).otherwise(split)
 
 

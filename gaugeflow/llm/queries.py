@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret of the pseudonyms, from the session; a fixed one where none is set, as in tests."""
-    return spark.conf.get("gaugeflow.pii.key", "for tests only")
+    """The secret of the pseudonyms, from the session; a fixed one where none is set, as in tests, with a warning."""
+    key = spark.conf.get("gaugeflow.pii.key", None)
+    if key is None:
+        warnings.warn("gaugeflow.pii.key is not set: anybody can invert these pseudonyms", stacklevel=2)
+    return key or "for tests only"
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
