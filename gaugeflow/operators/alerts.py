@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def timeline(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     """
     key = Window.partitionBy("rule", "labels_sig").orderBy("tick")
     island = Window.partitionBy("rule", "labels_sig", "island")
-    rows = ticks.join(F.broadcast(rules), "rule").withColumn("crossed", compare_by(F.col("value"), F.col("op"), F.col("threshold")))
+    rows = ticks.join(rules, "rule").withColumn("crossed", compare_by(F.col("value"), F.col("op"), F.col("threshold")))
     rows = rows.withColumn("turn", F.coalesce(F.lag("crossed").over(key) != F.col("crossed"), F.lit(True)).cast("int"))
     rows = rows.withColumn("island", F.sum("turn").over(key)).withColumn("since", F.min("tick").over(island))
     held = F.when(F.col("crossed") & (F.col("tick") - F.col("since") >= F.col("hold_ms")), F.col("tick"))
@@ -57,7 +58,7 @@ def timeline(ticks: DataFrame, rules: DataFrame) -> DataFrame:
 
 def keep_rules(transitions: DataFrame, rules: DataFrame) -> DataFrame:
     """State after a change of the rule set: what belongs to rules that stay, by name."""
-    return transitions.join(F.broadcast(rules.select("rule")), "rule", "left_semi")
+    return transitions.join(rules.select("rule"), "rule", "left_semi")
 
 
 def bodies(transitions: DataFrame) -> DataFrame:
@@ -83,3 +84,27 @@ def attempt(made: DataFrame, folder: str, log: str) -> None:
 def deliver(transitions: DataFrame, folder: str, log: str) -> None:
     """One delivery attempt of all transitions."""
     attempt(bodies(transitions), folder, log)
+
+
+def attempt_each(made: DataFrame, send: Callable[[str], None], log: str) -> None:
+    """One attempt for each body of ``made``, in the tasks, each with an outcome of its own in ``log``.
+
+    ``send`` takes a body and raises where it fails; a failure is noted and not raised, so
+    it stops neither its task nor the other bodies, and isn't repeated. A task that Spark
+    runs again, after an executor is lost, sends its bodies again; the log, written by
+    Spark's commit of tasks, has each attempt that counts once. No rows, no attempts.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            errors = []
+            for body in part["body"]:
+                try:
+                    send(body)
+                    errors.append("")
+                except Exception as e:  # whatever the sender raises is the outcome of the attempt
+                    errors.append(str(e).partition("\n")[0] or type(e).__name__)
+            yield part[["rule", "labels_sig", "status"]].assign(ok=[not e for e in errors], error=errors)
+
+    outcomes = made.select("rule", "labels_sig", "status", "body").mapInPandas(run, "rule string, labels_sig string, status string, ok boolean, error string")
+    outcomes.write.mode("append").parquet(log)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACK_AFTER_MS, LEAST_RUN, MOST_RUN = 2 * 3_600_000, 16, 1000
@@ -44,6 +44,21 @@ def retention_report(samples: DataFrame, packed: DataFrame, events: DataFrame, n
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def dropped_days(spark: SparkSession, table: str, before_ms: int) -> list[str]:
+    """Drop the partitions of ``table`` (partitioned by ``day``, days since the epoch) that end by ``before_ms``; their days.
+
+    Partitions go through the catalog with their files; no other file is read or written.
+    The day across the limit stays whole, ``retain`` hides its older rows.
+    """
+    days = [r["partition"].split("=", 1) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]  # a name a day
+    if any(name != "day" for name, _ in days):
+        raise ValueError("the table must be partitioned by day alone")
+    gone = sorted((day for _, day in days if day.lstrip("-").isdigit() and (int(day) + 1) * DAY <= before_ms), key=int)
+    if gone:
+        spark.sql(f"ALTER TABLE {table} DROP " + ", ".join(f"PARTITION (day = {day})" for day in gone))
+    return gone
+
+
 def retain_size(parts: DataFrame, cap_bytes: int) -> DataFrame:
     """Parts (part, bytes) to keep, newest first while their sum stays within the cap; one row a part."""
     newer = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import aggregate as A
-from ..operators import alerts, arith, events, histogram, rank, reduce, select, upkeep
+from ..operators import alert_state, alerts, arith, events, histogram, rank, reduce, select, upkeep
 from ..operators import range_fn as R
 from ..sources import containers, exposition, host
 from . import adapters as D
@@ -379,6 +379,7 @@ def _transitions(frame: DataFrame) -> DataFrame:
 
 
 query("t2_alert_timeline", _LINE)(lambda s, d: _transitions(_timeline(s, d)))
+query("t2_alert_replay", _LINE)(lambda s, d: _transitions(alert_state.replay(_ticks(s, d), alerts.rules_frame(s, [_RULE]).withColumnRenamed("name", "rule"))))
 query("t3_alert_ticks", f"with {O.alert_ticks(40.0, HOUR)} select sig as labels_sig, tick, round(v, 6) as value from k")(lambda s, d: _ticks(s, d).select("labels_sig", "tick", F.round("value", 6).alias("value")))
 
 

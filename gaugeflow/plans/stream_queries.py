@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import alerts, encoded, events
-from ..streaming import alert_stream, hopping, ingest, tail
+from ..streaming import alert_stream, hopping, ingest, live_alerts, tail
 from . import adapters as D
 from . import oracles as O
 from .adapters import DAY, HOUR, T0
@@ -62,6 +62,21 @@ def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(alert_stream.OUT).parquet(f"{folder}/out").select("labels_sig", "status", "fired_at", "resolved_at", F.round("value", 6).alias("value"))
 
 
+@_register("t3_live_alerts", O.alert_timeline(40.0, 2 * HOUR, HOUR))
+def _t3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, row = scratch(spark), "labels map<string,string>, labels_sig string, ts long, value double"
+    samples = D.gauge(spark, sf_dir).where(F.col("ts").between(START - HOUR - live_alerts.LOOK_BACK_MS, END))
+    samples.select("labels", "labels_sig", "ts", "value").write.parquet(f"{folder}/samples/part=0")
+    # a sample of a series of its own, below the threshold, by which the stream knows that the last tick is over
+    closing = spark.createDataFrame([({}, "closing", END + 3 * HOUR, 0.0)], row)
+    closing.write.parquet(f"{folder}/samples/part=1")
+    stream = spark.readStream.schema(f"{row}, part int").parquet(f"{folder}/samples")
+    ticks = live_alerts.observe_stream(stream, "gauge", HOUR, HOUR, START).where(F.col("tick").between(START, END))
+    rules = lambda s: s.createDataFrame([("high", "gauge", ">", 40.0, 2 * HOUR, 0)], "rule string, expr string, op string, threshold double, hold_ms long, generation long")
+    live_alerts.run_alerts(ticks, rules, folder, f"{folder}/check").awaitTermination()
+    return live_alerts.transitions(spark, folder).select("labels_sig", "status", "fired_at", "resolved_at", F.round("value", 6).alias("value"))
+
+
 @_register("t5_sample_ingest", f"with {O.GAUGE} select 'instance=h:9100,job=app,shard=' || shard || ',type=' || type as labels_sig, ts, round(v, 2) as value from s")
 def _t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrape text of the gauge, with a metric that the deny-list drops."""

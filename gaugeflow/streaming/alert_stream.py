@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.labels import compare_by
-from ..operators.alerts import attempt
+from ..operators.alerts import attempt, attempt_each
 
 OUT = "rule string, generation long, labels_sig string, labels map<string,string>, status string, value double, fired_at long, resolved_at long"
 
@@ -52,18 +52,18 @@ def alert_stream(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     keeps its generation and so its state; one that is dropped and added again gets a
     new generation and can't resume. Needs the RocksDB state store.
     """
-    joined = ticks.join(F.broadcast(rules), "rule").withColumn("crossed", compare_by(F.col("value"), F.col("op"), F.col("threshold")))
+    joined = ticks.join(rules, "rule").withColumn("crossed", compare_by(F.col("value"), F.col("op"), F.col("threshold")))
     rows = joined.select("rule", "generation", "labels_sig", "labels", "tick", "value", "crossed", "hold_ms")
     return rows.groupBy("rule", "generation", "labels_sig").transformWithStateInPandas(AlertMachine(), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
-def deliver_stream(transitions: DataFrame, folder: str, log: str, checkpoint: str):
-    """Write one JSON line for each transition as it happens, and its delivery attempt to ``log``."""
+def deliver_stream(transitions: DataFrame, folder: str | None, log: str, checkpoint: str, send: Callable[[str], None] | None = None):
+    """Hand each transition to ``send`` as it happens, or write it to ``folder`` as a JSON line where there is none, and note its delivery attempt in ``log``."""
     body = F.to_json(F.struct("rule", "status", "value", "labels", "fired_at", "resolved_at")).alias("body")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         made = batch.select("rule", "labels_sig", "status", body).persist()
-        attempt(made, folder, log)
+        attempt_each(made, send, log) if send else attempt(made, folder, log)
         made.unpersist()
 
     return transitions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

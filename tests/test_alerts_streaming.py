@@ -7,9 +7,9 @@ import shutil
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import labels as L
-from gaugeflow.operators import alerts, events, reduce
+from gaugeflow.operators import alert_state, alerts, events, reduce, upkeep
 from gaugeflow.operators import range_fn as R
-from gaugeflow.streaming import alert_stream, hopping, ingest
+from gaugeflow.streaming import alert_stream, hopping, ingest, live_alerts
 
 RULES = [("r", "e", ">", 0.5, 30)]
 RULE_SCHEMA = "rule string, expr string, op string, threshold double, hold_ms long"
@@ -76,6 +76,110 @@ def test_stream_equals_timeline(spark, tmp_path):
     assert got(spark.read.parquet(str(tmp_path / "out"))) == got(batch)
 
 
+def test_replay_by_blocks_equals_machine(spark):
+    rng = random.Random(4)
+    series = make_ticks(4, 15)
+    series |= {f"long{i}": [(t, rng.choice([0.1] + [0.9] * 12)) for t in range(0, 1000, 7)] for i in range(10)}
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    want = sorted((f"k={k}", s, f, t or 0) for k, p in series.items() for s, f, t in machine(p, 30))
+    ticks = spark.createDataFrame(as_rows(series), TICK_SCHEMA)
+    for block in (1, 50, 300, 10_000):
+        assert got(alert_state.replay(ticks, rules, block)) == want
+    # in steps, each going on from the state before
+    state, found = None, []
+    for low in range(0, 1000, 250):
+        moves, state = alert_state.advance(ticks.where(F.col("tick").between(low, low + 249)), rules, state, block_ms=100)
+        found += got(moves)
+        rows = state.collect()
+        state = spark.createDataFrame(rows, alert_state.STATE)
+    assert sorted(found) == want and 0 < len(rows) < len(series)
+    assert alert_state.replay(ticks.where("false"), rules).count() == 0
+
+
+SAMPLE = "labels map<string,string>, labels_sig string, ts long, value double"
+
+
+def land(spark, folder, name, rows):
+    spark.createDataFrame(rows, SAMPLE).coalesce(1).write.parquet(str(folder / name))
+
+
+def live(spark, folder):
+    stream = spark.readStream.schema(SAMPLE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    return live_alerts.observe_stream(stream, "e", 1000, 100_000)
+
+
+def test_live_alerts_equal_the_timeline(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [({"k": k}, f"k={k}", t, rng.choice([0.1, 0.9, 0.9, 0.9])) for k in "abc" for t in rng.sample(range(200_000, 500_000), 30)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[2] + rng.randrange(50_000))
+    for i in range(3):
+        land(spark, tmp_path / "in", f"p{i}", rows[i * 30 : i * 30 + 30])
+    land(spark, tmp_path / "in", "p9", [({}, "closing", 2_000_000, 0.0)])
+    asked = lambda s: s.createDataFrame([("r", "e", ">", 0.5, 20_000, 0)], RULE_SCHEMA + ", generation long")
+    live_alerts.run_alerts(live(spark, tmp_path / "in"), asked, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    samples = spark.createDataFrame(rows, SAMPLE).withColumn("metric", F.lit("m"))
+    want = alerts.timeline(alerts.observe(samples, "r", 1000, 200_000, 600_000), asked(spark))
+    assert got(live_alerts.transitions(spark, str(tmp_path / "out"))) == got(want) and want.count() > 5
+
+
+def test_rules_change_while_the_stream_runs(spark, tmp_path):
+    low, high = ({"k": "a"}, "k=a", 0.1), ({"k": "a"}, "k=a", 0.9)
+    seen = []
+
+    def asked(s):
+        """r fires from the first batch on, is dropped while ticks of 200 s go by and comes again as another one."""
+        n = len(seen)
+        seen.append(n)
+        rules = {0: [("r", "e", ">", 0.5, 0, 0)], 1: [("other", "e", ">", 5.0, 0, 0)]}.get(n, [("r", "e", ">", 0.5, 0, 1)])
+        return s.createDataFrame(rules, RULE_SCHEMA + ", generation long")
+
+    for i, (t, (labels, sig, v)) in enumerate([(100, high), (200, high), (300, high), (400, low)]):
+        spark.createDataFrame([("e", labels, sig, t, v)], "expr string, " + TICK_SCHEMA.removeprefix("rule string, ")).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        os.utime(next((tmp_path / "in" / f"p{i}").glob("part-*")), (1000 + i, 1000 + i))
+    ticks = spark.readStream.schema("expr string, " + TICK_SCHEMA.removeprefix("rule string, ")).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live_alerts.run_alerts(ticks, asked, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    moves = live_alerts.transitions(spark, str(tmp_path / "out"))
+    assert got(moves) == [("k=a", "firing", 100, 0), ("k=a", "firing", 300, 0), ("k=a", "resolved", 300, 400)] and len(seen) >= 4
+    assert spark.read.schema(alert_state.STATE).parquet(str(tmp_path / "out" / "state" / str((len(seen) - 1) % 2))).count() == 0
+
+
+def test_vanished_series_lose_their_state(spark):
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    ticks = spark.createDataFrame(as_rows({"gone": [(0, 0.9)], "here": [(0, 0.9), (5000, 0.9)]}), TICK_SCHEMA)
+    assert [r["labels_sig"] for r in alert_state.advance(ticks, rules, keep_ms=1000)[1].collect()] == ["k=here"]
+
+
+def test_each_transition_has_its_attempt(spark, tmp_path):
+    rules = spark.createDataFrame(RULES, RULE_SCHEMA)
+    series = {f"k{i}": [(0, 0.9), (50, 0.9)] for i in range(10)}
+    made = alerts.bodies(alerts.timeline(spark.createDataFrame(as_rows(series), TICK_SCHEMA), rules))
+
+    def send(body):
+        if '"k3"' in body:
+            raise OSError("refused\nby the target")
+
+    alerts.attempt_each(made, send, str(tmp_path / "log"))
+    rows = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert len(rows) == 10 and [(r["labels_sig"], r["error"]) for r in rows if not r["ok"]] == [("k=k3", "refused")]
+
+
+def test_old_days_are_dropped(spark, tmp_path):
+    day = upkeep.DAY
+    rows = [("m", d * day + i, float(i), d) for d in range(5) for i in range(3)]
+    spark.createDataFrame(rows, "metric string, ts long, value double, day int").write.partitionBy("day").option("path", str(tmp_path / "t")).saveAsTable("kept_days")
+    files = lambda: {f for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    try:
+        assert upkeep.dropped_days(spark, "kept_days", 2 * day + 1) == ["0", "1"]
+        assert sorted({r["day"] for r in spark.table("kept_days").collect()}) == [2, 3, 4] and spark.table("kept_days").count() == 9
+        left = {f for f in before if int(f.parent.name.removeprefix("day=")) > 1}
+        assert left <= files() <= before
+        assert upkeep.dropped_days(spark, "kept_days", 2 * day + 1) == []
+    finally:
+        spark.sql("drop table kept_days")
+
+
 def test_ingest_samples_and_restart(spark, tmp_path):
     folder, table, check = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "cp")
     folder.mkdir()
