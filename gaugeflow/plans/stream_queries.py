@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for the streams started within."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
 def _register(name: str, oracle: str):
     def add(f):
         QUERIES[name], ORACLES[name] = f, oracle
@@ -51,14 +64,10 @@ def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = alerts.observe(D.gauge(spark, sf_dir), "high", HOUR, START, END)
     ticks.select("rule", "labels", "labels_sig", "tick", "value").write.parquet(f"{folder}/ticks")
     rules = spark.createDataFrame([("high", ">", 40.0, 2 * HOUR, 0)], "rule string, op string, threshold double, hold_ms long, generation long")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
+    with rocks(spark):
         stream = spark.readStream.schema("rule string, labels map<string,string>, labels_sig string, tick long, value double").parquet(f"{folder}/ticks")
         out = alert_stream.alert_stream(stream, rules)
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(alert_stream.OUT).parquet(f"{folder}/out").select("labels_sig", "status", "fired_at", "resolved_at", F.round("value", 6).alias("value"))
 
 
@@ -140,10 +149,10 @@ _encoded("f4_encoded_nre", "shard not in ('1', '2')", START, END, ("shard", "!~"
 _encoded("f5_encoded_conjunction", "type in ('click', 'view') and shard != '3'", O.LOW, O.HIGH, ("type", "=~", "click|view"), ("shard", "!=", "3"))
 
 
-def _t7(fn: str):
-    low, high, step, window = T0, T0 + 30 * DAY, 6 * HOUR, 12 * HOUR
+def _t7(name: str, fn: str, step: int = 6 * HOUR, window: int = 12 * HOUR):
+    low, high = T0, T0 + 30 * DAY
 
-    @_register(f"t7_stream_{fn}", f"with {O.ranged(fn, O.counter(40), start=low, end=high)} select sig as labels_sig, t as ts, round(v, 6) as value from r")
+    @_register(name, f"with {O.ranged(fn, O.counter(40), start=low, end=high, step=step, window=window)} select sig as labels_sig, t as ts, round(v, 6) as value from r")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = scratch(spark)
         samples = D.counter(spark, sf_dir, 40)
@@ -153,11 +162,14 @@ def _t7(fn: str):
         samples.limit(1).select("metric", "labels", L.signature(F.col("labels")).alias("labels_sig"), F.lit(T0 + 400 * DAY).alias("ts"), "value").write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
         out = hopping.streaming_range(stream, fn, window, step, start=low, late_ms=60 * DAY)
-        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        with rocks(spark):
+            out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return flat(spark.read.schema(out.schema).parquet(f"{folder}/out").where(F.col("ts").between(low, high)))
 
     return run
 
 
 for _fn in ("rate", "increase", "irate", "delta", "avg_over_time", "sum_over_time", "min_over_time", "max_over_time", "count_over_time"):
-    _t7(_fn)
+    _t7(f"t7_stream_{_fn}", _fn)
+_t7("t7_wide_rate", "rate", HOUR)
+_t7("t7_sparse_max_over_time", "max_over_time", 6 * HOUR, 2 * HOUR)

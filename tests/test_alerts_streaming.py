@@ -271,6 +271,47 @@ def test_hopping_equals_batch(spark, tmp_path):
         assert stream_rows == {(r["labels_sig"], r["ts"]): round(r["value"], 6) for r in batch.collect()}
 
 
+HOP_SCHEMA = "metric string, labels map<string,string>, labels_sig string, ts long, value double"
+
+
+def hop(spark, folder, fn, window, step, start, **more):
+    """Rows of the stream over the files of a folder, one file a batch."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    stream = spark.readStream.schema(HOP_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    name = f"hop_{fn}_{window}_{step}"
+    q = hopping.streaming_range(stream, fn, window, step, start=start, **more).writeStream.format("memory").queryName(name).outputMode("append").start()
+    q.processAllAvailable()
+    rows = spark.table(name).collect()
+    state = q.lastProgress["stateOperators"]
+    q.stop()
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return {(r["labels_sig"], r["ts"]): round(r["value"], 6) for r in rows}, len(rows), state
+
+
+def test_streamed_panes_equal_batch(spark, tmp_path):
+    """Wide, off-grid and sparse windows, with samples on both ends of ranges, resets and gaps longer than a window."""
+    rng = random.Random(8)
+    times = {k: sorted({*rng.sample(range(0, 9_000), 50), *rng.sample(range(14_000, 20_000), 30), *(1000 * i for i in range(3, 8))}) for k in "ab"}
+    rows = [("m", {"s": k}, f"s={k}", t, float(rng.randrange(30))) for k in "ab" for t in times[k]]
+    (samples := spark.createDataFrame(rows, HOP_SCHEMA)).persist()
+    for i, at in enumerate((7_000, 12_000, 40_000)):  # in order of time between the files, in none within
+        low = (0, 7_000, 12_000)[i]
+        samples.where(F.col("ts").between(low, at - 1)).orderBy(F.rand(3)).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    spark.createDataFrame([("m", {"s": "z"}, "s=z", 10_000_000, 0.0)], HOP_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / "p3"))
+    cases = [("rate", 5000, 500, 1000), ("irate", 4999, 700, 1001), ("avg_over_time", 5000, 500, 1000), ("rate", 900, 2000, 1000)]
+    for fn, window, step, start in cases:
+        got, n, state = hop(spark, tmp_path / "in", fn, window, step, start, late_ms=8_000)
+        end = start + (30_000 - start) // step * step
+        batch = R.range_function(samples, fn, window, start, end, step)
+        want = {(r["labels_sig"], r["ts"]): round(r["value"], 6) for r in batch.collect()}
+        assert {k: v for k, v in got.items() if start <= k[1]} == want, (fn, window, step)
+        assert n == len(got)
+        # what remains is the sample that moved the watermark
+        assert sum(s["numRowsTotal"] for s in state) <= 1, state
+    samples.unpersist()
+
+
 def test_label_fingerprint_keeps_commas_apart(spark):
     row = spark.createDataFrame([({"a": "1,b=2"}, {"a": "1", "b": "2"})], "x map<string,string>, y map<string,string>")
     same = row.select((L.signature(F.col("x")) == L.signature(F.col("y"))).alias("s"), (L.fingerprint(F.col("x")) == L.fingerprint(F.col("y"))).alias("f")).first()
