@@ -4,12 +4,15 @@ The automaton of the normalised items is broadcast behind a size check. A larger
 benchmark is read in blocks: one automaton is built and broadcast at a time, the
 documents stream through it and are written with their marks, and it is released
 before the next one is built. So more items cost more scans, not more memory; a
-block of 1 MB of items takes some 0.2 GB in the driver and in each worker.
-Documents are never shuffled.
+block of 1 MB of items takes some 0.2 GB in the driver and in each worker. An item
+longer than a block is cut into pieces that share all but one word of a window, so
+each of its windows lies in one piece. Documents are never shuffled.
 
 Defined results: null and empty texts have no words and no hits; an item that is
 null or has no words matches nothing; repeated items and repeated document rows
-each keep their own id and row (equal items share one place in the automaton); ids
+each keep their own id and row (equal items share one place in the automaton); texts
+of any length are streamed, items of any length cut; empty tables give no rows, or
+documents without hits; ids
 of any type come out as strings; an input column whose name this operator returns
 is replaced by the returned one; other columns pass through.
 """
@@ -217,8 +220,20 @@ def _finish(column: str, least_span: int):
     return run
 
 
+def pieces(words: list[bytes], window: int, most_bytes: int) -> Iterator[tuple[bytes, ...]]:
+    """The words of one item in pieces of about ``most_bytes``; neighbours share ``window - 1`` words, so each window lies in just one."""
+    begin = 0
+    while begin < len(words):
+        end, size = begin, 0
+        while end < len(words) and (end - begin < window or size + len(words[end]) < most_bytes):
+            size += len(words[end]) + 1
+            end += 1
+        yield tuple(words[begin:end])
+        begin = end - window + 1 if end < len(words) else end
+
+
 def automata(items: DataFrame, window: int, id_column: str, column: str, most_bytes: int) -> Iterator[tuple[ItemAutomaton, list[list[str]]]]:
-    """Automata of at most ``most_bytes`` of item text each (an item is never cut), with the ids of their distinct items."""
+    """Automata of about ``most_bytes`` of item words each, with the ids of their distinct items; a longer item is in several."""
     known: dict[tuple[bytes, ...], list[str]] = {}
     size = 0
 
@@ -226,11 +241,13 @@ def automata(items: DataFrame, window: int, id_column: str, column: str, most_by
         return ItemAutomaton([(i, list(words)) for i, words in enumerate(known)], window), list(known.values())
 
     for item, text in items.select(F.col(id_column).cast("string"), column).where(F.col(column).isNotNull()).toLocalIterator():
-        if size and size + len(text.encode()) > most_bytes:
-            yield made()
-            known, size = {}, 0
-        known.setdefault(tuple(normalised_words(text)), []).append(item)
-        size += len(text.encode())
+        for piece in pieces(normalised_words(text), window, most_bytes):
+            length = sum(map(len, piece)) + len(piece)
+            if size and size + length > most_bytes:
+                yield made()
+                known, size = {}, 0
+            known.setdefault(piece, []).append(item)
+            size += length
     yield made()
 
 

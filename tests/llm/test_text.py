@@ -47,6 +47,23 @@ def test_decontamination_in_blocks(spark, docs):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_long_items_are_cut_between_windows(spark, docs):
+    """Every window of an item lies in one piece, pieces are bounded, and marks equal brute force."""
+    rng = random.Random(4)
+    words = [str(rng.randrange(400)).encode() for _ in range(3000)]
+    for n, most in ((3000, 200), (3000, 1), (10, 5), (9, 5), (11, 5), (0, 5)):
+        cut = list(dec.pieces(words[:n], 10, most))
+        windows = [p[i : i + 10] for p in cut for i in range(max(len(p) - 9, min(1, len(p))))]
+        assert windows == [tuple(words[:n][i : i + 10]) for i in range(max(n - 9, min(1, n)))]
+        assert all(len(p) <= 10 or sum(map(len, p)) + len(p) <= most + 1 for p in cut)
+    text = b" ".join(words).decode()
+    parts = text.split()
+    its = [(1, text), (2, " ".join(parts[500:700])), (3, "one two")]
+    rows = [(i, " ".join([*parts[at : at + 40], "x", *parts[at + 5 : at + 14], "one", "two"])) for i, at in enumerate(range(0, 2900, 97))]
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in dec.digest(dec.decontaminate(docs(rows), items(spark, its), most_bytes=4000)).collect())
+    assert got == sorted((d, *dec.brute_force(t, its)) for d, t in rows)
+
+
 def test_items_with_text_ids_and_many_copies(spark, docs):
     its = spark.createDataFrame([("b", "short one here"), ("a", "short one here"), *((f"r{i}", "over and over again") for i in range(2000))], "item_id string, text string")
     got = dec.digest(dec.decontaminate(docs([(1, "a short one here"), (2, "over and over again " * 50)]), its)).orderBy("doc_id").collect()
