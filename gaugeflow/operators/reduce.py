@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REDUCTIONS = ("lastNotNull", "last", "first", "max", "min", "mean", "sum")
@@ -48,6 +49,37 @@ def extent(samples: DataFrame, packed: DataFrame | None = None) -> DataFrame:
     return ends.agg(F.min("low").alias("min_ts"), F.max("high").alias("max_ts"))
 
 
+@contextmanager
+def _footers(spark: SparkSession) -> Iterator[None]:
+    """Settings of the session under which Parquet aggregates are read from file footers."""
+    own = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {name: spark.conf.get(name) for name in own}
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _stored_ends(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.agg(F.count("*").alias("samples"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
+
+
+def stored_figures(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row of a stored table: its samples, least and greatest timestamp, from the footers of its Parquet files; no row is read.
+
+    The footers are read at once, by tasks; an empty table has 0 samples and null times. All
+    files must carry statistics of ``ts``, as those that Spark writes do, and the columns of
+    ``schema`` in its order: Spark finds the column in a footer by its place.
+    """
+    with _footers(spark):
+        samples, low, high = _stored_ends(spark, path, schema).first()  # the figures themselves; counts of no footer add up to null
+    return spark.createDataFrame([(samples or 0, low, high)], "samples long, min_ts long, max_ts long")
+
+
 def panel_extent(vector: DataFrame) -> DataFrame:
     """Least and greatest time and value over all series."""
     return vector.agg(F.min("ts").alias("x_min"), F.max("ts").alias("x_max"), F.min("value").alias("y_min"), F.max("value").alias("y_max"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import alerts, encoded, events
+from ..operators import alerts, encoded, events, reduce
 from ..streaming import alert_stream, hopping, ingest, live_alerts, tail
 from . import adapters as D
 from . import oracles as O
@@ -149,6 +149,13 @@ _encoded("f4_encoded_nre", "shard not in ('1', '2')", START, END, ("shard", "!~"
 _encoded("f5_encoded_conjunction", "type in ('click', 'view') and shard != '3'", O.LOW, O.HIGH, ("type", "=~", "click|view"), ("shard", "!=", "3"))
 
 
+@_register("a20_stored_figures", f"with {O.GAUGE} select count(*) as samples, min(ts) as min_ts, max(ts) as max_ts from s")
+def _a20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    encoded.write(D.gauge(spark, sf_dir), folder)
+    return reduce.stored_figures(spark, f"{folder}/samples", encoded.SAMPLES)
+
+
 def _t7(name: str, fn: str, step: int = 6 * HOUR, window: int = 12 * HOUR):
     low, high = T0, T0 + 30 * DAY
 

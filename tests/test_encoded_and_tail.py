@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import labels as L
-from gaugeflow.operators import encoded, select
+from gaugeflow.operators import encoded, reduce, select
 from gaugeflow.streaming import ingest, tail
 
 DAY = encoded.DAY
@@ -125,3 +125,17 @@ def test_tail_feeds_the_ingest(spark, tmp_path):
         ingest.ingest_samples(tail.tail_stream(spark, str(folder)), *args).awaitTermination()
     got = spark.read.parquet(args[0]).orderBy("ts").collect()
     assert [(r["ts"], r["value"]) for r in got] == [(1000, 0.0), (2000, 1.0)]
+
+
+def test_figures_from_footers(spark, tmp_path):
+    """Count and extent of a stored table without reading rows; settings of the session are put back."""
+    path, schema = str(tmp_path / "t"), "series_id long, ts long, value double, day long"
+    spark.range(-5, 995, 1, 7).selectExpr("id * 7 as series_id", "id as ts", "cast(id as double) as value", "id % 3 as day").write.partitionBy("day").parquet(path)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert tuple(reduce.stored_figures(spark, path, schema).first()) == (1000, -5, 994)
+    with reduce._footers(spark):
+        plan = reduce._stored_ends(spark, path, schema)._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(ts), MAX(ts)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    spark.range(0).selectExpr("id as ts").write.parquet(str(tmp_path / "none"))
+    assert tuple(reduce.stored_figures(spark, str(tmp_path / "none"), "ts long").first()) == (0, None, None)
