@@ -10,7 +10,8 @@
    bucket's largest class leads it, and every text outside that class is compared with
    the likely leader (4) that it meets in most buckets.
 3. Buckets whose members then lie in different classes are still open. Up to ``FEW``
-   members, all pairs of a bucket are judged. For the texts of larger buckets there is
+   members, all pairs of a bucket are judged, each in the first bucket it shares, so
+   that it is returned once whatever else it shares. For the texts of larger buckets there is
    an exact similarity join: a pair within the edit limit has all but ``limit`` of the
    longer text's words in common, so both texts hold a common word among the
    ``limit + 1`` words of each that come first in one global order, rarest first
@@ -330,46 +331,67 @@ def _described(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return pairs.join(side("member"), "member").join(side("leader"), "leader").mapInArrow(_likely(similarity), "leader long, member long, shared long")
 
 
-#: Pairs that a task remembers, so as not to return them again.
-_REMEMBERED = 500_000
+class _Meetings:
+    """Sketches of some texts by their numbers, those of words before those of k-mers; 0 where a text has none."""
+
+    def __init__(self, n_words: np.ndarray, sketch: pa.ListArray, similarity: float):
+        flat, off = sketch.flatten().to_numpy(), np.asarray(sketch.offsets) - sketch.offsets[0].as_py()
+        parts = (n_words < SHORT).astype(np.int64) + (n_words >= SHORT * similarity - 1e-9)  # as in sketches_of
+        width = 2 * int((np.diff(off) // parts).max())
+        self.table = np.zeros((len(n_words), width), np.int64)
+        for i, (a, b) in enumerate(pairwise(off)):
+            at = 0 if n_words[i] < SHORT else width - (b - a)
+            self.table[i, at : at + b - a] = flat[a:b]
+
+    def first(self, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Whether ``value`` is the first sketch that the rows ``i`` and ``j`` share."""
+        same = (self.table[i] == self.table[j]) & (self.table[i] != 0)
+        return ~same.any(axis=1) | (self.table[i, same.argmax(axis=1)] == value)
+
+
+#: Pairs that are returned together.
+_PAIRS = 10_000
 
 
 def _judge(similarity: float):
-    """Pairs of texts with an equal value, next to each other in the input, that may be links between classes; ``shared`` is their slack."""
+    """Pairs of texts with an equal value, next to each other in the input, that may be links between classes; ``shared`` is their slack.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = None, set()
-
-        def pairs(held: pa.Table) -> pa.RecordBatch:
-            value, ids, label = (held.column(c).to_numpy() for c in ("value", "doc_id", "label"))
-            bounds = _Bounds(held.column("n_words").to_numpy(), held.column("parity").combine_chunks(), similarity)
-            live, step, fresh = np.arange(len(value)), 1, {}
-            while True:
-                live = live[live + step < len(value)]
-                live = live[value[live] == value[live + step]]
-                if not len(live):
-                    break
-                i = live[label[live] != label[live + step]]
-                slack = bounds.slack(i, i + step)
-                i, slack = i[slack >= 0], slack[slack >= 0]
-                found = zip(np.minimum(ids[i], ids[i + step]).tolist(), np.maximum(ids[i], ids[i + step]).tolist(), strict=True)
-                fresh.update((pair, n) for pair, n in zip(found, slack.tolist(), strict=True) if pair not in seen)
-                step += 1
-            if len(seen) > _REMEMBERED:
-                seen.clear()
-            seen.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64()), pa.array(list(fresh.values()), pa.int64())], names=["leader", "member", "shared"])
+    A pair is returned for the first sketch it shares only, so by one task and once.
+    """
 
+    def pairs(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        value, ids, label, n_words = (held.column(c).to_numpy() for c in ("value", "doc_id", "label", "n_words"))
+        bounds = _Bounds(n_words, held.column("parity").combine_chunks(), similarity)
+        live, step, found, count, meetings = np.arange(len(value)), 1, [], 0, None
+        while len(live):
+            live = live[live + step < len(value)]
+            live = live[value[live] == value[live + step]]
+            i = live[label[live] != label[live + step]]
+            slack = bounds.slack(i, i + step)
+            i, slack = i[slack >= 0], slack[slack >= 0]
+            if len(i):
+                meetings = meetings or _Meetings(n_words, held.column("sketch").combine_chunks(), similarity)
+                here = meetings.first(i, i + step, value[i])
+                i, slack = i[here], slack[here]
+                found.append((np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step]), slack))
+                count += len(i)
+            if count >= _PAIRS or not len(live) and count:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["leader", "member", "shared"])
+                found, count = [], 0
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             held = pa.Table.from_batches([*(held.to_batches() if held else ()), batch])
             value = held.column("value").to_numpy()
             # the last value may go on in the next batch
             last = np.flatnonzero(value[1:] != value[:-1])
             if len(last):
-                yield pairs(held.slice(0, int(last[-1]) + 1))
+                yield from pairs(held.slice(0, int(last[-1]) + 1))
                 held = held.slice(int(last[-1]) + 1)
         if held:
-            yield pairs(held)
+            yield from pairs(held)
 
     return run
 
@@ -439,15 +461,15 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return cut(_described(pairs, texts, similarity), pairs)
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """(leader, member, shared) of all pairs in a bucket of ``members`` (value, rep) that may be links between classes."""
     named = members.select("value", F.col("rep").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("near")).where("low <> high").select("value", "n", "near")
-    still = cut(named.join(mixed, "value").select("value", "n", "near", "doc_id", "label"))
-    # Buckets of mostly the same members have the same least hash: one task judges them and returns a pair once. A text is in
-    # a bounded number of buckets, so it draws no more than that many together.
-    few = still.where(F.col("n") <= FEW).select("value", "near", "doc_id", "label").join(texts.select("doc_id", "n_words", "parity"), "doc_id")
-    met = few.repartition("near").sortWithinPartitions("near", "value").mapInArrow(_judge(similarity), "leader long, member long, shared long")
+    mixed = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("value", "n")
+    still = cut(named.join(mixed, "value").select("value", "n", "doc_id", "label"))
+    # A pair belongs to the first bucket it shares: if that is a larger one, to the join below.
+    few = still.where(F.col("n") <= FEW).select("value", "doc_id", "label")
+    few = few.join(texts.select("doc_id", "n_words", "parity"), "doc_id").join(sketched.select(F.col("rep").alias("doc_id"), "sketch"), "doc_id")
+    met = few.repartition("value").sortWithinPartitions("value").mapInArrow(_judge(similarity), "leader long, member long, shared long")
     pairs = cut(met.groupBy("leader", "member").agg(F.max("shared").alias("shared")))
     many = cut(still.where(F.col("n") > FEW).select("doc_id", "label").distinct(), still)
     if many.limit(1).count():
@@ -504,7 +526,7 @@ def links_of(sketched: DataFrame, texts_of, similarity: float = SIMILARITY) -> t
             break
         else:
             links, labels = _joined(links, labels, more)
-    pairs = open_pairs(members, labels, texts, similarity)
+    pairs = open_pairs(members, labels, texts, sketched, similarity)
     first = cut(_strongest(_labelled(pairs, labels)), members)
     links, labels = _joined(links, labels, cut(_verified(first, texts, similarity)))
     rest = _labelled(pairs, labels).join(first, ["leader", "member"], "left_anti")

@@ -215,6 +215,31 @@ def test_pairs_beside_form_letters(spark, docs):
     assert [got[10_001 + 2 * i] == got[10_000 + 2 * i] for i in range(20)] == [True] * 20
 
 
+def test_pairs_of_many_buckets_are_returned_once():
+    """Whichever tasks judge the buckets, a pair comes from the first bucket it shares alone."""
+    rng = random.Random(13)
+    base = {n: text(rng, n) for n in (30, 46, 200)}
+    texts = [edited(rng, base[n], 0.03) for n in base for _ in range(8)]
+    found = (Texts(pa.array([t])) for t in texts)
+    words = [word_hashes(t.data, *word_spans(t, BLANK)[:2]) for t in found]
+    sketches = [near_dedup.sketches_of(w).tolist() for w in words]
+    parity = [near_dedup.parity_of(w).tolist() for w in words]
+    buckets = {}
+    for i, own in enumerate(sketches):
+        for value in own:
+            buckets.setdefault(value, []).append(i)
+    want = {(a, b) for met in buckets.values() for a in met for b in met if a < b}
+    got = []
+    for value, met in buckets.items():
+        n_words = pa.array([len(words[i]) for i in met], pa.int32())
+        rows = {"value": pa.array([value] * len(met)), "doc_id": pa.array(met), "label": pa.array(met), "n_words": n_words}
+        rows |= {"parity": pa.array([parity[i] for i in met]), "sketch": pa.array([sketches[i] for i in met])}
+        for out in near_dedup._judge(0.8)(iter([pa.RecordBatch.from_pydict(rows)])):
+            got += zip(out.column("leader").to_pylist(), out.column("member").to_pylist(), strict=True)
+    assert len(want) >= 80 and max(map(len, buckets.values())) > 2
+    assert sorted(got) == sorted(want)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
