@@ -45,7 +45,8 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = F.filter("pairs", lambda x, i: ~F.exists(F.slice("pairs", i + 2, F.greatest(F.size("pairs") - i - 1, F.lit(0))), lambda y: y["key"] == x["key"]))
     parsed = used.withColumns({"good": F.col("line").rlike(LINE) & F.coalesce(fits, F.lit(False)), "pairs": pairs})
     bad = parsed.where(~F.col("good"))
-    samples = parsed.join(bad.select("file").distinct(), "file", "left_anti").select(
+    # Names of files, which the driver has listed, go to the lines: dealt by name, all lines of a file would meet in one task.
+    samples = parsed.join(F.broadcast(bad.select("file").distinct()), "file", "left_anti").select(
         *lines.columns, F.regexp_extract("line", LINE, 1).alias("metric"), F.map_from_entries(last).alias("labels"), number.alias("value"), own_ts.try_cast("long").alias("own_ts")
     )
     return samples, bad.select(*lines.columns)

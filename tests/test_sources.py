@@ -100,3 +100,18 @@ def test_exposition_not_a_number_and_errors(spark):
     assert str(got.first()["value"]) == "nan"
     for line in ("a 1e999", "a +nan", "a 1 99999999999999999999", "a 1 x", 'a {b="c"} 1', "a"):
         assert exposition.parse(lines(spark, line, file="f"))[1].count() == 1, line
+
+
+def test_lines_of_a_file_stay_in_their_partitions(spark):
+    """However large the inputs, one file's lines are not gathered in one task."""
+    lines = spark.createDataFrame([("a", f"m {i}") for i in range(400)] + [("b", "m 1"), ("b", "bad line")], "file string, line string").repartition(8, "line")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples, _ = exposition.parse(lines)
+        plan = samples._jdf.queryExecution().executedPlan().toString()
+        files = {r["file"] for r in samples.select("file").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert files == {"a"}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
