@@ -52,6 +52,58 @@ def test_encoder_keeps_no_long_pieces(files):
     assert encoder.held < 1000 and time.perf_counter() - began < 20
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_encoder_is_exact_around_cuts(files, seed):
+    """Runs of the kinds of characters between which a text is cut, and of those that look alike."""
+    encoder = tokens.ByteBpe(files[0], table_bytes=200_000)
+    rng = random.Random(seed)
+    parts = [
+        "a", "Zo", "the", "é", "ÿ", "×", "÷", "ß", "ł", "日", "の", "7", "42", "²", "٣", ".", "!?", "#", "'", "'s", "'LL", "’", "—", "e\u0301", "🙂", "…",
+        " ", " ", "  ", "\n", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u3000", "\0", "<|", "<|endoftext|>", "endoftext|>",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 30))) for _ in range(8_000)]
+    for at in range(0, len(texts), 2_000):
+        part = texts[at : at + 2_000]
+        for text, ids in zip(part, encoder([t.encode() for t in part]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_encoder_reuses_words_beside_marks_and_lines(files):
+    """A word beside another mark, number or line end is no new word for the library."""
+    encoder = tokens.ByteBpe(files[0])
+    words = [a + b for a in ("tree", "Stone", "naïve", "été") for b in ("", "ing", "less", "ward", "é")]
+    texts = [f"x {a}{mark}{b}, {a}{number}" for a in words for b in words for mark in (".\n", "\n", ",", '")') for number in (7, 20)]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder([t.encode() for t in texts])] == want
+    assert encoder.tokenizer.chars < 0.05 * sum(map(len, texts))
+
+
+def test_encoder_forgets_rare_pieces_first(files):
+    encoder = tokens.ByteBpe(files[0], table_bytes=100_000)
+    often = " ".join(f"frequent{a}{b}" for a in "abcdefghij" for b in "klmnopqrst")
+    encoder([often.encode()])
+    encoder.tokenizer, rolled = Counting(encoder.tokenizer), 0
+    for i in range(40):
+        rare = " ".join(f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}{a}{b}" for a in "abcdefghij" for b in "klmnop")
+        before, held = encoder.tokenizer.chars, encoder.held
+        encoder([f"x {often} {rare}".encode()])
+        rolled += encoder.held < held
+        assert encoder.tokenizer.chars - before < 2 * len(rare)
+    assert rolled > 3 and encoder.held < 150_000 and len(encoder.table) + len(encoder.older) < 1_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 5000])
 def test_perfect_hash(n):
     rng = np.random.default_rng(n)
