@@ -47,7 +47,7 @@ _writers: WeakKeyDictionary = WeakKeyDictionary()
 
 
 @contextmanager
-def _settings(spark: SparkSession):
+def writing(spark: SparkSession):
     """Settings of written steps, held while any step of the session is being written."""
     with _lock:
         count, held = _writers.get(spark, (0, None))
@@ -80,7 +80,7 @@ def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    with _settings(spark):
+    with writing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

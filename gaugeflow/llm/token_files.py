@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .shared import mix
+from .shared import mix, writing
 from .tokens import encode
 
 GAMMA, MOST_LEVELS = 2.0, 200
@@ -306,7 +306,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumns({"hash": F.xxhash64("text"), "own": F.monotonically_increasing_id()})
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    encode(dealt, tokenizer_path, end_id).write.format("token_shards").option("width", width).option("end_id", end_id).mode("overwrite").save(path)
+    with writing(spark):
+        encode(dealt, tokenizer_path, end_id).write.format("token_shards").option("width", width).option("end_id", end_id).mode("overwrite").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

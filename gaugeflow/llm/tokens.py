@@ -34,7 +34,7 @@ SHORT = 64
 ENTRY_BYTES = 200
 TABLE_BYTES = 96_000_000
 #: Text that is encoded in one go; more of it holds more repeated pieces.
-ENCODED_BYTES = 4_000_000
+ENCODED_BYTES = 5_000_000
 
 # A character that no tokenizer takes for white space: printable ASCII, or a first
 # byte of UTF-8 under which no white space is coded.
